@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens.functions import rules
 
 
@@ -65,7 +66,7 @@ def line_chars(text: Column) -> Column:
 
 
 def char_density(text: Column, digits: int = 2) -> Column:
-    return F.round(line_chars(text) / F.greatest(nonblank_line_count(text), F.lit(1)), digits)
+    return round_to(line_chars(text) / F.greatest(nonblank_line_count(text), F.lit(1)), digits)
 
 
 def raw_line_count(text: Column, empty_lines: int = 0) -> Column:
@@ -75,7 +76,7 @@ def raw_line_count(text: Column, empty_lines: int = 0) -> Column:
 
 
 def raw_char_density(text: Column, digits: int = 2) -> Column:
-    return F.round(F.char_length(text) / F.greatest(raw_line_count(text), F.lit(1)), digits)
+    return round_to(F.char_length(text) / F.greatest(raw_line_count(text), F.lit(1)), digits)
 
 
 # --------------------------------------------------------------- keywords
@@ -138,10 +139,10 @@ def pattern_total(text: Column, lowered: Column, patterns: list[str]) -> Column:
 
 def line_pattern_total(line_array: Column, patterns: list[str]) -> Column:
     """Sum over lines and patterns of "this line matches this pattern"."""
-    hits = [
-        F.size(F.filter(line_array, lambda x, p=p: F.rlike(x, F.lit(f"(?idU){p}")))) for p in patterns
-    ]
-    return reduce(lambda a, b: a + b, hits)
+    def hits(pattern: str) -> Column:
+        return F.size(F.filter(line_array, lambda x: F.rlike(x, F.lit(f"(?idU){pattern}"))))
+
+    return reduce(lambda a, b: a + b, [hits(p) for p in patterns])
 
 
 def base64_count(text: Column, lowered: Column) -> Column:
@@ -281,7 +282,7 @@ def entropy_of_runs(ends: Column, digits: int = 4) -> Column:
     n = F.element_at(ends, -1)
     counts = F.zip_with(ends, starts, lambda e, s: (e - s).cast("double"))
     weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
-    return F.when(F.size(ends) <= 1, F.lit(0.0)).otherwise(F.round(F.log2(n) - weighted / n, digits))
+    return F.when(F.size(ends) <= 1, F.lit(0.0)).otherwise(round_to(F.log2(n) - weighted / n, digits))
 
 
 def template_id(tokens: Column) -> Column:

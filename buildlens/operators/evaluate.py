@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens.functions import rules
 from buildlens.operators import forest as M
 from buildlens.operators import prep
@@ -64,12 +65,12 @@ def confusion_counts(df: DataFrame, by: list[str] | None = None, y: str = "y", p
 def metrics_of_counts(counts: DataFrame, digits: int = 6) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.withColumns({
-        "accuracy": F.round(_share(tp + tn, tp + tn + fp + fn), digits),
-        "precision": F.round(_share(tp, tp + fp), digits),
-        "recall": F.round(_share(tp, tp + fn), digits),
-        "f1": F.round(_share(2 * tp, 2 * tp + fp + fn), digits),
-        "false_positive_rate": F.round(_share(fp, fp + tn), digits),
-        "false_negative_rate": F.round(_share(fn, fn + tp), digits),
+        "accuracy": round_to(_share(tp + tn, tp + tn + fp + fn), digits),
+        "precision": round_to(_share(tp, tp + fp), digits),
+        "recall": round_to(_share(tp, tp + fn), digits),
+        "f1": round_to(_share(2 * tp, 2 * tp + fp + fn), digits),
+        "false_positive_rate": round_to(_share(fp, fp + tn), digits),
+        "false_negative_rate": round_to(_share(fn, fn + tp), digits),
     })
 
 
@@ -89,7 +90,7 @@ def confusion_matrix(df: DataFrame, y: str = "y", p: str = "prediction", digits:
                         ("anomaly", "normal", "fn"), ("anomaly", "anomaly", "tp"))])
     return m.select(F.explode(cells).alias("c"), total.alias("_t"), "false_positive_rate", "false_negative_rate").select(
         "c.actual", "c.predicted", "c.n",
-        F.round(_share(F.col("c.n") * 100.0, F.col("_t")), digits).alias("percent"),
+        round_to(_share(F.col("c.n") * 100.0, F.col("_t")), digits).alias("percent"),
         "false_positive_rate", "false_negative_rate")
 
 
@@ -117,7 +118,7 @@ def roc_auc(df: DataFrame, score: str, y: str = "y", by: str | None = None, buck
     before = F.sum("n").over(order) - F.col("n")
     total = per_bucket.withColumn("_before", before).groupBy(name).agg(
         F.sum(F.col("w") + F.col("p") * F.col("_before")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    out = total.select(*([name] if by else []), F.round(F.try_divide(F.col("u"), F.col("p") * F.col("n") * F.lit(1.0)), digits).alias("auc_roc"))
+    out = total.select(*([name] if by else []), round_to(F.try_divide(F.col("u"), F.col("p") * F.col("n") * F.lit(1.0)), digits).alias("auc_roc"))
     return out
 
 
@@ -174,7 +175,7 @@ def permutation_importance(df: DataFrame, names: list[str] = rules.FEATURE_NAMES
     base = f1.filter("feature = ''").first()["f1"]
     return f1.filter("feature <> ''").select(
         "feature", F.lit(base).alias("baseline_f1"), F.col("f1").alias("permuted_f1"),
-        F.round(F.lit(base) - F.col("f1"), 6).alias("importance")).orderBy(F.desc("importance"), "feature")
+        round_to(F.lit(base) - F.col("f1"), 6).alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
 def shuffle_features(df: DataFrame, names: list[str], key: str = "build_id", rows_per_range: int = 10_000) -> DataFrame:
@@ -215,7 +216,7 @@ def ablation_study(df: DataFrame, names: list[str] = rules.FEATURE_NAMES, key: s
     base = f1.filter("feature = ''").first()["f1"]
     return f1.filter("feature <> ''").select(
         "feature", F.col("f1").alias("f1_without"),
-        F.round(F.col("f1") - F.lit(base), 6).alias("delta_from_baseline")).orderBy("feature")
+        round_to(F.col("f1") - F.lit(base), 6).alias("delta_from_baseline")).orderBy("feature")
 
 
 def contamination_sweep(normals: DataFrame, test: DataFrame, score: str = "anomaly_score",
@@ -267,7 +268,7 @@ def cross_validate(df: DataFrame, folds: int = 5, names: list[str] = rules.FEATU
     judged = M.score_columns(scaled, forests, pick="fold").withColumn(
         "prediction", F.when(F.col("scores")[0] < bound, -1).otherwise(1))
     per = classification_metrics(judged, ["fold"], digits=10)
-    return per.agg(*[F.round(agg(m), 6).alias(f"{m}_{s}") for m in ("f1", "precision", "recall")
+    return per.agg(*[round_to(agg(m), 6).alias(f"{m}_{s}") for m in ("f1", "precision", "recall")
                      for s, agg in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
@@ -280,11 +281,11 @@ def baseline_profile(df: DataFrame, names: list[str] = rules.FEATURE_NAMES, digi
     for n in names:
         v = prep._value(n)
         aggs.append(F.struct(
-            F.lit(n).alias("feature"), F.count(v).alias("n"), F.round(F.avg(v), digits).alias("mean"),
-            F.round(F.stddev_samp(v), digits).alias("std"), F.round(F.min(v), digits).alias("min"),
-            F.round(F.max(v), digits).alias("max"),
-            F.round(F.lit(quartiles[n][0]).cast("double"), digits).alias("p25"),
-            F.round(F.lit(quartiles[n][1]).cast("double"), digits).alias("p75")))
+            F.lit(n).alias("feature"), F.count(v).alias("n"), round_to(F.avg(v), digits).alias("mean"),
+            round_to(F.stddev_samp(v), digits).alias("std"), round_to(F.min(v), digits).alias("min"),
+            round_to(F.max(v), digits).alias("max"),
+            round_to(F.lit(quartiles[n][0]).cast("double"), digits).alias("p25"),
+            round_to(F.lit(quartiles[n][1]).cast("double"), digits).alias("p75")))
     return df.agg(F.array(*aggs).alias("_a")).select(F.explode("_a").alias("r")).select("r.*")
 
 
@@ -311,8 +312,8 @@ def deviation_report(df: DataFrame, baseline: DataFrame, names: list[str] = rule
     ranked = F.slice(F.sort_array(F.array_compact(F.array(*entries))), 1, top)
     return df.select(key, F.posexplode(ranked).alias("rank", "e")).select(
         key, (F.col("rank") + 1).alias("rank"), F.col("e.feature").alias("feature"),
-        F.round("e.value", digits).alias("value"), F.round("e.mean", digits).alias("mean"),
-        F.round("e.z", digits).alias("z_score"), (F.abs("e.z") > 2).alias("flagged"),
+        round_to("e.value", digits).alias("value"), round_to("e.mean", digits).alias("mean"),
+        round_to("e.z", digits).alias("z_score"), (F.abs("e.z") > 2).alias("flagged"),
         F.when(F.col("e.z") > 0, "higher").otherwise("lower").alias("direction"))
 
 

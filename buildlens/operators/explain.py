@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens import schemas
 from buildlens.functions import rules
 
@@ -89,8 +90,8 @@ def contributions(means: dict[str, float], stds: dict[str, float], top: int = 5,
         std = stds.get(name, 1.0) or 0.0
         z = F.abs((value - F.lit(means.get(name, 0.0))) / F.lit(std)) if std > 0 else F.lit(0.0)
         entries.append(F.struct(
-            (-F.round(z, digits)).alias("order"), F.lit(i).alias("idx"), F.lit(name).alias("feature"),
-            value.alias("value"), F.round(z, digits).alias("z_score"),
+            (-round_to(z, digits)).alias("order"), F.lit(i).alias("idx"), F.lit(name).alias("feature"),
+            value.alias("value"), round_to(z, digits).alias("z_score"),
             F.when(z > 2, "high").otherwise("normal").alias("deviation")))
     ordered = F.slice(F.sort_array(F.array(*entries)), 1, top)
     return F.transform(ordered, lambda e: F.struct(

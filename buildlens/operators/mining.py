@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens.functions import logtext as L
 from buildlens.functions import rules
 from buildlens.sources.storage import materialize
@@ -190,7 +191,7 @@ def mined_template_measures(assigned: DataFrame, key: str = "build_id", digits:
     entropy = F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n
     return counts.groupBy(key).agg(
         F.count(F.lit(1)).alias("unique_templates"),
-        F.when(F.count(F.lit(1)) <= 1, F.lit(0.0)).otherwise(F.round(entropy, digits)).alias("template_entropy"))
+        F.when(F.count(F.lit(1)) <= 1, F.lit(0.0)).otherwise(round_to(entropy, digits)).alias("template_entropy"))
 
 
 def template_distribution(assigned: DataFrame) -> DataFrame:

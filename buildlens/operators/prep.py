@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens.functions import rules
 
 
@@ -114,7 +115,7 @@ class Scaler:
     def transform(self, df: DataFrame, digits: int | None = None) -> DataFrame:
         def scaled(n: str) -> Column:
             z = (F.col(n).cast("double") - F.lit(self.means[n])) / F.lit(self.stds[n])
-            return z if digits is None else F.round(z, digits)
+            return z if digits is None else round_to(z, digits)
 
         return df.withColumns({n: scaled(n) for n in self.means})
 

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens.functions import rules
 
 RESULT_COLUMNS = ["id", "build_id", "created_at", "is_anomaly", "anomaly_score", "prediction",
@@ -61,7 +62,7 @@ def latest_result_by_build(results: DataFrame) -> DataFrame:
 def anomaly_stats(results: DataFrame, hours: int, as_of: dt.datetime, digits: int = 6) -> DataFrame:
     """Totals, rate and score range of the period; empty periods give zeros."""
     def zero(col: Column) -> Column:
-        return F.coalesce(F.round(col, digits), F.lit(0.0))
+        return F.coalesce(round_to(col, digits), F.lit(0.0))
 
     return since(results, hours, as_of).agg(
         F.count(F.lit(1)).alias("total_builds"),
@@ -70,7 +71,7 @@ def anomaly_stats(results: DataFrame, hours: int, as_of: dt.datetime, digits: in
         zero(F.min("anomaly_score")).alias("min_score"),
         zero(F.max("anomaly_score")).alias("max_score"),
         zero(F.avg("confidence")).alias("avg_confidence"),
-    ).withColumn("anomaly_rate", F.coalesce(F.round(F.try_divide("total_anomalies", "total_builds"), digits), F.lit(0.0))) \
+    ).withColumn("anomaly_rate", F.coalesce(round_to(F.try_divide("total_anomalies", "total_builds"), digits), F.lit(0.0))) \
         .withColumn("period_hours", F.lit(hours))
 
 
@@ -102,7 +103,7 @@ def bucketed(results: DataFrame, interval: str, digits: int = 6) -> DataFrame:
     return results.groupBy(time_bucket(interval, F.col("created_at")).alias("time")).agg(
         F.count(F.lit(1)).alias("total_builds"),
         F.count_if("is_anomaly").alias("anomalies"),
-        F.coalesce(F.round(F.avg("anomaly_score"), digits), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(round_to(F.avg("anomaly_score"), digits), F.lit(0.0)).alias("avg_score"),
     )
 
 
@@ -118,7 +119,7 @@ def score_band(score: Column) -> Column:
 
 def rate_percent(stats: DataFrame) -> DataFrame:
     """Rate in percent with one decimal."""
-    return stats.withColumn("anomaly_rate_pct", F.round(F.col("anomaly_rate") * 100, 1))
+    return stats.withColumn("anomaly_rate_pct", round_to(F.col("anomaly_rate") * 100, 1))
 
 
 def radar_features(results: DataFrame, names: list[str] = rules.FEATURE_NAMES) -> DataFrame:

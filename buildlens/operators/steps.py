@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.functions.numbers import round_to
 from buildlens.functions import rules
 
 
@@ -67,7 +68,7 @@ def with_event_proportions(df: DataFrame, distribution: str = "event_distributio
     total = F.aggregate(F.map_values(distribution), F.lit(0), lambda a, x: a + x)
     total = F.when(total == 0, 1).otherwise(total)
     return df.withColumns({
-        f"event_{s}": F.round(F.coalesce(F.try_element_at(F.col(distribution), F.lit(s)), F.lit(0)) / total, digits)
+        f"event_{s}": round_to(F.coalesce(F.try_element_at(F.col(distribution), F.lit(s)), F.lit(0)) / total, digits)
         for s in rules.STANDARD_STEPS
     })
 
@@ -81,6 +82,6 @@ def step_durations(builds: DataFrame) -> DataFrame:
         "build_id", "total_log_lines", F.posexplode("steps").alias("step_no", "step")
     ).select(
         "build_id", "step_no", F.col("step.name").alias("step_name"),
-        F.round(duration_iso(F.col("step.started_at"), F.col("step.finished_at")), 6).alias("duration_seconds"),
+        round_to(duration_iso(F.col("step.started_at"), F.col("step.finished_at")), 6).alias("duration_seconds"),
         F.coalesce(F.size("step.log_lines"), F.lit(0)).alias("line_count"), "total_log_lines",
     )

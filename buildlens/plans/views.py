@@ -153,6 +153,58 @@ SELECT build_no AS delivery_id, created_at AS received_at,
 FROM {delivery_parts}
 """
 
+# Real multi-line documents and build logs together: the input of the text operators.
+_ALL_LOGS = """
+SELECT build_id, repo_name, raw_logs FROM {doc_logs}
+UNION ALL SELECT build_id, repo_name, raw_logs FROM {build_logs}
+"""
+
+_URL_TEXTS = """
+SELECT build_id, raw_logs FROM {all_logs}
+UNION ALL SELECT concat('page-', page_id) AS build_id, concat('open ', url, ' ', html) AS raw_logs FROM {pages}
+"""
+
+# Feature rows with a given score, so that what follows the model can be checked apart from it.
+_SCORED_ROWS = """
+SELECT *, (400.0 - duration_seconds) / 2000.0 AS anomaly_score,
+       CASE WHEN duration_seconds > 400.0 THEN -1 ELSE 1 END AS prediction
+FROM {feature_rows}
+"""
+
+_FEATURE_ROWS_MISSING = """
+SELECT build_id, CASE WHEN step_count = 3 THEN NULL ELSE duration_seconds END AS duration_seconds,
+       CASE WHEN template_entropy > 6.5 THEN NULL ELSE char_density END AS char_density,
+       CASE WHEN warning_count = 30 THEN NULL ELSE error_count END AS error_count, label
+FROM {feature_rows}
+"""
+
+# Feature messages: complete, without build id, without any id, broken, not an object.
+_FEATURE_MESSAGES = """
+SELECT event_id, CASE event_id % 5
+  WHEN 0 THEN concat('{"_meta":{"request_id":"r-', event_id, '"},"features":{"build_id":"b-', event_id, '","duration_seconds":', event_id, ',"error_count":', user_id, '}}')
+  WHEN 1 THEN concat('{"_meta":{"request_id":"r-', event_id, '"},"features":{"duration_seconds":', event_id, '}}')
+  WHEN 2 THEN concat('{"features":{"log_line_count":', event_id, ',"extra":[1,2]}}')
+  WHEN 3 THEN concat('{"_meta":{"request_id":"r-', event_id)
+  ELSE concat('"', event_id, '"') END AS value
+FROM {events}
+"""
+
+# Start and end texts in the formats that occur, valid and not.
+_RUN_TIMES = """
+SELECT event_id, CASE event_id % 9
+    WHEN 0 THEN concat(replace(t, ' ', 'T'), 'Z') WHEN 1 THEN replace(t, ' ', 'T') WHEN 2 THEN t
+    WHEN 3 THEN concat(replace(t, ' ', 'T'), '.250000Z') WHEN 4 THEN concat(replace(t, ' ', 'T'), '+02:00')
+    WHEN 5 THEN '' WHEN 6 THEN t WHEN 7 THEN 'yesterday' ELSE concat(replace(t, ' ', 'T'), 'Z') END AS started,
+  CASE event_id % 9
+    WHEN 0 THEN concat(replace(u, ' ', 'T'), 'Z') WHEN 1 THEN replace(u, ' ', 'T') WHEN 2 THEN u
+    WHEN 3 THEN concat(replace(u, ' ', 'T'), '.125000Z') WHEN 4 THEN concat(replace(u, ' ', 'T'), 'Z')
+    WHEN 5 THEN u WHEN 6 THEN replace(u, ' ', 'T') WHEN 7 THEN u ELSE concat(replace(t, ' ', 'T'), 'Z') END AS finished,
+  CASE WHEN event_id % 4 = 0 THEN '' ELSE replace(t, ' ', 'T') END AS created,
+  CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE floor(value) END AS DOUBLE) AS reported
+FROM (SELECT event_id, value, substring(CAST(ts AS VARCHAR(40)), 1, 19) AS t,
+             substring(CAST(ts + INTERVAL '90' SECOND AS VARCHAR(40)), 1, 19) AS u FROM {events}) e
+"""
+
 VIEWS = {
     "build_log_lines": _BUILD_LOG_LINES,
     "build_logs": _BUILD_LOGS,
@@ -164,6 +216,12 @@ VIEWS = {
     "build_jobs": _BUILD_JOBS,
     "delivery_parts": _DELIVERY_PARTS,
     "deliveries": _DELIVERIES,
+    "all_logs": _ALL_LOGS,
+    "url_texts": _URL_TEXTS,
+    "scored_rows": _SCORED_ROWS,
+    "feature_rows_missing": _FEATURE_ROWS_MISSING,
+    "feature_messages": _FEATURE_MESSAGES,
+    "run_times": _RUN_TIMES,
 }
 TABLES = ["events", "orders", "lineitem", "documents", "labels", "pages"]
 

@@ -36,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_by_day(df: DataFrame, path: str, time_column: str = "created_at") -> None:
-    """Append to a table partitioned by the day of its time column."""
-    df.withColumn("day", F.to_date(time_column)).write.mode("append").partitionBy("day").parquet(path)
+def append_by_period(df: DataFrame, path: str, time_column: str = "created_at", period: str = "day") -> None:
+    """Append to a table partitioned by the day (week, month) of its time column.
+
+    The rebalance hint brings the rows of a period together before writing, so
+    that a task does not leave one small file per period, and lets adaptive
+    execution split a period that is too large for one task.
+    """
+    start = F.to_date(F.date_trunc(period, time_column))
+    df.withColumn(period, start).hint("rebalance", F.col(period)) \
+        .write.mode("append").partitionBy(period).parquet(path)
