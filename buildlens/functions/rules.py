@@ -98,9 +98,9 @@ MASK_PATTERNS = [
     (r"\b[0-9a-fA-F]{40}\b", "<SHA1>"),
     (r"\b[0-9a-fA-F]{64}\b", "<SHA256>"),
     (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
-    # The newline is excluded on the right so that the mask may run over a whole
-    # multi-line text with the result it has line by line.
-    (r"(?:(?<=[^a-zA-Z0-9])|^)-?\+?\d+(?=[^a-zA-Z0-9\n])", "<NUM>"),
+    # Written for whole multi-line texts: a line break on the right is no neighbour,
+    # and the first look-ahead passes over all other characters quickly.
+    (r"(?=[-+\p{Nd}])(?<![a-zA-Z0-9])-?\+?\p{Nd}+(?=[^a-zA-Z0-9\n])", "<NUM>"),
     (r"\b\d+\.\d+\.\d+\b", "<VERSION>"),
     (r"https?://\S+", "<URL>"),
     (r"/[\w./\-]+", "<PATH>"),

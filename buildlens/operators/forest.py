@@ -193,11 +193,11 @@ def score_columns(df: DataFrame, forests: list[Forest], stops: list[int] | None
     ``pick`` names an integer column that selects the one forest of a row.
     """
     features = forests[0].features
-    shared = df.sparkSession.sparkContext.broadcast(forests)
+    shared = df.sparkSession.sparkContext.broadcast([dict(f.__dict__) for f in forests])
 
     @F.pandas_udf("array<double>")
     def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        known = shared.value
+        known = [Forest(**f) for f in shared.value]
         for batch in batches:
             x = np.column_stack([b.to_numpy(dtype=float) for b in batch[1:]])
             if pick is not None:

@@ -6,8 +6,8 @@
 3. Sequences of the same length and leading tokens form a leaf.  Leaves are
    sorted within partitions and clustered in one streaming pass that holds only
    the clusters of the current leaf.
-4. The template of a cluster is what its members have in common, position by
-   position: again a plain aggregation.
+4. Line counts and first sights of the clusters are aggregated, and lines get
+   their template by an equality join on the hash of their sequence.
 
 A leaf with very many distinct sequences is cut into hash parts that are
 clustered side by side; the parts' templates are then clustered once more, so
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from buildlens.sources.storage import materialize
 
 EMPTY = "empty"
 WILD = "<*>"
-LEAF_PART_ROWS = 200_000
+LEAF_PART_ROWS = 50_000
 
 
 def masked_lines(builds: DataFrame, text: str = "raw_logs", key: str = "build_id") -> DataFrame:
@@ -45,9 +46,10 @@ def masked_lines(builds: DataFrame, text: str = "raw_logs", key: str = "build_id
 
 
 def sequences(lines: DataFrame, key: str = "build_id") -> DataFrame:
-    """Distinct token sequences with line count and first sight."""
-    return lines.groupBy("seq").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(key).alias("build"), F.col("line_no"))).alias("seen"))
+    """Distinct token sequences with hash, line count and first sight."""
+    return lines.filter("seq <> ''").groupBy("seq").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(key).alias("build"), F.col("line_no"))).alias("seen")) \
+        .withColumn("sid", F.md5("seq"))
 
 
 def _branch(token: Column) -> Column:
@@ -60,73 +62,97 @@ def with_leaves(seqs: DataFrame, prefix: int = rules.TEMPLATE_PREFIX_TOKENS,
 
     Tokens with digits share one branch.  Below each node only the first
     ``max_children`` branches (by first sight) stay apart, the others join the
-    shared branch.  The branches of a node are counted by aggregation, and the
-    limit is applied before rows travel.
+    shared branch.  The branches of a node are counted by aggregation, the limit
+    is applied before rows travel, and only full nodes are looked up.
     """
-    df = seqs.withColumn("_t", F.split("seq", " ")).withColumn("leaf", F.size("_t").cast("string"))
+    tokens = F.split("seq", " ")
+    df = seqs.withColumn("leaf", F.size(tokens).cast("string"))
     for depth in range(prefix):
-        token = _branch(F.get(F.col("_t"), F.lit(depth)))
-        df = df.withColumn("_b", F.coalesce(token, F.lit("")))
+        df = df.withColumn("_b", F.coalesce(_branch(F.get(tokens, F.lit(depth))), F.lit("")))
         if max_children is not None:
-            firsts = df.filter(F.col("_b") != "").groupBy("leaf", "_b").agg(F.min("seen").alias("_first"))
+            firsts = df.filter("_b <> ''").groupBy("leaf", "_b").agg(F.min("seen").alias("_first"))
             order = Window.partitionBy("leaf").orderBy("_first", "_b")
-            kept = firsts.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= max_children)
+            kept = materialize(firsts.withColumn("_k", F.row_number().over(order))
+                               .filter(F.col("_k") <= max_children).select("leaf", "_b", "_k"), "branches")
             full = kept.filter(F.col("_k") == max_children).select("leaf", F.lit(True).alias("_full"))
-            kept = kept.join(full, "leaf").select("leaf", "_b", "_full")
-            # Nodes below the limit need no look-up: only full nodes are joined.
-            df = df.join(full, "leaf", "left").withColumnRenamed("_full", "_at_limit") \
-                .join(kept.withColumnRenamed("_full", "_kept"), ["leaf", "_b"], "left") \
-                .withColumn("_b", F.when(F.col("_at_limit") & F.col("_kept").isNull() & (F.col("_b") != ""), F.lit(WILD))
-                            .otherwise(F.col("_b"))).drop("_at_limit", "_kept")
-        df = df.withColumn("leaf", F.concat_ws(" ", "leaf", "_b"))
-    return df.drop("_t", "_b")
+            if not full.isEmpty():
+                known = kept.join(full, "leaf").select("leaf", "_b", F.lit(True).alias("_kept"))
+                df = df.join(full, "leaf", "left").join(known, ["leaf", "_b"], "left").withColumn(
+                    "_b", F.when(F.col("_full") & F.col("_kept").isNull() & (F.col("_b") != ""), F.lit(WILD))
+                    .otherwise(F.col("_b"))).drop("_full", "_kept")
+        df = df.withColumn("leaf", F.concat_ws(" ", "leaf", "_b")).drop("_b")
+        if max_children is not None and depth + 1 < prefix:
+            df = materialize(df, "leaves")
+    return df
+
+
+class _Leaf:
+    """Clusters of one leaf: template tokens as numbers, 0 for the wildcard."""
+
+    def __init__(self, width: int):
+        self.numbers = {WILD: 0}
+        self.grid = np.zeros((16, width), dtype=np.int32)
+        self.leaders: list[str] = []
+        self.grown: set[int] = set()
+
+    def place(self, sid: str, tokens: list[str], threshold: float) -> str:
+        row = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], dtype=np.int32)
+        count = len(self.leaders)
+        if count:
+            grid = self.grid[:count]
+            fixed = (grid != 0) & (row != 0)
+            likeness = ((grid == row) & fixed).sum(axis=1) / np.maximum(fixed.sum(axis=1), 1)
+            best = int(likeness.argmax())
+            if likeness[best] > threshold:
+                if (grid[best] != row).any():
+                    grid[best] = np.where(grid[best] == row, row, 0)
+                    self.grown.add(best)
+                return self.leaders[best]
+        if count == len(self.grid):
+            self.grid = np.concatenate([self.grid, np.zeros_like(self.grid)])
+        self.grid[count] = row
+        self.leaders.append(sid)
+        return sid
+
+    def templates(self) -> pd.DataFrame:
+        """Templates of the clusters that are no longer their first sequence."""
+        words = list(self.numbers)
+        rows = [(None, self.leaders[i], " ".join(words[t] for t in self.grid[i])) for i in sorted(self.grown)]
+        return pd.DataFrame(rows, columns=["sid", "lid", "template"])
 
 
-def _cluster_partition(threshold: float):
-    """Assign each sequence of a sorted partition to the first sequence of its cluster."""
+def _cluster(seqs: DataFrame, threshold: float) -> DataFrame:
+    """``(sid, lid, template)``: a row per sequence with the hash of its cluster's first
+    sequence, and a row without ``sid`` per generalised template."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaf = None
-        clusters: list[list] = []  # [leader, template tokens]
+        at, leaf = None, None
         for pdf in batches:
             leaders = []
-            for at, seq in zip(zip(pdf["leaf"], pdf["part"]), pdf["seq"]):
-                if at != leaf:
-                    leaf, clusters = at, []
+            for place, sid, seq in zip(zip(pdf["leaf"], pdf["part"]), pdf["sid"], pdf["seq"]):
                 tokens = seq.split(" ")
-                best, found = threshold, None
-                for cluster in clusters:
-                    fixed = [(a, b) for a, b in zip(tokens, cluster[1]) if a != WILD and b != WILD]
-                    likeness = sum(a == b for a, b in fixed) / max(len(fixed), 1)
-                    if likeness > best:
-                        best, found = likeness, cluster
-                if found is None:
-                    found = [seq, tokens]
-                    clusters.append(found)
-                else:
-                    found[1] = [a if a == b else WILD for a, b in zip(tokens, found[1])]
-                leaders.append(found[0])
-            yield pd.DataFrame({"seq": pdf["seq"], "leader": leaders})
-
-    return run
-
-
-def _cluster(seqs: DataFrame, threshold: float) -> DataFrame:
-    """``(seq, leader)`` for sequences with ``leaf``, ``part`` and ``seen``."""
-    ordered = seqs.select("leaf", "part", "seen", "seq").repartition("leaf", "part") \
-        .sortWithinPartitions("leaf", "part", "seen", "seq")
-    return ordered.mapInPandas(_cluster_partition(threshold), "seq string, leader string")
-
-
-def _templates(assigned: DataFrame) -> DataFrame:
-    """Template per leader: positions where all members agree, else the wildcard."""
-    cells = assigned.select("leader", "n", "seen", F.posexplode(F.split("seq", " ")).alias("pos", "token"))
-    agreed = cells.groupBy("leader", "pos").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
-    tokens = agreed.groupBy("leader").agg(F.sort_array(F.collect_list(F.struct(
-        "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(WILD)).alias("token")))).alias("_c"))
-    sizes = assigned.groupBy("leader").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    return tokens.join(sizes, "leader").select(
-        "leader", F.transform("_c", lambda c: c["token"]).alias("tokens"), "n", "seen")
+                if place != at:
+                    if leaf is not None and leaf.grown:
+                        yield leaf.templates()
+                    at, leaf = place, _Leaf(len(tokens))
+                leaders.append(leaf.place(sid, tokens, threshold))
+            yield pd.DataFrame({"sid": pdf["sid"], "lid": leaders, "template": None})
+        if leaf is not None and leaf.grown:
+            yield leaf.templates()
+
+    ordered = seqs.select("leaf", "part", "seen", "sid", "seq").repartition("leaf", "part") \
+        .sortWithinPartitions("leaf", "part", "seen", "sid").select("leaf", "part", "sid", "seq")
+    return ordered.mapInPandas(run, "sid string, lid string, template string")
+
+
+def _templates(clustered: DataFrame, seqs: DataFrame) -> DataFrame:
+    """``(lid, template, n, seen)`` per cluster."""
+    sizes = clustered.filter("sid IS NOT NULL").join(seqs.select("sid", "n", "seen"), "sid") \
+        .groupBy("lid").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    heads = seqs.select(F.col("sid").alias("lid"), F.col("seq").alias("_head"))
+    grown = clustered.filter("sid IS NULL").select("lid", "template")
+    return sizes.join(heads, "lid").join(grown, "lid", "left") \
+        .select("lid", F.coalesce("template", "_head").alias("template"), "n", "seen")
 
 
 def mine_templates(lines: DataFrame, threshold: float = rules.TEMPLATE_SIMILARITY,
@@ -134,39 +160,35 @@ def mine_templates(lines: DataFrame, threshold: float = rules.TEMPLATE_SIMILARIT
                    part_rows: int = LEAF_PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(templates, assignment)`` of masked lines.
 
-    templates: ``template_id, template, tokens, n`` with the line count ``n``.
-    assignment: ``seq, template_id, template`` for every distinct sequence.
+    templates: ``template_id, template, tokens, n, seen`` with the line count ``n``.
+    assignment: ``sid, template_id, template`` for every distinct sequence.
     """
-    seqs = materialize(sequences(lines).filter("seq <> ''"), "sequences")
-    leaves = with_leaves(seqs, prefix, max_children)
-    leaves = materialize(leaves, "leaves")
+    seqs = materialize(sequences(lines), "sequences")
+    leaves = materialize(with_leaves(seqs, prefix, max_children), "leaves")
     sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > part_rows)
-    parts = F.coalesce(F.ceil(F.col("_size") / part_rows), F.lit(1))
-    placed = leaves.join(large, "leaf", "left") \
-        .withColumn("part", F.pmod(F.xxhash64("seq"), parts).cast("int")).drop("_size")
-    first = materialize(_cluster(placed, threshold).join(leaves, "seq"), "clusters")
+    large = materialize(sizes.filter(F.col("_size") > part_rows), "large-leaves")
     if large.isEmpty():
-        assigned = first
+        clustered = materialize(_cluster(leaves.withColumn("part", F.lit(0)), threshold), "clusters")
+        templates = _templates(clustered, leaves)
     else:
-        # Second round for the leaves that were cut: their part templates, in order of first sight.
-        cut = first.join(large.select("leaf"), "leaf", "left_semi")
-        heads = _templates(cut).join(cut.select("leader", "leaf").distinct(), "leader")
-        again = heads.select("leaf", F.lit(0).alias("part"), "seen", F.array_join("tokens", " ").alias("seq"), "leader")
-        merged = _cluster(again.dropDuplicates(["leaf", "seq"]), threshold).withColumnRenamed("leader", "_joined")
-        # The head of a merged cluster is the leader of the earliest part template in it.
-        owner = again.join(merged, "seq")
-        chief = owner.groupBy("leaf", "_joined").agg(F.min_by("leader", F.struct("seen", "leader")).alias("_chief"))
-        renamed = owner.join(chief, ["leaf", "_joined"]).select("leader", "_chief")
-        assigned = materialize(first.join(renamed, "leader", "left").withColumn(
-            "leader", F.coalesce("_chief", "leader")).drop("_chief"), "merged")
-    templates = _templates(assigned).select(
-        "leader", F.substring(F.md5("leader"), 1, 12).alias("template_id"),
-        F.array_join("tokens", " ").alias("template"), "tokens", F.col("n"), "seen")
-    templates = materialize(templates, "templates")
-    assignment = assigned.select("seq", "leader").join(templates.select("leader", "template_id", "template"), "leader") \
-        .select("seq", "template_id", "template")
-    return templates.select("template_id", "template", "tokens", "n", "seen"), assignment
+        parts = F.coalesce(F.ceil(F.col("_size") / part_rows), F.lit(1))
+        placed = leaves.join(large, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
+        first = materialize(_cluster(placed, threshold), "clusters")
+        heads = materialize(_templates(first, leaves), "part-templates")
+        # The templates of a cut leaf's parts are clustered once more, in order of first sight.
+        cut = leaves.join(large.select("leaf"), "leaf", "left_semi").select(F.col("sid").alias("lid"), "leaf")
+        again = materialize(heads.join(cut, "lid").select(
+            "leaf", F.lit(0).alias("part"), "seen", F.col("lid").alias("sid"), F.col("template").alias("seq"), "n"), "part-heads")
+        merged = materialize(_cluster(again, threshold), "merged-clusters")
+        whole = heads.join(cut, "lid", "left_anti").select("lid", "template", "n", "seen")
+        templates = whole.unionByName(_templates(merged, again))
+        moved = merged.filter("sid IS NOT NULL").select(F.col("sid").alias("lid"), F.col("lid").alias("_to"))
+        clustered = first.filter("sid IS NOT NULL").join(moved, "lid", "left") \
+            .select("sid", F.coalesce("_to", "lid").alias("lid"), F.lit(None).cast("string").alias("template"))
+    templates = materialize(templates.withColumn("template_id", F.substring("lid", 1, 12)), "templates")
+    assignment = clustered.filter("sid IS NOT NULL").select("sid", "lid") \
+        .join(templates.select("lid", "template_id", "template"), "lid").select("sid", "template_id", "template")
+    return templates.select("template_id", "template", F.split("template", " ").alias("tokens"), "n", "seen"), assignment
 
 
 def assign_templates(lines: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -175,13 +197,13 @@ def assign_templates(lines: DataFrame, assignment: DataFrame) -> DataFrame:
     Lines that the mining has not seen (a stream reads ahead of the last mining
     run) stand for themselves.
     """
-    joined = lines.join(assignment, "seq", "left")
-    own = F.substring(F.md5("seq"), 1, 12)
+    joined = lines.withColumn("sid", F.md5("seq")).join(assignment, "sid", "left")
+    own = F.substring("sid", 1, 12)
     blank = F.col("seq") == ""
     return joined.withColumn("template_id", F.when(blank, EMPTY).otherwise(F.coalesce("template_id", own))) \
         .withColumn("template", F.when(blank, "").otherwise(F.coalesce("template", "seq"))) \
         .withColumn("tokens", F.when(blank, F.array().cast("array<string>")).otherwise(F.split("seq", " "))) \
-        .drop("seq")
+        .drop("seq", "sid")
 
 
 def mined_template_measures(assigned: DataFrame, key: str = "build_id", digits: int = 4) -> DataFrame:

@@ -100,9 +100,13 @@ def medians(df: DataFrame, names: list[str] = rules.FEATURE_NAMES) -> dict[str,
 
 
 def impute_median(df: DataFrame, names: list[str] = rules.FEATURE_NAMES) -> DataFrame:
-    """Replace missing (NULL or NaN) feature values by the column median."""
-    fill = medians(df, names)
-    return df.withColumns({n: F.coalesce(_value(n), F.lit(fill.get(n))) for n in names})
+    """Replace missing (NULL or NaN) feature values by the column median.
+
+    One counting pass finds the columns that miss values; only those are ranked.
+    """
+    missing = df.agg(*[F.count_if(_value(n).isNull()).alias(n) for n in names]).first()
+    fill = medians(df, [n for n in names if missing[n]]) if any(missing) else {}
+    return df.withColumns({n: F.coalesce(_value(n), F.lit(fill[n])) if n in fill else F.col(n).cast("double") for n in names})
 
 
 @dataclass

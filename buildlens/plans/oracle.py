@@ -564,11 +564,11 @@ SELECT build_id, created_at, id, is_anomaly, prediction, model_version
 FROM (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY created_at DESC, id DESC) AS k FROM build_results) WHERE k = 1""")
 twin("anomaly_stats", "build_results", f"""
 SELECT 168 AS period_hours, count(*) AS total_builds, count(*) FILTER (is_anomaly) AS total_anomalies,
-  round(coalesce(count(*) FILTER (is_anomaly) / nullif(count(*), 0), 0), 6) AS anomaly_rate, round(coalesce(avg(anomaly_score), 0), 6) AS avg_score,
-  round(coalesce(min(anomaly_score), 0), 6) AS min_score, round(coalesce(max(anomaly_score), 0), 6) AS max_score, round(coalesce(avg(confidence), 0), 6) AS avg_confidence
+  round(coalesce(count(*) FILTER (is_anomaly) / nullif(count(*), 0), 0), 12) AS anomaly_rate, round(coalesce(avg(anomaly_score), 0), 12) AS avg_score,
+  round(coalesce(min(anomaly_score), 0), 12) AS min_score, round(coalesce(max(anomaly_score), 0), 12) AS max_score, round(coalesce(avg(confidence), 0), 12) AS avg_confidence
 FROM build_results WHERE created_at > {_LAST} - INTERVAL 168 HOUR""")
 _SERIES = """SELECT time_bucket(INTERVAL {0}, created_at) AS time, count(*) AS total_builds, count(*) FILTER (is_anomaly) AS anomalies,
-  round(coalesce(avg(anomaly_score), 0), 6) AS avg_score{2} FROM build_results {1} GROUP BY 1"""
+  round(coalesce(avg(anomaly_score), 0), 12) AS avg_score{2} FROM build_results {1} GROUP BY 1"""
 twin("anomaly_timeseries", "build_results", _SERIES.format("1 HOUR", f"WHERE created_at > {_LAST} - INTERVAL 20 DAY", ""))
 twin("anomaly_timeseries_weekly", "build_results", _SERIES.format("14 DAY", f"WHERE created_at > {_LAST} - INTERVAL 25 DAY", ""))
 twin("normal_vs_anomaly_series", "build_results", _SERIES.format("1 DAY", "", ", count(*) - count(*) FILTER (is_anomaly) AS normal_builds"))

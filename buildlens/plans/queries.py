@@ -790,19 +790,19 @@ def latest_result_by_build(spark, sf):
 @query
 def anomaly_stats(spark, sf):
     results = view(spark, sf, "build_results")
-    return G.anomaly_stats(results, _days(7), G.latest(results))
+    return G.anomaly_stats(results, _days(7), G.latest(results), 12)
 
 
 @query
 def anomaly_timeseries(spark, sf):
     results = view(spark, sf, "build_results")
-    return G.anomaly_timeseries(results, "1 hour", _days(20), G.latest(results))
+    return G.anomaly_timeseries(results, "1 hour", _days(20), G.latest(results), 12)
 
 
 @query
 def anomaly_timeseries_weekly(spark, sf):
     results = view(spark, sf, "build_results")
-    return G.anomaly_timeseries(results, "2 weeks", _days(25), G.latest(results))
+    return G.anomaly_timeseries(results, "2 weeks", _days(25), G.latest(results), 12)
 
 
 def _audit(spark, sf):
@@ -821,7 +821,7 @@ def recent_raw_logs(spark, sf):
 
 @query
 def normal_vs_anomaly_series(spark, sf):
-    return G.normal_vs_anomaly_series(G.bucketed(view(spark, sf, "build_results"), "1 day"))
+    return G.normal_vs_anomaly_series(G.bucketed(view(spark, sf, "build_results"), "1 day", 12))
 
 
 @query
@@ -891,7 +891,7 @@ def stream_counters(spark, sf):
 @query
 def stream_timeseries(spark, sf):
     out = new_folder(spark, "series")
-    J.stream_timeseries(J.read_messages(spark, _queue(spark, sf, "build_results"), RESULT, 1), "1 hour", out).awaitTermination()
+    J.stream_timeseries(J.read_messages(spark, _queue(spark, sf, "build_results"), RESULT, 1), "1 hour", out, digits=12).awaitTermination()
     return spark.read.parquet(f"{out}/series").withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

@@ -242,7 +242,7 @@ def _uses(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or derived view as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     sql = _aggregates(VIEWS[name], _SPARK)
     for used in _uses(sql):
         temp = f"buildlens_{used}"
@@ -251,6 +251,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer splits than cores to all of them.
+
+    Text work costs far more than moving a small table once; a large table has
+    more splits than cores and is read in place.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def with_views(*names: str) -> str:
     """``WITH`` clause that defines the named views (and what they use) for the check engine."""
     order: list[str] = []

@@ -112,7 +112,7 @@ def counter_rows(query: StreamingQuery) -> list[tuple[int, int, int, int]]:
 
 
 def stream_timeseries(results: DataFrame, interval: str, out: str, closed_only: bool = False,
-                      delay: str = "1 hour", available_now: bool = True) -> StreamingQuery:
+                      delay: str = "1 hour", available_now: bool = True, digits: int = 6) -> StreamingQuery:
     """Keep the buckets of the time series.
 
     ``closed_only`` appends each bucket once, when the watermark has passed it;
@@ -121,12 +121,12 @@ def stream_timeseries(results: DataFrame, interval: str, out: str, closed_only:
     """
     timed = results.withColumn("created_at", F.col("created_at").cast("timestamp"))
     if closed_only:
-        series = bucketed(timed.withWatermark("created_at", delay), interval)
+        series = bucketed(timed.withWatermark("created_at", delay), interval, digits)
         writer = series.writeStream.outputMode("append").format("parquet").option("path", f"{out}/series")
     else:
         def replace(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{out}/series")
 
-        writer = bucketed(timed, interval).writeStream.outputMode("complete").foreachBatch(replace)
+        writer = bucketed(timed, interval, digits).writeStream.outputMode("complete").foreachBatch(replace)
     writer = writer.option("checkpointLocation", f"{out}/_checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
