@@ -79,8 +79,8 @@ _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week":
 _ORIGIN_DAY = 10959  # 2000-01-03, the Monday that buckets of days and weeks count from
 
 
-def time_bucket(interval: str, time: Column) -> Column:
-    """Start of the bucket of a time, e.g. ``1 hour``, ``15 minutes``, ``2 weeks``, ``1 month``."""
+def _bucket(interval: str, time: Column) -> tuple[Column, bool]:
+    """Grouping column of an interval, and whether it is a window (whose start is the bucket)."""
     match = re.fullmatch(r"\s*(\d+)\s+(second|minute|hour|day|week|month|year)s?\s*", interval.lower())
     if not match:
         raise ValueError(f"unsupported interval: {interval!r}")
@@ -88,10 +88,16 @@ def time_bucket(interval: str, time: Column) -> Column:
     if unit in ("month", "year"):
         n *= 12 if unit == "year" else 1
         months = (F.year(time) - 2000) * 12 + F.month(time) - 1
-        return F.add_months(F.lit(dt.date(2000, 1, 1)), (F.floor(months / n) * n).cast("int")).cast("timestamp_ntz")
+        return F.add_months(F.lit(dt.date(2000, 1, 1)), (F.floor(months / n) * n).cast("int")).cast("timestamp_ntz"), False
     seconds = n * _UNIT_SECONDS[unit]
     offset = _ORIGIN_DAY * 86400 % seconds
-    return F.window(time, f"{seconds} seconds", None, f"{offset} seconds")["start"]
+    return F.window(time, f"{seconds} seconds", None, f"{offset} seconds"), True
+
+
+def time_bucket(interval: str, time: Column) -> Column:
+    """Start of the bucket of a time, e.g. ``1 hour``, ``15 minutes``, ``2 weeks``, ``1 month``."""
+    key, is_window = _bucket(interval, time)
+    return key["start"] if is_window else key
 
 
 def anomaly_timeseries(results: DataFrame, interval: str, hours: int, as_of: dt.datetime, digits: int = 6) -> DataFrame:
@@ -100,11 +106,13 @@ def anomaly_timeseries(results: DataFrame, interval: str, hours: int, as_of: dt.
 
 
 def bucketed(results: DataFrame, interval: str, digits: int = 6) -> DataFrame:
-    return results.groupBy(time_bucket(interval, F.col("created_at")).alias("time")).agg(
+    # Grouped by the window itself, which keeps the watermark of a stream.
+    key, is_window = _bucket(interval, F.col("created_at"))
+    return results.groupBy(key.alias("_bucket")).agg(
         F.count(F.lit(1)).alias("total_builds"),
         F.count_if("is_anomaly").alias("anomalies"),
         F.coalesce(round_to(F.avg("anomaly_score"), digits), F.lit(0.0)).alias("avg_score"),
-    )
+    ).select((F.col("_bucket.start") if is_window else F.col("_bucket")).alias("time"), "total_builds", "anomalies", "avg_score")
 
 
 def normal_vs_anomaly_series(series: DataFrame) -> DataFrame:
