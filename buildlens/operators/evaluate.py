@@ -127,16 +127,20 @@ def roc_auc(df: DataFrame, score: str, y: str = "y", by: str | None = None, buck
 def stratified_folds(df: DataFrame, folds: int = 5, key: str = "build_id", y: str = "y") -> DataFrame:
     """Add ``fold``: position in hash order within the class, modulo the number of folds.
 
-    The position is exact but no task sorts a whole class: rows are ranked
-    within one of 4096 hash ranges and the ranges' sizes are accumulated apart.
+    The position is exact but no task sorts a whole class: keys are counted
+    first, ranked within one of 4096 hash ranges, and the sizes of the ranges are
+    accumulated apart.  Rows that share a key are dealt over the folds at random.
     """
-    hashed = df.withColumn("_h", F.md5(F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = hashed.groupBy(y, "_b").count()
-    upto = Window.partitionBy(y).orderBy("_b")
-    offsets = sizes.select(y, "_b", (F.sum("count").over(upto) - F.col("count")).alias("_o"))
-    inside = Window.partitionBy(y, "_b").orderBy("_h", key)
-    joined = hashed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), [y, "_b"])
-    return joined.withColumn("fold", ((F.col("_o") + F.col("_r") - 1) % folds).cast("int")).drop("_h", "_b", "_o", "_r")
+    keys = df.groupBy(y, key).agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_h", F.md5(F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = keys.groupBy(y, "_b").agg(F.sum("_n").alias("_size"))
+    offsets = sizes.select(y, "_b", (F.sum("_size").over(Window.partitionBy(y).orderBy("_b")) - F.col("_size")).alias("_o"))
+    before = F.sum("_n").over(Window.partitionBy(y, "_b").orderBy("_h", key)) - F.col("_n")
+    # Two classes times 4096 ranges at most.
+    placed = keys.withColumn("_before", before).join(F.broadcast(offsets), [y, "_b"]) \
+        .select(y, key, "_n", (F.col("_o") + F.col("_before")).alias("_at"))
+    copy = F.when(F.col("_n") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(folds))).otherwise(F.lit(0))
+    return df.join(placed, [y, key]).withColumn("fold", ((F.col("_at") + copy) % folds).cast("int")).drop("_at", "_n")
 
 
 # ---------------------------------------------------- forest experiments

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import round_to
@@ -28,12 +28,14 @@ def require_features(df: DataFrame, names: list[str] = rules.FEATURE_NAMES) -> D
     return df
 
 
-def alignment_report(spark: SparkSession, training: DataFrame, names: list[str] = rules.FEATURE_NAMES,
+def alignment_report(training: DataFrame, names: list[str] = rules.FEATURE_NAMES,
                      not_features: tuple[str, ...] = ("build_id", "label", "timestamp", "repository", "branch")) -> DataFrame:
-    """One row per column that is in the training table or the model, and where it is."""
+    """One row per column of the training table or the model: where it is and how many values it has."""
     trained = [c for c in training.columns if c not in not_features]
-    rows = [(c, c in trained, c in names) for c in dict.fromkeys([*trained, *names])]
-    return spark.createDataFrame(rows, "feature string, in_training boolean, in_model boolean")
+    entries = [F.struct(F.lit(c).alias("feature"), F.lit(c in trained).alias("in_training"), F.lit(c in names).alias("in_model"),
+                        (F.count(c) if c in trained else F.lit(0).cast("bigint")).alias("n_values"))
+               for c in dict.fromkeys([*trained, *names])]
+    return training.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("e")).select("e.*")
 
 
 def _value(name: str) -> Column:

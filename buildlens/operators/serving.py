@@ -160,12 +160,15 @@ def recent_raw_logs(raw_logs: DataFrame, limit: int = 10, tie: str = "delivery_i
 def recent_builds_status(metrics: DataFrame, results: DataFrame) -> DataFrame:
     """Builds with their results, newest build first; a build has one row per result.
 
-    Left to adaptive execution: a result side that turns out small is broadcast
-    and a build with very many results is split.
+    A left join cannot split a build with very many results over several tasks.
+    So builds with results come from an inner join, which adaptive execution
+    splits, and the others from an anti join with the distinct build ids.
     """
     right = results.select("build_id", "is_anomaly", "anomaly_score",
                            *[c for c in ("anomaly_reasons",) if c in results.columns])
-    return metrics.join(right, "build_id", "left").orderBy(F.desc("created_at"))
+    with_results = metrics.join(right, "build_id")
+    without = metrics.join(results.select("build_id").distinct(), "build_id", "left_anti")
+    return with_results.unionByName(without, allowMissingColumns=True).orderBy(F.desc("created_at"))
 
 
 def mark_processed(raw_logs: DataFrame, parsed: DataFrame, processed_at: Column, key: str = "delivery_id") -> DataFrame:

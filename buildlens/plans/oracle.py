@@ -586,3 +586,22 @@ _AXES = " UNION ALL ".join(
     f"SELECT build_id, {i} AS axis, '{n.replace('_', ' ')}' AS feature, round(least({n}::DOUBLE, 100), 4) AS value FROM feature_rows"
     for i, n in enumerate(NAMES[:6]))
 twin("radar_features", "feature_rows", f"SELECT *, 100 AS full_mark, round(least(value / 10 * 20, 100), 4)::DOUBLE AS bar FROM ({_AXES})")
+
+# ------------------------------------------- twins that need no model arithmetic
+
+_KNOWN = ("duration_seconds", "char_density", "error_count")
+twin("align_features", "feature_rows_missing", " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, {str(n in _KNOWN).lower()} AS in_training, true AS in_model, {f'count({n})' if n in _KNOWN else '0 * count(*)'} AS n_values FROM feature_rows_missing"
+    for n in NAMES))
+twin("model_versions", "feature_rows", """
+SELECT '1.0.0' AS version, '2024-01-30T00:00:00' AS trained_at, count(*) AS n_samples FROM feature_rows, range(2) WHERE label = 'normal' GROUP BY range
+UNION ALL SELECT '1.1.0', '2024-01-31T00:00:00', count(*) FROM feature_rows""")
+twin("process_pending", "deliveries", f"SELECT 4 AS batches, count(*) AS builds FROM deliveries WHERE {OK}")
+_STREAMED = f"""CASE shape WHEN 2 THEN concat(raw_logs, chr(10), 'one', chr(10), 'two 2') WHEN 5 THEN '' ELSE raw_logs END"""
+twin("stream_features", "delivery_parts", f"""
+WITH {_SHAPES}, texts AS (SELECT *, {_STREAMED} AS t FROM shapes)
+SELECT CASE WHEN shape IN (0, 1, 2, 4) THEN CAST(build_no AS VARCHAR) ELSE 'unknown' END AS build_id, repo_name,
+  CAST(CASE shape WHEN 0 THEN floor(duration_seconds) WHEN 1 THEN CAST(floor(duration_seconds) AS BIGINT) % 200
+       WHEN 2 THEN {_SECONDS} WHEN 4 THEN {_SECONDS} ELSE 0 END AS DOUBLE) AS duration_seconds,
+  CAST({_MEASURES['log_line_count']} AS BIGINT) AS log_line_count, CAST({_MEASURES['char_density']} AS DOUBLE) AS char_density,
+  CAST({_MEASURES['error_count']} AS BIGINT) AS error_count, CAST({_MEASURES['warning_count']} AS BIGINT) AS warning_count FROM texts""")

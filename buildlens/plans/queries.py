@@ -534,7 +534,7 @@ def template_lookup_join(spark, sf):
 
 @query
 def align_features(spark, sf):
-    return P.alignment_report(spark, view(spark, sf, "feature_rows").drop("char_density"))
+    return P.alignment_report(view(spark, sf, "feature_rows_missing"))
 
 
 @query
@@ -873,7 +873,8 @@ def stream_scoring(spark, sf):
 @query
 def process_pending(spark, sf):
     # One file per batch, until nothing is pending.
-    return spark.read.parquet(f"{_features_out(spark, sf, 1)}/build_metrics").groupBy("batch").agg(F.count(F.lit(1)).alias("builds"))
+    return spark.read.parquet(f"{_features_out(spark, sf, 1)}/build_metrics").agg(
+        F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("builds"))
 
 
 RESULT = "id long, build_id string, created_at timestamp_ntz, is_anomaly boolean, anomaly_score double, prediction int, confidence double, model_version string"
