@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions import rules
 from buildlens.operators import prep
-from buildlens.sources.storage import materialize
+from buildlens.sources.storage import materialize, spread
 
 NODE_SCHEMA = "variant int, tree_id int, node_id int, feature int, threshold double, lo int, hi int, path double"
 
@@ -167,7 +167,7 @@ def grow_trees(samples: DataFrame, features: list[str], max_depth: int, seed: in
                 out.append((v if without else group, tree, i, *node))
         return pd.DataFrame(out, columns=["variant", "tree_id", "node_id", "feature", "threshold", "lo", "hi", "path"])
 
-    return samples.groupBy("grp", "tree_id").applyInPandas(build, NODE_SCHEMA)
+    return spread(samples, "grp", "tree_id").groupBy("grp", "tree_id").applyInPandas(build, NODE_SCHEMA)
 
 
 def fit_forests(df: DataFrame, features: list[str] = rules.FEATURE_NAMES, key: str = "build_id",

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from buildlens.functions.numbers import round_to
 from buildlens.functions import logtext as L
 from buildlens.functions import rules
-from buildlens.sources.storage import materialize
+from buildlens.sources.storage import materialize, spread
 
 EMPTY = "empty"
 WILD = "<*>"
@@ -140,7 +140,7 @@ def _cluster(seqs: DataFrame, threshold: float) -> DataFrame:
         if leaf is not None and leaf.grown:
             yield leaf.templates()
 
-    ordered = seqs.select("leaf", "part", "seen", "sid", "seq").repartition("leaf", "part") \
+    ordered = spread(seqs.select("leaf", "part", "seen", "sid", "seq"), "leaf", "part") \
         .sortWithinPartitions("leaf", "part", "seen", "sid").select("leaf", "part", "sid", "seq")
     return ordered.mapInPandas(run, "sid string, lid string, template string")
 

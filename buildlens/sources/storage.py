@@ -36,6 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys into the session's number of shuffle partitions.
+
+    For Python work per group: adaptive execution judges partitions by size and
+    would put small but compute-heavy groups into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def append_by_period(df: DataFrame, path: str, time_column: str = "created_at", period: str = "day") -> None:
     """Append to a table partitioned by the day (week, month) of its time column.
 
