@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import sharding
+from buildlens.llm import packing, pii, sharding
+
+#: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced, and what was replaced by what kind."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (pii.pseudonymise(docs, report="found")
+            .select("doc_id", "text", F.size("found").alias("n_entities"),
+                    F.transform("found", lambda r: r["kind"]).alias("kinds"),
+                    F.transform("found", lambda r: r["replacement"]).alias("replacements")))
+
+
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return (sharding.assign(_table(spark, sf_dir, "documents"), 24)
@@ -20,6 +37,8 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_vector_best_fit": op8_vector_best_fit,
+    "op9_surrogates": op9_surrogates,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
 
