@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import packing, pii, sharding
+from buildlens.llm import minhash, packing, pii, sharding
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -37,6 +42,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_postings": op2_minhash_postings,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_surrogates": op9_surrogates,
     "op10_sampled_splitters": op10_sampled_splitters,
