@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import minhash, packing, pii, sharding
+from buildlens.llm import langid, minhash, packing, pii, sharding
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
+from buildlens.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,14 @@ def op2_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those with crc32(id) mod 4 other than 2."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
+    return (langid.identify(docs, model).withColumn("held_out", held_out("doc_id", 4, 2))
+            .select("doc_id", "held_out", "lang_pred", "score", "margin", "ambiguous"))
+
+
 def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -43,6 +52,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_postings": op2_minhash_postings,
+    "op4_output_codes": op4_output_codes,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_surrogates": op9_surrogates,
     "op10_sampled_splitters": op10_sampled_splitters,
