@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import langid, minhash, packing, pii, sharding
+from buildlens.llm import langid, minhash, packing, pii, sharding, toxicity
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,15 @@ def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score", "margin", "ambiguous"))
 
 
+def op6_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of those with crc32(id) mod 3 other than 1."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    model = toxicity.fit(docs, labels)
+    return (toxicity.score(docs, model).withColumn("held_out", held_out("doc_id", 3, 1))
+            .select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), "spans"))
+
+
 def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -53,6 +62,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_minhash_postings": op2_minhash_postings,
     "op4_output_codes": op4_output_codes,
+    "op6_chain_field": op6_chain_field,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_surrogates": op9_surrogates,
     "op10_sampled_splitters": op10_sampled_splitters,
