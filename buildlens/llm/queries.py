@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import langid, minhash, packing, pii, sharding, toxicity
+from buildlens.llm import langid, minhash, norm_search, packing, permutation_index, pii, sharding, toxicity
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,12 @@ def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score", "margin", "ambiguous"))
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return permutation_index.search(permutation_index.build(rows), rows.where("vec_id % 50 = 0"))
+
+
 def op6_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels of those with crc32(id) mod 3 other than 1."""
     docs = _table(spark, sf_dir, "documents")
@@ -38,6 +44,12 @@ def op6_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), "spans"))
 
 
+def op7_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every fiftieth vector."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return norm_search.top_products(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -62,7 +74,9 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_minhash_postings": op2_minhash_postings,
     "op4_output_codes": op4_output_codes,
+    "op5_permutation_index": op5_permutation_index,
     "op6_chain_field": op6_chain_field,
+    "op7_norm_sorted": op7_norm_sorted,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_surrogates": op9_surrogates,
     "op10_sampled_splitters": op10_sampled_splitters,
