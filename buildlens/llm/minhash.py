@@ -15,7 +15,10 @@ Lists are linked in steps, so that a group of copies never yields all its pairs:
    lists' smallest members): a star per list;
 2. each component that meets another in a list, through one member, against the list's
    most frequent component;
-3. all pairs that remain between classes of different components.
+3. all pairs that remain between classes of different components, compared inside the
+   join by odd sketches of their sets (Mitzenmacher et al., 2014): the bits in which two
+   sketches differ never outnumber the shingles in which the sets differ, so this drops
+   no link and leaves hardly a pair that is none.
 
 Every link is confirmed on the full sets.  A pair left out in step 3 joins classes that
 are already linked, so the components are those of all links.
@@ -41,8 +44,10 @@ MATCHES = 70
 POSTED = 64
 POSTED_MATCHES = 30
 SEED = 20240229
+#: 64-bit words of the odd sketch.
+SKETCH = 16
 
-FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
+FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, sketch array<long>"
 
 
 class _Words(dict):
@@ -87,8 +92,14 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return ((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of the set's members hash to it."""
+    bits = np.bincount((hashes >> np.uint64(11)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, signature`` per row; no signature for an empty set.
+    """``doc_id, n_shingles, set_a, set_b, signature, sketch`` per row; neither of the last for an empty set.
 
     Two documents have the same 128-bit hash of their sorted sets only if the sets agree.
     """
@@ -112,7 +123,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 "n_shingles": [len(s) for s in sets],
                 "set_a": np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64),
                 "set_b": np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64),
-                "signature": signatures})
+                "signature": signatures,
+                "sketch": [_odd_sketch(s) if len(s) else None for s in sets]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, FEATURES)
 
@@ -223,26 +235,26 @@ def bridge_pairs(lists: DataFrame) -> DataFrame:
 
 
 def rest_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 3: all pairs of different components that share a list.
+    """Step 3: all pairs of different components that share a list and may be similar enough.
 
     Members outside a list's largest component meet all of the list, so the join looks at
-    about as many rows as there are such pairs.  One bit of each coordinate is compared
-    inside the join: at the threshold 16 of 128 differ on average, beyond 36 (a chance below
-    1e-6) the pair is not written out.
+    about as many rows as there are such pairs.  Sets with Jaccard 0.75 differ in at most a
+    seventh of their sizes' sum.  A pair is written for its smallest common list only.
     """
-    powers = F.lit([1 << k for k in range(63)] + [-(1 << 63)])
-    bits = [F.aggregate(F.transform(F.slice("signature", i + 1, 64), lambda x, k: F.when(x % 2 != 0, F.get(powers, k)).otherwise(0)),
-                        F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)) for i in (0, 64)]
-    sketch = classes.select("doc_id", bits[0].alias("s0"), bits[1].alias("s1"))
     per = lists.groupBy("key", "component_id").agg(F.count("*").alias("n"))
     major = (per.groupBy("key").agg(F.max_by("component_id", F.struct("n", -F.col("component_id"))).alias("major"), F.count("*").alias("parts"))
              .where("parts > 1").drop("parts"))
-    rows = materialize(lists.join(major, "key").join(sketch, "doc_id"), "minhash-lists")
+    contested = materialize(lists.join(major, "key"), "minhash-contested")
+    own = contested.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most the prefix
+    rows = materialize(contested.join(own, "doc_id").join(classes.select(
+        "doc_id", *[F.coalesce(F.get("sketch", F.lit(i)), F.lit(0)).alias(f"s{i}") for i in range(SKETCH)]), "doc_id"), "minhash-lists")
     minor = rows.where("component_id <> major").select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
-    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("x_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("x_s1")))
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"x_s{i}"))) for i in range(SKETCH)), F.lit(0))
     once = (F.col("component_id") == F.col("major")) | (F.col("x_doc_id") < F.col("doc_id"))
+    near = differ * (200 - (100 - PERCENT)) <= (F.col("n_shingles") + F.col("x_n_shingles")) * (100 - PERCENT)
+    least = F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key")
     return (minor.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component_id") != F.col("component_id")) & once
-                       & _similar_sizes(F.col("n_shingles"), F.col("x_n_shingles")) & (differ <= 36))
+                       & _similar_sizes(F.col("n_shingles"), F.col("x_n_shingles")) & near & least)
             .select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct())
 
 
@@ -261,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_set = materialize(by_set, "minhash-sets")
     reps = by_set.select(F.col("rep").alias("doc_id"), "set_a", "set_b")
     classes = materialize(full.join(reps, ["doc_id", "set_a", "set_b"], "left_semi")
-                          .dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "signature"), "minhash-classes")
+                          .dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "signature", "sketch"), "minhash-classes")
     lists = materialize(postings(classes), "minhash-postings")
     listed = lists.select("doc_id").distinct()
     texts = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
