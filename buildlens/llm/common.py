@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: bounds a Python worker's memory when texts are long.
@@ -28,19 +28,24 @@ def held_out(id_col: str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(id_col, modulus) == rest, F.lit(False))
 
 
+#: Distinct groups that a sample may have (languages, labels): their counts go through the driver.
+MAX_GROUPS = 10_000
+
+
 def bounded_sample(df: DataFrame, group: str, per_group: int, keys: list[str]) -> DataFrame:
     """At most ``per_group`` rows of each group, those with the smallest hashes of ``keys``.
 
-    The share of hashes that leaves about twice the bound is found from the counts
-    and filtered first, so no task sorts a whole group however large it is; copies
-    of a row share a hash, a second hash of the row's place separates them.
+    The share of hashes that leaves about twice the bound follows from the groups' counts
+    and is filtered while scanning, so what is ranked is small however large a group is.
+    Copies share a hash; the row limit is applied per task before the shuffle.
     """
-    from pyspark.sql import Window
-
-    spot = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
-    counts = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    thin = (df.withColumn("__u", spot).join(counts, F.col(group) == F.col("__g"))
-            .where(F.col("__u") < F.lit(2.0 * per_group + 64) / F.col("__n")))
+    counts = df.groupBy(group).agg(F.count("*")).limit(MAX_GROUPS + 1).collect()
+    if len(counts) > MAX_GROUPS:
+        raise ValueError(f"{group} has more than {MAX_GROUPS} values")
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / (1 << 30)
+    share = [F.lit(x) for g, n in counts if g is not None for x in (g, (2.0 * per_group + 64) / n)]
+    if not share:
+        return df.limit(0)
+    thin = df.withColumn("__u", spot).where(F.col("__u") < F.create_map(*share)[F.col(group)])
     order = Window.partitionBy(group).orderBy("__u", *keys)
-    return (thin.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_group)
-            .drop("__u", "__r", "__g", "__n"))
+    return thin.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_group).drop("__u", "__r")

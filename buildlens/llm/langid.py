@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +172,13 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return Model(**pickle.loads(found[0][0])) if found else None
 
 
+def decide(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
+    """Language, score, margin and ambiguity of each text."""
+    out = [(UNDETERMINED, 0.0, 0.0, True) if model is None or not t or not _LETTER.search(t) else (*(d := model.decode(model.margins(t))), d[2] < MARGIN)
+           for t in texts]
+    return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [], [])
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, margin, ambiguous`` of every row, from its whole text alone.
 
@@ -183,20 +191,26 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch["text"].tolist():
-                if own is None or not text or not _LETTER.search(text):
-                    out.append((UNDETERMINED, 0.0, 0.0, True))
-                else:
-                    lang, score, gap = own.decode(own.margins(text))
-                    out.append((lang, score, gap, gap < MARGIN))
-            found = pd.DataFrame(out, columns=["lang_pred", "score", "margin", "ambiguous"])
-            found.insert(0, "id", batch["id"].astype(object).where(batch["id"].notna(), None))
-            yield found
+            lang, score, gap, close = decide(shared.value, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(close, pa.bool_())],
+                ["id", "lang_pred", "score", "margin", "ambiguous"])
 
     schema = f"id {kind}, lang_pred string, score double, margin double, ambiguous boolean"
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
             .withColumnRenamed("id", id_col))
+
+
+def filter_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose language is determined and not ambiguous, all columns as they are."""
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _, _, close = decide(shared.value, batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([x != UNDETERMINED and not c for x, c in zip(lang, close, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

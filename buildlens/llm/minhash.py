@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,12 +106,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     arrow_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             if len(words) > 2_000_000:
                 words.clear()
-            sets = [shingle_hashes(t, words) for t in batch["text"].tolist()]
+            sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             signatures: list = [None] * len(sets)
             for at in range(0, len(full), 200):
@@ -118,15 +119,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for i, s in zip(some, _signatures([sets[i] for i in some]), strict=True):
                     signatures[i] = s
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None),
-                "n_shingles": [len(s) for s in sets],
-                "set_a": np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64),
-                "set_b": np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64),
-                "signature": signatures,
-                "sketch": [_odd_sketch(s) if len(s) else None for s in sets]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, FEATURES)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64)),
+                pa.array(np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64)),
+                pa.array(signatures, pa.list_(pa.int32())),
+                pa.array([_odd_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_a", "set_b", "signature", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FEATURES)
 
 
 def _similar_sizes(a: Column, b: Column) -> Column:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +56,26 @@ def tokenize(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
     ranks = spark.sparkContext.broadcast(byte_ranks(path))  # the vocabulary, one entry a token
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         for batch in batches:
-            out = []
-            for key, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
+            row, out, kept = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array(encoding.encode_ordinary(text or "") + [end_id], dtype="<u4")
-                key = None if pd.isna(key) else key
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start:start + length]
-                    out.append((key, piece, start, length, zlib.crc32(own.tobytes())) + ((own.astype("int32"),) if keep_ids else ()))
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids).astype({"id": object})
+                    row.append(i)
+                    out.append((piece, start, length, zlib.crc32(own.tobytes())))
+                    kept.append(own.astype("int32") if keep_ids else None)
+            found = np.array(out, dtype=np.int64).reshape(-1, 4)
+            columns = [batch.column("id").take(pa.array(row, pa.int64())), pa.array(found[:, 0].astype(np.int32)), *[pa.array(found[:, k]) for k in (1, 2, 3)]]
+            names = ["id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names + ["ids"] * keep_ids)
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
             .withColumnRenamed("id", id_col))
 
 
@@ -174,21 +178,22 @@ def place(pieces: DataFrame, keys: list[str], capacity: Capacity | None = None)
     shared = spark.sparkContext.broadcast(table)  # a few rows per length and residual
     columns = pieces.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = shared.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["__rank"].to_numpy(np.int64)
-            at = np.empty(len(batch), dtype=np.int64)
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
+            at = np.empty(len(length), dtype=np.int64)
             for n in np.unique(length):
                 mine = length == n
                 lo, hi = np.searchsorted(step[:, 0], [n, n + 1])
                 at[mine] = lo + np.searchsorted(step[lo:hi, 1], rank[mine], side="right") - 1
             within = rank - step[at, 1]
-            yield batch[columns].assign(sequence_id=step[at, 3] + within // step[at, 4],
-                                        offset=step[at, 5] + within % step[at, 4] * length)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in columns] + [pa.array(step[at, 3] + within // step[at, 4]), pa.array(step[at, 5] + within % step[at, 4] * length)],
+                [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+    return ranked.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: Capacity | None = None, end_id: int = 2, id_col: str = "doc_id",

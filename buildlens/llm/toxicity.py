@@ -21,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import arrow_batches, bounded_sample
@@ -265,8 +266,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
               .where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(marked, "id")
-    sample = bounded_sample(rows, "y", per_label, ["id", "text"]).select("y", "text")
+    # Labels are drawn before the texts are met; the limit holds again where an id has many rows.
+    drawn = F.broadcast(bounded_sample(marked, "y", per_label, ["id"]))  # at most 2 * per_label ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(drawn, "id")
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id", "text"), "id", "text")
+    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("y", "text")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["text", "y"]).sample(frac=1, random_state=5)
@@ -279,6 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 SPANS = "array<struct<start:int,end:int,probability:double>>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
+
+
+def offending(text: str | None, p: np.ndarray) -> list[dict]:
+    """Character offsets of the words whose marginal reaches ``SPAN`` (in the lower-cased text where that is longer)."""
+    hot = np.flatnonzero(p >= SPAN)
+    if not len(hot):
+        return []
+    places = [m.span() for m in _WORD.finditer(text.lower())]
+    return [{"start": places[i][0], "end": places[i][1], "probability": float(p[i])} for i in hot]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,26 +306,34 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         emissions = _Emissions(own.weight)
         for batch in batches:
             if len(emissions) > 1_000_000:
                 emissions.clear()
-            texts = batch["text"].tolist()
+            texts = batch.column("text").to_pylist()
             scores, parts = own.documents(texts, emissions)
-            spans: list = []
-            for text, p in zip(texts, parts, strict=True):
-                hot = np.flatnonzero(p >= SPAN)
-                found = []
-                if len(hot):
-                    lowered = text.lower()
-                    source = text if len(lowered) == len(text) else lowered  # offsets of the lower-cased text where it is longer
-                    places = [m.span() for m in _WORD.finditer(source.lower())]
-                    found = [{"start": places[i][0], "end": places[i][1], "probability": float(p[i])} for i in hot]
-                spans.append(found)
-            yield pd.DataFrame({"id": batch["id"].astype(object).where(batch["id"].notna(), None), "score": scores,
-                                "predicted": (scores >= THRESHOLD).astype(int), "spans": spans})
+            spans = [offending(t, p) for t, p in zip(texts, parts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(spans, SPAN_TYPE)],
+                ["id", "score", "predicted", "spans"])
 
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, f"id {kind}, score double, predicted int, spans {SPANS}").withColumnRenamed("id", id_col))
+            .mapInArrow(run, f"id {kind}, score double, predicted int, spans {SPANS}").withColumnRenamed("id", id_col))
+
+
+def filter_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that score below the threshold, all columns as they are."""
+    arrow_batches(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = _Emissions(shared.value.weight)
+        for batch in batches:
+            if len(emissions) > 1_000_000:
+                emissions.clear()
+            scores, _ = shared.value.documents(batch.column(text_col).to_pylist(), emissions)
+            yield batch.filter(pa.array(scores < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
