@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import langid, minhash, norm_search, packing, permutation_index, pii, sharding, toxicity
+from buildlens.llm import langid, minhash, norm_search, packing, permutation_index, piece_transducer, pii, sharding, toxicity
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +21,11 @@ def op2_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, as a digest of its ids, and decoded again."""
+    return piece_transducer.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those with crc32(id) mod 4 other than 2."""
     docs = _table(spark, sf_dir, "documents")
@@ -73,6 +78,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_postings": op2_minhash_postings,
+    "op3_transducer": op3_transducer,
     "op4_output_codes": op4_output_codes,
     "op5_permutation_index": op5_permutation_index,
     "op6_chain_field": op6_chain_field,
