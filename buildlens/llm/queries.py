@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import langid, minhash, norm_search, packing, permutation_index, piece_transducer, pii, sharding, toxicity
+from buildlens.llm import langid, licenses, minhash, norm_search, packing, permutation_index, piece_transducer, pii, sharding, toxicity
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document: confirmed families, and all classified paragraphs."""
+    docs = _table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+    confirmed = F.filter("paragraphs", lambda p: p["confirmed"])
+    return found.select("doc_id", F.array_sort(F.array_distinct(F.transform(confirmed, lambda p: p["family"]))).alias("families"),
+                        F.size(confirmed).alias("n_confirmed"), "paragraphs")
+
+
 def op2_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -77,6 +86,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_paragraph_classifier": op1_paragraph_classifier,
     "op2_minhash_postings": op2_minhash_postings,
     "op3_transducer": op3_transducer,
     "op4_output_codes": op4_output_codes,
