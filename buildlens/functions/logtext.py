@@ -96,44 +96,74 @@ def keyword_token_count(text: Column, words: list[str]) -> Column:
 
 # --------------------------------------------------------------- patterns
 
-# Lower-case text every match of the pattern must contain.  A plain substring
-# search is far cheaper than a case-insensitive pattern, and most logs contain
-# none of these.  No needle holds an "s": its Unicode variant (U+017F) matches
-# the pattern but does not lower-case to "s".
-_NEEDLES = {
-    r"curl.*-X\s*POST": ["curl"],
-    r"wget.*--post": ["wget"],
-    r"nc\s+(-e|-c)": ["nc"],
-    r"bash\s+-i": ["-i"],
-    r"/dev/tcp/": ["/dev/tcp/"],
-    r"mkfifo": ["mkfifo"],
-    r"xmrig|minerd|cryptonight": ["xmrig", "minerd", "cryptonight"],
-    r"stratum\+tcp://": ["tratum+tcp://"],
-    r"hashrate": ["hrate"],
-    r"cat\s+/etc/(passwd|shadow)": ["/etc/"],
-    r"\$\([^)]+\)": ["$("],
-    r"curl\s+.*-X\s+POST": ["curl"],
-    r"wget\s+.*--post": ["wget"],
-    r"\bnc\s+(-e|-c)\b": ["nc"],
-    r"bash\s+-i\b": ["-i"],
-    r"\bmkfifo\b": ["mkfifo"],
-    r"\bxmrig\b": ["xmrig"],
-    r"\bminerd\b": ["minerd"],
-    r"\bcryptonight\b": ["cryptonight"],
-    r"cat\s+/etc/passwd": ["/etc/"],
-    r"cat\s+/etc/shadow": ["/etc/"],
-    r"(?:^|;|\|)\s*eval\s+": ["eval"],
-    rules.BASE64_PATTERN: ["ba", "echo"],
-}
+# Letters that a case-insensitive pattern also finds as characters whose lower case is
+# another one: dotless and dotted i (U+0131, U+0130) and long s (U+017F).
+_VARYING = "is"
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+
+
+def _end(pattern: str, at: int) -> int:
+    """Index after the group, set or bound that opens at ``at``."""
+    opening, depth, i = pattern[at], 0, at
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[" and i > at:
+            i = _end(pattern, i) - 1
+        elif pattern[i] == opening and opening != "[":
+            depth += 1
+        elif pattern[i] == _CLOSING[opening] and i > at:
+            depth -= 1
+            if depth <= 0:
+                return i + 1
+        i += 1
+    return len(pattern)
+
+
+def needles(pattern: str) -> list[str]:
+    """Lower-case texts of which every match contains one; empty if the pattern has no such text.
+
+    Each top-level alternative gives the longest run of characters it always holds.  A
+    plain substring search is far cheaper than a case-insensitive pattern, and most logs
+    contain none of these.
+    """
+    if pattern.startswith("(?:") and _end(pattern, 0) == len(pattern):
+        return needles(pattern[3:-1])
+    alternatives: list[list[str]] = [[""]]
+    i = 0
+    while i < len(pattern):
+        runs, c, after = alternatives[-1], pattern[i], i + 1
+        literal = ""
+        if c == "\\":
+            after += 1
+            literal = "" if pattern[i + 1].isalnum() else pattern[i + 1]
+        elif c in _CLOSING:
+            after = _end(pattern, i)
+            if c == "{":
+                runs[-1] = runs[-1][:-1]
+        elif c in "*?":
+            runs[-1] = runs[-1][:-1]
+        elif c == "|":
+            alternatives.append([])
+            runs = alternatives[-1]
+        elif c not in "+.^$":
+            literal = c
+        if literal and literal.lower() not in _VARYING:
+            runs[-1] += literal.lower()
+        else:
+            runs.append("")
+        i = after
+    out = [max(runs, key=len) for runs in alternatives]
+    return out if all(len(n) > 1 for n in out) else []
 
 
 def pattern_count(text: Column, lowered: Column, pattern: str, flags: str = "idU") -> Column:
     """Matches of one pattern over the whole text, skipped where no match is possible."""
     count = F.regexp_count(text, F.lit(f"(?{flags}){pattern}"))
-    needles = _NEEDLES.get(pattern)
-    if not needles:
+    found = needles(pattern)
+    if not found:
         return count
-    possible = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n)) for n in needles])
+    possible = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n)) for n in found])
     return F.when(possible, count).otherwise(F.lit(0))
 
 

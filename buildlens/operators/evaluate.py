@@ -129,7 +129,7 @@ def stratified_folds(df: DataFrame, folds: int = 5, key: str = "build_id", y: st
 
     The position is exact but no task sorts a whole class: keys are counted
     first, ranked within one of 4096 hash ranges, and the sizes of the ranges are
-    accumulated apart.  Rows that share a key are dealt over the folds at random.
+    accumulated apart.  Rows that share a key are dealt over the folds by a hash of their content.
     """
     keys = df.groupBy(y, key).agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_h", F.md5(F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
@@ -139,7 +139,7 @@ def stratified_folds(df: DataFrame, folds: int = 5, key: str = "build_id", y: st
     # Two classes times 4096 ranges at most.
     placed = keys.withColumn("_before", before).join(F.broadcast(offsets), [y, "_b"]) \
         .select(y, key, "_n", (F.col("_o") + F.col("_before")).alias("_at"))
-    copy = F.when(F.col("_n") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(folds))).otherwise(F.lit(0))
+    copy = F.when(F.col("_n") > 1, F.pmod(F.xxhash64(*sorted(df.columns)), F.lit(folds))).otherwise(F.lit(0))
     return df.join(placed, [y, key]).withColumn("fold", ((F.col("_at") + copy) % folds).cast("int")).drop("_at", "_n")
 
 
@@ -185,12 +185,12 @@ def permutation_importance(df: DataFrame, names: list[str] = rules.FEATURE_NAMES
 def shuffle_features(df: DataFrame, names: list[str], key: str = "build_id", rows_per_range: int = 10_000) -> DataFrame:
     """Add ``_s_<name>``: each feature moved to another row.
 
-    Rows are dealt to random ranges.  Within a range every feature is put in its
+    Rows are dealt to ranges by a hash of the key.  Within a range every feature is put in its
     own hash order and takes the value of the next row, the last one that of the
     first: a permutation per feature with one shuffle in all.
     """
-    ranges = max(1, df.count() // rows_per_range)
-    dealt = df.withColumn("_g", F.floor(F.rand(rules.RANDOM_STATE) * ranges))
+    ranges = -(-df.count() // rows_per_range)
+    dealt = df.withColumn("_g", F.pmod(F.xxhash64(F.lit(rules.RANDOM_STATE), F.col(key)), F.lit(max(ranges, 1))))
     moved = {}
     for i, name in enumerate(names):
         order = Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(i), F.col(key)), key)

@@ -9,10 +9,9 @@
 4. Line counts and first sights of the clusters are aggregated, and lines get
    their template by an equality join on the hash of their sequence.
 
-A leaf with very many distinct sequences is cut into hash parts that are
-clustered side by side; the parts' templates are then clustered once more, so
-no task ever walks an unbounded leaf.  A template id is the hash of the first
-sequence of its cluster in the order of first sight.
+One rule holds at every size: a leaf is walked in the order of first sight by one
+task, which keeps its clusters, not its sequences.  A template id is the hash of the
+first sequence of its cluster.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ from buildlens.sources.storage import materialize, spread
 
 EMPTY = "empty"
 WILD = "<*>"
-LEAF_PART_ROWS = 50_000
 
 
 def masked_lines(builds: DataFrame, text: str = "raw_logs", key: str = "build_id") -> DataFrame:
@@ -129,7 +127,7 @@ def _cluster(seqs: DataFrame, threshold: float) -> DataFrame:
         at, leaf = None, None
         for pdf in batches:
             leaders = []
-            for place, sid, seq in zip(zip(pdf["leaf"], pdf["part"]), pdf["sid"], pdf["seq"]):
+            for place, sid, seq in zip(pdf["leaf"], pdf["sid"], pdf["seq"]):
                 tokens = seq.split(" ")
                 if place != at:
                     if leaf is not None and leaf.grown:
@@ -140,8 +138,8 @@ def _cluster(seqs: DataFrame, threshold: float) -> DataFrame:
         if leaf is not None and leaf.grown:
             yield leaf.templates()
 
-    ordered = spread(seqs.select("leaf", "part", "seen", "sid", "seq"), "leaf", "part") \
-        .sortWithinPartitions("leaf", "part", "seen", "sid").select("leaf", "part", "sid", "seq")
+    ordered = spread(seqs.select("leaf", "seen", "sid", "seq"), "leaf") \
+        .sortWithinPartitions("leaf", "seen", "sid").select("leaf", "sid", "seq")
     return ordered.mapInPandas(run, "sid string, lid string, template string")
 
 
@@ -156,8 +154,8 @@ def _templates(clustered: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def mine_templates(lines: DataFrame, threshold: float = rules.TEMPLATE_SIMILARITY,
-                   prefix: int = rules.TEMPLATE_PREFIX_TOKENS, max_children: int | None = rules.TEMPLATE_MAX_CHILDREN,
-                   part_rows: int = LEAF_PART_ROWS) -> tuple[DataFrame, DataFrame]:
+                   prefix: int = rules.TEMPLATE_PREFIX_TOKENS,
+                   max_children: int | None = rules.TEMPLATE_MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
     """``(templates, assignment)`` of masked lines.
 
     templates: ``template_id, template, tokens, n, seen`` with the line count ``n``.
@@ -165,26 +163,8 @@ def mine_templates(lines: DataFrame, threshold: float = rules.TEMPLATE_SIMILARIT
     """
     seqs = materialize(sequences(lines), "sequences")
     leaves = materialize(with_leaves(seqs, prefix, max_children), "leaves")
-    sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size"))
-    large = materialize(sizes.filter(F.col("_size") > part_rows), "large-leaves")
-    if large.isEmpty():
-        clustered = materialize(_cluster(leaves.withColumn("part", F.lit(0)), threshold), "clusters")
-        templates = _templates(clustered, leaves)
-    else:
-        parts = F.coalesce(F.ceil(F.col("_size") / part_rows), F.lit(1))
-        placed = leaves.join(large, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
-        first = materialize(_cluster(placed, threshold), "clusters")
-        heads = materialize(_templates(first, leaves), "part-templates")
-        # The templates of a cut leaf's parts are clustered once more, in order of first sight.
-        cut = leaves.join(large.select("leaf"), "leaf", "left_semi").select(F.col("sid").alias("lid"), "leaf")
-        again = materialize(heads.join(cut, "lid").select(
-            "leaf", F.lit(0).alias("part"), "seen", F.col("lid").alias("sid"), F.col("template").alias("seq"), "n"), "part-heads")
-        merged = materialize(_cluster(again, threshold), "merged-clusters")
-        whole = heads.join(cut, "lid", "left_anti").select("lid", "template", "n", "seen")
-        templates = whole.unionByName(_templates(merged, again))
-        moved = merged.filter("sid IS NOT NULL").select(F.col("sid").alias("lid"), F.col("lid").alias("_to"))
-        clustered = first.filter("sid IS NOT NULL").join(moved, "lid", "left") \
-            .select("sid", F.coalesce("_to", "lid").alias("lid"), F.lit(None).cast("string").alias("template"))
+    clustered = materialize(_cluster(leaves, threshold), "clusters")
+    templates = _templates(clustered, leaves)
     templates = materialize(templates.withColumn("template_id", F.substring("lid", 1, 12)), "templates")
     assignment = clustered.filter("sid IS NOT NULL").select("sid", "lid") \
         .join(templates.select("lid", "template_id", "template"), "lid").select("sid", "template_id", "template")
@@ -232,18 +212,15 @@ def simple_lines(builds: DataFrame, text: str = "raw_logs", key: str = "build_id
         .withColumn("template_id", F.substring(F.md5("template"), 1, 12))
 
 
-def parsed_logs(assigned: DataFrame, key: str = "build_id", last: int = 50) -> DataFrame:
-    """``(raw_log_id, templates, event_ids)``: the last templates each build showed, with counts.
+def parsed_logs(assigned: DataFrame, key: str = "build_id") -> DataFrame:
+    """``(raw_log_id, templates, event_ids)``: all templates each build showed, with counts.
 
-    Lines are counted per build and template before anything is collected, and
-    only the last ones per build are kept.
+    Lines are counted per build and template before anything is collected.
     """
     counts = assigned.groupBy(key, "template_id", "template").agg(
         F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line"))
-    order = Window.partitionBy(key).orderBy(F.desc("first_line"), "template_id")
-    kept = counts.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= last)
     entry = F.struct("first_line", "template_id", "template", "count")
-    return kept.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_e")).select(
+    return counts.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_e")).select(
         F.col(key).alias("raw_log_id"),
         F.transform("_e", lambda e: F.struct(e["template_id"], e["template"], e["count"])).alias("templates"),
         F.transform("_e", lambda e: e["template_id"]).alias("event_ids"))

@@ -70,7 +70,8 @@ def _enrichment(field: str) -> Column:
 
 
 def normalize_build(payloads: DataFrame, duration_mode: str = "strict") -> DataFrame:
-    """``(build_id, repo_name, branch, commit_sha, duration_seconds, raw_logs, steps, provider)``.
+    """``(build_id, repo_name, branch, commit_sha, duration_seconds, raw_logs, steps, provider)``,
+    after ``delivery_id`` and ``received_at`` where the payloads have them.
 
     Values come from the payload, then from the enrichment or the vendor
     extension.  Job traces in ``log_content`` count as raw logs.
@@ -92,7 +93,7 @@ def normalize_build(payloads: DataFrame, duration_mode: str = "strict") -> DataF
     logs = F.coalesce(present(_enrichment("raw_logs")), F.col("_enriched.log_content"), F.lit(""))
     none = F.array().cast(f"array<{schemas.STEP}>")
     return payloads.withColumn("_repo", repository()).select(
-        *[c for c in ("delivery_id",) if c in payloads.columns],
+        *[c for c in ("delivery_id", "received_at") if c in payloads.columns],
         F.when(gitlab, F.coalesce(attrs["id"], request)).otherwise(F.coalesce(run["id"], request)).alias("build_id"),
         value(F.col("_repo.full_name"), F.col("project.path_with_namespace"), "repository").alias("repo_name"),
         value(run["head_branch"], attrs["ref"], "branch").alias("branch"),

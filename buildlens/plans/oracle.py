@@ -129,10 +129,9 @@ ids AS (SELECT *, left(md5(template), 12) AS template_id FROM simple)"""
 
 twin("sink_parsed_logs", "all_logs", f"""
 WITH {_TEMPLATES},
-counts AS (SELECT build_id, template_id, count(*) AS n, min(line_no) AS first_line FROM ids GROUP BY ALL),
-kept AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY first_line DESC, template_id) AS k FROM counts)
+counts AS (SELECT build_id, template_id, count(*) AS n, min(line_no) AS first_line FROM ids GROUP BY ALL)
 SELECT build_id AS raw_log_id, string_agg(template_id, ',' ORDER BY first_line, template_id) AS event_ids,
-  CAST(count(*) AS INTEGER) AS n_templates, CAST(sum(n) AS BIGINT) AS n_lines FROM kept WHERE k <= 50 GROUP BY build_id""")
+  CAST(count(*) AS INTEGER) AS n_templates, CAST(sum(n) AS BIGINT) AS n_lines FROM counts GROUP BY build_id""")
 
 twin("assemble_log_files", "log_files", """
 SELECT run_id, string_agg(concat('=== ', file_name, ' ===', chr(10), content), concat(chr(10), chr(10)) ORDER BY file_no) AS raw_logs,

@@ -885,8 +885,7 @@ def stream_counters(spark, sf):
     out = new_folder(spark, "counters")
     run = J.stream_counters(J.read_messages(spark, _queue(spark, sf, "build_results"), RESULT), out)
     run.awaitTermination()
-    return spark.createDataFrame(J.counter_rows(run), "batch long, input_rows long, processed_total long, anomalies_detected long") \
-        .agg(F.sum("processed_total").alias("processed_total"), F.sum("anomalies_detected").alias("anomalies_detected"))
+    return J.counter_rows(spark, out).agg(F.sum("processed_total").alias("processed_total"), F.sum("anomalies_detected").alias("anomalies_detected"))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from buildlens import schemas
 from buildlens.functions import rules
 from buildlens.operators.features import feature_vector
+from buildlens.sources.webhooks import JSON_OPTIONS
 
 _CSV_TYPES = {c: "double" for c in rules.FEATURE_NAMES}
 
@@ -55,7 +56,7 @@ def decode_feature_messages(messages: DataFrame, value: str = "value") -> DataFr
     """Feature columns of the messages; ``build_id`` falls back to the request id."""
     others = [c for c in messages.columns if c != value]
     build_id = F.coalesce(F.col("_m.features.build_id"), F.col("_m._meta.request_id"), F.lit("unknown"))
-    return messages.select(*others, F.from_json(F.col(value), message_schema()).alias("_m")).select(
+    return messages.select(*others, F.from_json(F.col(value), message_schema(), JSON_OPTIONS).alias("_m")).select(
         *others, build_id.alias("build_id"), F.col("_m._meta.request_id").alias("request_id"),
         *[F.col(f"_m.features.{c}").alias(c) for c in rules.FEATURE_NAMES])
 
@@ -76,11 +77,15 @@ def build_metric_rows(features: DataFrame, created_at: Column) -> DataFrame:
 
 
 def result_rows(results: DataFrame, created_at: Column) -> DataFrame:
-    """Result rows with reasons and contributions as JSON; version ``unknown`` when missing."""
+    """Result rows with reasons and contributions as JSON; version ``unknown`` when missing.
+
+    ``id`` is a hash of the row's content, so a batch that runs again gives the same ids.
+    """
     version = F.col("model_version") if "model_version" in results.columns else F.lit(None).cast("string")
     raw = F.to_json(F.struct(*[c for c in rules.FEATURE_NAMES if c in results.columns]))
+    key = F.xxhash64("build_id", "anomaly_score", "prediction", version, raw, created_at.cast("string"))
     return results.select(
-        "build_id", "is_anomaly", "anomaly_score", "prediction", "confidence",
+        F.pmod(key, F.lit(2**63 - 1)).alias("id"), "build_id", "is_anomaly", "anomaly_score", "prediction", "confidence",
         F.to_json("anomaly_reasons").alias("anomaly_reasons"),
         F.to_json("top_features").alias("top_features"),
         F.coalesce(version, F.lit("unknown")).alias("model_version"),

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    Only where none is named (single-machine tests) a local one is chosen, once
-    per application, and set as checkpoint folder.
+    Only on one machine a local one is chosen where none is named, once per
+    application, and set as checkpoint folder; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="buildlens-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from buildlens import schemas
 
 CORRUPT = "_corrupt_record"
+# A log is one JSON string and may be of any length.
+JSON_OPTIONS = {"maxStringLen": str(2**31 - 1)}
 
 
 def read_webhooks(spark: SparkSession, path: str, multi_line: bool = True,
@@ -20,18 +22,22 @@ def read_webhooks(spark: SparkSession, path: str, multi_line: bool = True,
     """
     schema = schemas.webhook_schema(extension_field) + f", `{CORRUPT}` string"
     reader = (spark.readStream if stream else spark.read).schema(schema) \
-        .option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).options(**JSON_OPTIONS)
     return reader.json(path).withColumnRenamed(extension_field, "_extended")
 
 
 def is_object(body: Column) -> Column:
-    """Body is a JSON object (arrays, scalars and broken texts are not)."""
-    return F.coalesce(F.startswith(F.ltrim(body), F.lit("{")) & F.try_parse_json(body).isNotNull(), F.lit(False))
+    """Body is one JSON object (arrays, scalars and broken texts are not); keys may repeat.
+
+    The text is parsed as the only element of an array, so that nothing may follow it.
+    """
+    alone = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>", JSON_OPTIONS)
+    return F.coalesce(F.startswith(F.ltrim(body), F.lit("{")) & (F.size(alone) == 1) & F.get(alone, F.lit(0)).isNotNull(), F.lit(False))
 
 
 def parse_bodies(messages: DataFrame, body: str = "body", extension_field: str = "_extended") -> DataFrame:
     """Expand message bodies into payload columns next to the other columns."""
-    payload = F.from_json(F.col(body), schemas.webhook_schema(extension_field))
+    payload = F.from_json(F.col(body), schemas.webhook_schema(extension_field), JSON_OPTIONS)
     others = [c for c in messages.columns if c != body]
     return messages.select(*others, payload.alias("_p")).select(*others, "_p.*") \
         .withColumnRenamed(extension_field, "_extended")

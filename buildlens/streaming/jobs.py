@@ -49,10 +49,8 @@ def stream_features(messages: DataFrame, out: str, available_now: bool = True, b
             _write(bad, f"{out}/dead_letters", number)
             payloads = parse_bodies(good, body)
             builds = normalize_build(payloads, duration_mode)
-            features = build_features_12(builds).persist()
+            timed = build_features_12(builds).persist()  # a row per delivery, however often it was delivered
             try:
-                received = good.select("delivery_id", "received_at")
-                timed = features.join(received, "delivery_id")
                 _write(T.build_metric_rows(timed, F.col("received_at")), f"{out}/build_metrics", number)
                 request = F.concat(F.lit("delivery-"), F.col("delivery_id"))
                 _write(T.feature_messages(timed, request, F.col("delivery_id").cast("string"),
@@ -61,7 +59,7 @@ def stream_features(messages: DataFrame, out: str, available_now: bool = True, b
                 lines = simple_lines(with_log_text(builds), "line_text", "delivery_id")
                 _write(parsed_logs(lines, "delivery_id"), f"{out}/parsed_logs", number)
             finally:
-                features.unpersist()
+                timed.unpersist()
         finally:
             batch.unpersist()
 
@@ -93,22 +91,22 @@ def stream_quarantine(messages: DataFrame, out: str, body: str = "body", availab
 
 
 def stream_counters(results: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
-    """Copy results and observe ``processed_total`` and ``anomalies_detected`` per batch."""
-    observed = results.observe("counters", F.count(F.lit(1)).alias("processed_total"),
-                               F.count_if("is_anomaly").alias("anomalies_detected"))
-    writer = observed.writeStream.format("parquet").option("path", f"{out}/results") \
-        .option("checkpointLocation", f"{out}/_checkpoint")
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+    """Copy results, batch by batch, to ``out/results``."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        _write(batch, f"{out}/results", number)
 
+    return _start(results, handle, f"{out}/_checkpoint", available_now)
 
-def counter_rows(query: StreamingQuery) -> list[tuple[int, int, int, int]]:
-    """``(batch, input rows, processed_total, anomalies_detected)`` of the reported batches."""
-    out = []
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics.get("counters")
-        if seen is not None and progress.numInputRows:
-            out.append((progress.batchId, progress.numInputRows, seen["processed_total"], seen["anomalies_detected"]))
-    return out
+
+def counter_rows(spark: SparkSession, out: str) -> DataFrame:
+    """``batch, processed_total, anomalies_detected`` of all batches so far.
+
+    The stored results are counted, so nothing is lost when the query's progress
+    history is trimmed or the query is started again.
+    """
+    return spark.read.parquet(f"{out}/results").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("processed_total"), F.count_if("is_anomaly").alias("anomalies_detected"))
 
 
 def stream_timeseries(results: DataFrame, interval: str, out: str, closed_only: bool = False,

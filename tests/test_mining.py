@@ -63,14 +63,22 @@ def test_mining_equals_sequential_restatement(spark, max_children):
         assert all(t in ("<*>", s) for t, s in zip(r["template"].split(" "), r["raw"].split(" ")))
 
 
-def test_large_leaves_are_cut_and_stay_whole(spark):
-    lines = [f"worker finished task item{i} on {'abc'[i % 3]} quickly" for i in range(300)] * 2 + ["single line"]
+def test_templates_do_not_depend_on_partitioning(spark):
+    lines = [f"worker finished task item{i} on {'abc'[i % 3]} {'quickly' if i % 7 else 'never at all'}" for i in range(300)] * 2 + ["single line"]
     df = spark.createDataFrame([("b", i, x, x) for i, x in enumerate(lines)], "build_id string, line_no int, raw string, seq string")
-    templates, assignment = D.mine_templates(df, part_rows=20)
-    rows = templates.collect()
-    assert sum(r["n"] for r in rows) == len(lines)
-    assert {r["template"] for r in rows} == {"worker finished task <*> on <*> quickly", "single line"}
-    assert assignment.count() == 301
+    found = []
+    for n in (1, 3, 7):
+        templates, assignment = D.mine_templates(df.repartition(n))
+        found.append(sorted((r["template_id"], r["template"], r["n"]) for r in templates.collect()))
+        assert assignment.count() == 301
+    assert found[0] == found[1] == found[2]
+    assert sum(n for _, _, n in found[0]) == len(lines)
+
+
+def test_parsed_logs_keep_all_templates_of_a_build(spark):
+    logs = spark.createDataFrame([("b", "\n".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)} done" for i in range(60)))], "build_id string, raw_logs string")
+    row = D.parsed_logs(D.simple_lines(logs)).first()
+    assert len(row["templates"]) == len(row["event_ids"]) == 60
 
 
 def test_unseen_and_empty_lines(spark):

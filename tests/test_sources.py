@@ -3,14 +3,19 @@ import hashlib
 import hmac
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from buildlens.functions import signature, times
+from buildlens.functions import rules, signature, times
+from buildlens.operators import explain as X
 from buildlens.operators import normalize as N
 from buildlens.operators import serving as G
 from buildlens.sources import feature_tables as T
 from buildlens.sources import webhooks as H
+from buildlens.sources import storage
 from buildlens.sources.storage import new_folder
+from buildlens.streaming import jobs as J
 
 
 def test_hmac_equals_library(spark):
@@ -65,3 +70,74 @@ def test_empty_period_gives_zeros(spark):
     df = spark.createDataFrame([], "build_id string, created_at timestamp_ntz, is_anomaly boolean, anomaly_score double, confidence double")
     row = G.anomaly_stats(df, 24, dt.datetime(2024, 1, 1)).first()
     assert (row["total_builds"], row["anomaly_rate"], row["avg_score"]) == (0, 0.0, 0.0)
+
+
+def test_objects_are_recognised_like_a_json_parser(spark):
+    good = ['{"a":1}', ' {"a": {"b": [1, {"c": null}]}} ', '{"a":1,"a":2}', "{}", '{"a":"}"}', '{"a":"é\\u00e9"}']
+    bad = ["", "[]", "1", '"x"', "null", "{", '{"a":1', '{"a":1} x', '{"a":1}}', '{"a":1},{"b":2}', "{a}", "x{}", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(good + bad)], "i int, body string")
+    found = {r["i"]: r["ok"] for r in df.select("i", H.is_object(F.col("body")).alias("ok")).collect()}
+    assert found == {i: i < len(good) for i in range(len(good + bad))}
+
+
+def test_long_logs_are_kept_by_every_reader(spark, tmp_path):
+    log = "line\n" * 4_200_000  # over 20 million characters
+    body = json.dumps({"action": "completed", "workflow_run": {"id": 1}, "_extended": {"raw_logs": log}})
+    messages = spark.createDataFrame([(1, body)], "delivery_id long, body string")
+    good, dead = H.quarantine(messages)
+    assert dead.count() == 0
+    size = lambda df: df.select(F.length("raw_logs")).first()[0]
+    assert size(N.normalize_build(H.parse_bodies(good))) == len(log)
+    (tmp_path / "a.json").write_text(body)
+    docs = H.read_webhooks(spark, str(tmp_path))
+    assert size(N.normalize_build(docs)) == len(log)
+
+
+def test_repeated_deliveries_give_a_row_each(spark, tmp_path):
+    body = json.dumps({"action": "completed", "workflow_run": {"id": 7}, "_extended": {"raw_logs": "a\nerror"}})
+    rows = [(5, dt.datetime(2024, 1, 1), "github", body)] * 2
+    schema = "delivery_id long, received_at timestamp_ntz, provider string, body string"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    J.stream_features(J.read_messages(spark, source, schema), out).awaitTermination()
+    for name in ("build_metrics", "messages"):
+        assert spark.read.parquet(f"{out}/{name}").count() == 2
+
+
+def test_counters_hold_more_batches_than_the_progress_history(spark, tmp_path):
+    schema = "id long, is_anomaly boolean"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(i, i % 3 == 0) for i in range(105)], schema).repartitionByRange(105, "id").write.parquet(source)
+    J.stream_counters(J.read_messages(spark, source, schema, 1), out).awaitTermination()
+    row = J.counter_rows(spark, out).agg(F.sum("processed_total"), F.sum("anomalies_detected"), F.count("*")).first()
+    assert tuple(row) == (105, 35, spark.read.parquet(f"{out}/results").select("batch").distinct().count()) and row[2] > 100
+
+
+def test_stored_results_can_be_served(spark):
+    names = rules.FEATURE_NAMES
+    rows = [(f"b{i % 3}", dt.datetime(2024, 1, 1, i), -1 if i % 2 else 1, 0.1 - i / 20, *[float(i)] * len(names)) for i in range(8)]
+    schema = "build_id string, created_at timestamp, prediction int, anomaly_score double, " + ", ".join(f"{n} double" for n in names)
+    scored = spark.createDataFrame(rows, schema)
+    results = X.explain(scored, dict.fromkeys(names, 2.0), dict.fromkeys(names, 1.0))
+    path = new_folder(spark, "served")
+    storage.append_by_period(T.result_rows(results, F.col("created_at")), path)
+    stored = spark.read.parquet(path)
+    assert stored.select("id").distinct().count() == 8
+    again = T.result_rows(results.repartition(3), F.col("created_at"))
+    assert {r[0] for r in again.select("id").collect()} == {r[0] for r in stored.select("id").collect()}
+    assert [r["build_id"] for r in G.results_page(stored, 2).collect()] == ["b1", "b0"]
+    assert {r["build_id"]: r["created_at"].hour for r in G.latest_result_by_build(stored).collect()} == {"b0": 6, "b1": 7, "b2": 5}
+    assert G.anomaly_stats(stored, 24, dt.datetime(2024, 1, 1, 8)).first()["total_builds"] == 8
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "spark://host"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Session)

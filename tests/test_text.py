@@ -161,3 +161,27 @@ def test_plan_of_the_features_has_no_shuffle(spark, tmp_path):
     spark.createDataFrame([("a", "x\ny")], "build_id string, raw_logs string").write.parquet(path)
     plan = B.build_features_12(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+VARIANTS = {"i": "iIıİ", "s": "sSſ", "k": "kK\u212a"}
+MATCHES = ["curl x -X POST", "wget --post", "nc -e", "bash -i", "/dev/tcp/", "mkfifo", "xmrig", "minerd", "cryptonight", "stratum+tcp://", "hashrate",
+           "cat /etc/passwd", "cat /etc/shadow", "$(x)", "eval x", "echo " + "A" * 60, "base64 -d", "x | base64"]
+
+
+def test_pattern_counts_equal_the_pattern_alone(spark):
+    """Also for letters that only a case-insensitive pattern takes for i, s and k."""
+    texts = set(MATCHES)
+    for m in MATCHES:
+        for letter, others in VARIANTS.items():
+            texts |= {m.replace(letter, o) for o in others} | {m.upper().replace(letter.upper(), o) for o in others}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    patterns = [*dict.fromkeys([*rules.SUSPICIOUS_PATTERNS, *rules.SUSPICIOUS_COMMANDS_STRICT, rules.BASE64_PATTERN])]
+    assert all(L.needles(p) for p in patterns)
+    pairs = [F.struct(L.pattern_count(F.col("t"), F.lower("t"), p), F.regexp_count("t", F.lit(f"(?idU){p}"))) for p in patterns]
+    for row in df.select("t", *pairs).collect():
+        for p, (got, want) in zip(patterns, row[1:], strict=True):
+            assert got == want, (row[0], p)
+    for pattern in patterns:
+        for text in texts:
+            if re.search(pattern, text, re.IGNORECASE):
+                assert any(n in text.lower() for n in L.needles(pattern)), (pattern, text)
