@@ -437,11 +437,11 @@ SELECT delivery_id, provider AS source, {_PROCESSED} AS processed,
 
 
 def _filled(name: str) -> str:
-    return f"round(coalesce({name}, (SELECT median({name}) FROM feature_rows_missing)), 6)::DOUBLE AS {name}"
+    return f"round(coalesce({name}, (SELECT median({name}) FROM feature_rows_gaps)), 6)::DOUBLE AS {name}"
 
 
-twin("impute_median", "feature_rows_missing", f"""
-SELECT build_id, {', '.join(_filled(n) for n in ('duration_seconds', 'char_density', 'error_count'))} FROM feature_rows_missing""")
+twin("impute_median", "feature_rows_gaps", f"""
+SELECT build_id, {', '.join(_filled(n) for n in NAMES)} FROM feature_rows_gaps""")
 
 
 def _z(name: str) -> str:
@@ -450,10 +450,10 @@ def _z(name: str) -> str:
 
 
 twin("standard_scale", "feature_rows", f"SELECT build_id, {', '.join(_z(n) for n in NAMES)} FROM feature_rows")
-_VECTOR = ", ".join(f"coalesce({n}, 0)::DOUBLE" if n in ("duration_seconds", "char_density", "error_count") else "0.0::DOUBLE" for n in NAMES)
-twin("feature_vector", "feature_rows_missing", f"""
+_VECTOR = ", ".join(f"coalesce({n}, 0)::DOUBLE" for n in NAMES)
+twin("feature_vector", "feature_rows_gaps", f"""
 SELECT build_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS position, unnest(v) AS value
-FROM (SELECT build_id, [{_VECTOR}] AS v FROM feature_rows_missing)""")
+FROM (SELECT build_id, [{_VECTOR}] AS v FROM feature_rows_gaps)""")
 twin("training_stats", "scored_rows", f"""
 SELECT count(*) AS n_samples, 12 AS n_features, count(*) FILTER (prediction = -1) AS n_anomalies_detected,
   round(count(*) FILTER (prediction = -1) / count(*), 4) AS anomaly_ratio, round(avg(anomaly_score), 4) AS score_mean, round(stddev_pop(anomaly_score), 4) AS score_std,
@@ -520,7 +520,7 @@ SELECT actual, predicted, n, round(n * 100.0::DOUBLE / (tp + fp + fn + tn), 4) A
 FROM c, (SELECT unnest(['normal', 'normal', 'anomaly', 'anomaly']) AS actual, unnest(['normal', 'anomaly', 'normal', 'anomaly']) AS predicted,
          unnest((SELECT [tn, fp, fn, tp] FROM c)) AS n)""")
 twin("roc_auc", "scored_rows", f"""
-WITH {_Y}, s AS (SELECT y, round(-anomaly_score, 3) AS s FROM judged),
+WITH {_Y}, s AS (SELECT y, -anomaly_score AS s FROM judged),
 r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM s)
 SELECT round((sum(r) FILTER (y = -1) - count(*) FILTER (y = -1) * (count(*) FILTER (y = -1) + 1) / 2)
   / (count(*) FILTER (y = -1) * count(*) FILTER (y = 1)), 6) AS auc_roc FROM r""")
@@ -558,8 +558,12 @@ _LAST = "(SELECT max(created_at) FROM build_results)"
 twin("results_page", "build_results", f"""
 SELECT id, build_id, created_at, is_anomaly, anomaly_score, prediction, confidence, model_version FROM build_results
 WHERE is_anomaly AND created_at >= {_LAST} - INTERVAL 20 DAY AND created_at <= {_LAST} - INTERVAL 1 DAY ORDER BY created_at DESC, id DESC LIMIT 100""")
+twin("stored_results_served", "scored_rows", """
+SELECT build_id, created_at, prediction = -1 OR suspicious_pattern_count >= 1 AS is_anomaly,
+  round(CASE WHEN suspicious_pattern_count >= 1 AND anomaly_score > 0 THEN -0.05 ELSE anomaly_score END, 6)::DOUBLE AS anomaly_score, prediction FROM scored_rows""")
 twin("latest_result_by_build", "build_results", """
-SELECT build_id, created_at, id, is_anomaly, prediction, model_version
+SELECT build_id, created_at, id, is_anomaly, prediction, model_version,
+  round(anomaly_score, 9) AS anomaly_score, round(confidence, 9) AS confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY created_at DESC, id DESC) AS k FROM build_results) WHERE k = 1""")
 twin("anomaly_stats", "build_results", f"""
 SELECT 168 AS period_hours, count(*) AS total_builds, count(*) FILTER (is_anomaly) AS total_anomalies,

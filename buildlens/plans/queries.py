@@ -539,9 +539,8 @@ def align_features(spark, sf):
 
 @query
 def impute_median(spark, sf):
-    names = ["duration_seconds", "char_density", "error_count"]
-    return P.impute_median(view(spark, sf, "feature_rows_missing"), names).select(
-        "build_id", *[round_to(n, 6).alias(n) for n in names])
+    return P.impute_median(view(spark, sf, "feature_rows_gaps"), rules.FEATURE_NAMES).select(
+        "build_id", *[round_to(n, 6).alias(n) for n in rules.FEATURE_NAMES])
 
 
 @query
@@ -552,9 +551,7 @@ def standard_scale(spark, sf):
 
 @query
 def feature_vector(spark, sf):
-    rows = view(spark, sf, "feature_rows_missing").withColumns({
-        n: F.lit(None).cast("double") for n in rules.FEATURE_NAMES if n not in ("duration_seconds", "char_density", "error_count")})
-    return rows.select("build_id", F.posexplode(B.feature_vector()).alias("position", "value"))
+    return view(spark, sf, "feature_rows_gaps").select("build_id", F.posexplode(B.feature_vector()).alias("position", "value"))
 
 
 @query
@@ -705,7 +702,7 @@ def confusion_matrix(spark, sf):
 
 @query
 def roc_auc(spark, sf):
-    return E.roc_auc(_judged(spark, sf).withColumn("suspicion", round_to(-F.col("anomaly_score"), 3)), "suspicion")
+    return E.roc_auc(_judged(spark, sf).withColumn("suspicion", -F.col("anomaly_score")), "suspicion")
 
 
 @query
@@ -784,7 +781,19 @@ def results_page(spark, sf):
 
 @query
 def latest_result_by_build(spark, sf):
-    return G.latest_result_by_build(view(spark, sf, "build_results").drop("confidence", "anomaly_score"))
+    return G.latest_result_by_build(view(spark, sf, "build_results")).withColumns(
+        {c: round_to(c, 9) for c in ("anomaly_score", "confidence")})
+
+
+@query
+def stored_results_served(spark, sf):
+    """Scored rows written as results, read back and served."""
+    path = new_folder(spark, "served")
+    results = X.explain(view(spark, sf, "scored_rows"), dict.fromkeys(rules.FEATURE_NAMES, 0.0), dict.fromkeys(rules.FEATURE_NAMES, 1.0))
+    append_by_period(T.result_rows(results, F.col("created_at")), path, period="month")
+    stored = spark.read.parquet(path)
+    return G.latest_result_by_build(stored).select(
+        "build_id", "created_at", "is_anomaly", round_to("anomaly_score", 6).alias("anomaly_score"), "prediction")
 
 
 @query

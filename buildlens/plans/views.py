@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from buildlens.functions import rules
+
 WEBHOOK_SECRET = "check-secret"
 
 _SPARK = {
@@ -177,6 +179,9 @@ SELECT build_id, CASE WHEN step_count = 3 THEN NULL ELSE duration_seconds END AS
        CASE WHEN warning_count = 30 THEN NULL ELSE error_count END AS error_count, label
 FROM {feature_rows}
 """
+_FEATURE_ROWS_GAPS = "SELECT build_id, label, " + ", ".join(
+    f"CASE WHEN (duration_seconds * 100 + {i}) % {i + 5} < 1 THEN NULL ELSE CAST({n} AS DOUBLE) END AS {n}"
+    for i, n in enumerate(rules.FEATURE_NAMES)) + " FROM {feature_rows}"
 
 # Feature messages: complete, without build id, without any id, broken, not an object.
 _FEATURE_MESSAGES = """
@@ -220,6 +225,7 @@ VIEWS = {
     "url_texts": _URL_TEXTS,
     "scored_rows": _SCORED_ROWS,
     "feature_rows_missing": _FEATURE_ROWS_MISSING,
+    "feature_rows_gaps": _FEATURE_ROWS_GAPS,
     "feature_messages": _FEATURE_MESSAGES,
     "run_times": _RUN_TIMES,
 }
