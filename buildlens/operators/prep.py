@@ -44,22 +44,30 @@ def _value(name: str) -> Column:
 
 
 def exact_percentiles(df: DataFrame, names: list[str], fractions: list[float],
-                      accuracy: int = 10_000) -> dict[str, list[float | None]]:
+                      accuracy: int = 10_000, weight: str | None = None) -> dict[str, list[float | None]]:
     """Exact interpolated percentiles without gathering the values in one task.
 
     First an approximate sketch brackets each percentile, then only the distinct
     values inside the bracket (about ``4 / accuracy`` of the rows) are counted
-    and walked in order.
+    and walked in order.  A row stands for ``weight`` equal ones; for the sketch it is
+    repeated in proportion, ``4 * accuracy`` times in all besides one for each row.
     """
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    sketched = df
+    if weight is not None:
+        total = df.agg(F.sum(times)).first()[0] or 1
+        copies = F.ceil(times.cast("double") * (4.0 * accuracy) / F.lit(float(total)))
+        sketched = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
     margin = 2.0 / accuracy
     probes = [p for f in fractions for p in (max(f - margin, 0.0), min(f + margin, 1.0))]
-    first = df.agg(*[
-        F.struct(F.count(_value(n)).alias("n"), F.min(_value(n)).alias("lo"), F.max(_value(n)).alias("hi"),
+    counts = df.agg(*[F.coalesce(F.sum(F.when(_value(n).isNotNull(), times)), F.lit(0)).alias(n) for n in names]).first()
+    first = sketched.agg(*[
+        F.struct(F.min(_value(n)).alias("lo"), F.max(_value(n)).alias("hi"),
                  F.percentile_approx(_value(n), probes, accuracy).alias("q")).alias(n) for n in names]).first()
     out: dict[str, list[float | None]] = {n: [None] * len(fractions) for n in names}
     brackets = []
     for n in names:
-        count, lo, hi, q = first[n]
+        count, (lo, hi, q) = counts[n], first[n]
         if not count:
             continue
         for i, f in enumerate(fractions):
@@ -71,10 +79,10 @@ def exact_percentiles(df: DataFrame, names: list[str], fractions: list[float],
         return out
     inside = [F.when(_value(n).between(lo, hi), F.struct(F.lit(k).alias("k"), _value(n).alias("v")))
               for k, (n, _, _, _, _, lo, hi) in enumerate(brackets)]
-    below = df.agg(*[F.count_if(_value(n) < lo).alias(f"b{k}")
+    below = df.agg(*[F.coalesce(F.sum(F.when(_value(n) < lo, times)), F.lit(0)).alias(f"b{k}")
                      for k, (n, _, _, _, _, lo, _) in enumerate(brackets)]).first()
-    counted = df.select(F.explode(F.array_compact(F.array(*inside))).alias("e")) \
-        .groupBy(F.col("e.k").alias("k"), F.col("e.v").alias("v")).count()
+    counted = df.select(times.alias("_w"), F.explode(F.array_compact(F.array(*inside))).alias("e")) \
+        .groupBy(F.col("e.k").alias("k"), F.col("e.v").alias("v")).agg(F.sum("_w").alias("count"))
     upto = F.sum("count").over(Window.partitionBy("k").orderBy("v"))
     wanted = F.lit(False)
     for k, (_, _, r, _, r2, _, _) in enumerate(brackets):
@@ -91,7 +99,7 @@ def exact_percentiles(df: DataFrame, names: list[str], fractions: list[float],
         at = lambda rank: next((v for upto_, v in stops if upto_ > rank - below[k]), None)
         a, b = at(r), at(r2)
         if a is None or b is None:  # the sketch missed its bound: look again with a wider bracket
-            return exact_percentiles(df, names, fractions, max(accuracy // 10, 10))
+            return exact_percentiles(df, names, fractions, max(accuracy // 10, 10), weight)
         out[n][i] = a + (b - a) * part
     return out
 

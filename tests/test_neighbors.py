@@ -39,3 +39,18 @@ def test_lof_equals_brute_force_with_copies(spark, cut):
     for i, w in enumerate(want):
         assert found[f"q{i}"]["lof"] == pytest.approx(w, rel=1e-5)
         assert found[f"q{i}"]["prediction"] == (-1 if w > bound else 1)
+
+
+def test_weighted_percentiles(spark):
+    import numpy as np
+
+    from buildlens.operators import prep
+
+    rng = np.random.default_rng(3)
+    rows = [(float(v), int(w)) for v, w in zip(rng.integers(0, 500, 3000), rng.integers(1, 40, 3000), strict=True)] + [(None, 9)]
+    df = spark.createDataFrame(rows, "v double, w long")
+    whole = np.repeat([v for v, _ in rows[:-1]], [w for _, w in rows[:-1]])
+    fractions = [0.0, 0.05, 0.5, 0.951, 1.0]
+    assert np.allclose(prep.exact_percentiles(df, ["v"], fractions, weight="w")["v"], np.quantile(whole, fractions))
+    heavy = spark.createDataFrame([(1.0, 5), (2.0, 4_000_000_000), (3.0, 3_000_000_000)], "v double, w long")
+    assert prep.exact_percentiles(heavy, ["v"], [0.0, 0.5, 0.9], weight="w")["v"] == [1.0, 2.0, 3.0]
