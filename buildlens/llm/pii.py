@@ -226,7 +226,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY
     by_surface = F.map_from_entries(F.transform(F.coalesce(repl, empty), lambda r: F.struct(r["surface"], r["replacement"])))
     joined = F.array_join(F.zip_with(pieces, F.col(ents), lambda p, e: F.concat(
         p, F.coalesce(F.element_at(F.col(f"{_TMP}by"), e), e, F.lit("")))), "")
-    changed = (hits.join(per_row, hits[row] == per_row["row"], "left").withColumn(f"{_TMP}by", by_surface)
+    per_row = per_row.withColumnRenamed("row", f"{_TMP}row_of")
+    changed = (hits.join(per_row, F.col(row) == F.col(f"{_TMP}row_of"), "left").withColumn(f"{_TMP}by", by_surface)
                .withColumn(text_col, joined).withColumn(f"{_TMP}report", F.coalesce(repl, empty)))
     plain = (tagged.where(F.coalesce(F.size(ents), F.lit(0)) <= 0)
              .withColumn(f"{_TMP}report", empty))
