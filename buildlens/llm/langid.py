@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,6 @@ ROUNDS = 300
 #: A prediction is ambiguous below this margin between the two best codewords' mean losses.
 MARGIN = 0.5
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(n: int) -> np.ndarray:
@@ -174,7 +172,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 
 def decide(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
     """Language, score, margin and ambiguity of each text."""
-    out = [(UNDETERMINED, 0.0, 0.0, True) if model is None or not t or not _LETTER.search(t) else (*(d := model.decode(model.margins(t))), d[2] < MARGIN)
+    out = [(UNDETERMINED, 0.0, 0.0, True) if model is None or not t or not any(map(str.isalpha, t)) else (*(d := model.decode(model.margins(t))), d[2] < MARGIN)
            for t in texts]
     return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [], [])
 

@@ -15,7 +15,7 @@ from buildlens.llm.queries import ORACLE, QUERIES, TOKENIZERS
 SF = "/root/testdata/sf0.001"
 BIG = 9_007_199_254_740_993  # no double holds it
 EDGE = [(1, None), (None, "Hello the and of with that in there was"), (BIG, "ok the and"), (2, ""), (2, "the of and with"),
-        (2, "the of and with"), (3, "123 !!"), (4, "word " * 30_000), (5, "x" * 50_000), (6, "😀".encode("utf-16", "surrogatepass").decode("utf-16"))]
+        (2, "the of and with"), (3, "123 ² !!"), (4, "word " * 30_000), (5, "x" * 50_000), (6, "😀".encode("utf-16", "surrogatepass").decode("utf-16"))]
 
 
 @pytest.fixture(scope="module")
