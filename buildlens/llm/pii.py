@@ -4,13 +4,17 @@ Detection is one regular expression, so a text is scanned once and never overlap
 Distinct entities of the corpus form a dictionary: canonical value -> surrogate, drawn
 from a keyed digest.  A surrogate that another entity already has, or that is itself an
 entity of the corpus, is drawn again until none is left, so different entities stay
-different; one canonical value has one surrogate, so repeated mentions stay the same
+different.  After a few draws each further one has more room than the one before (longer
+names and addresses; numbers only where their format is all but full), so this ends for
+every corpus.  One canonical value has one surrogate, so repeated mentions stay the same
 person, address or number.  The dictionary is joined to the documents that hold
 entities.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +22,10 @@ from buildlens.sources.storage import materialize
 
 #: Key of the surrogates where the caller names none; a production run passes its own secret.
 DEFAULT_KEY = "surrogates-1"
-#: Draws until distinct; each draw collides with a chance of about entities / space.
-ATTEMPTS = 32
+#: Draws within the shortest room of names, mail addresses and secrets; each later draw is one syllable or character longer.
+DRAWS = 4
+#: Draws within the format of numbers and keys; each later draw is one character longer (an IP address: IPv6, documentation block).
+FORMAT_DRAWS = 32
 
 # ---- fixed values: patterns, honorifics, names, alphabets -------------------------------------------------
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -53,6 +59,7 @@ SYLLABLES = {
 }
 SURNAME_END = {("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("greek", "m"): "ης", ("greek", "f"): "η"}
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+ALNUM = LOWER + UPPER + DIGITS
 CYRILLIC, CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
 GREEK, GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 SAFE_TLDS = ["com", "net", "org"]
@@ -136,28 +143,42 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
     digest = keyed(value)
     at = lambda i: _byte(digest, F.lit(i))
+    longer, over = F.greatest(attempt - DRAWS + 1, F.lit(0)), F.greatest(attempt - FORMAT_DRAWS + 1, F.lit(0))
+
+    def string(alphabet: str | list[str], n: Column) -> Column:
+        """n drawn characters or syllables; their digest is new for every 30, so the room grows with n."""
+        def one(i: Column) -> Column:
+            own = keyed(value, F.lit("more"), F.floor(i / 30).cast("string"))
+            place = F.conv(F.substr(own, i % 30 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            return _pick(alphabet, place) if isinstance(alphabet, str) else _choose(alphabet, place)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one), "")).otherwise("")
+
+    more = string(DIGITS, over)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     host = F.substring_index(domain, ".", 1)
     host_digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), domain), 512)  # a shared domain stays shared
-    email = F.concat(_same_shape(local, digest), F.lit("@"), _same_shape(host, host_digest), F.lit(".example."),
+    email = F.concat(_same_shape(local, digest), string(LOWER, longer), F.lit("@"), _same_shape(host, host_digest), F.lit(".example."),
                      F.when(tld.isin(SAFE_TLDS), tld).otherwise("org"))
-    ip = F.concat_ws(".", F.lit(240) + at(0) % 16, at(1) % 256, at(2) % 256, at(3) % 256)  # reserved block
+    block = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.lower(F.conv(F.substr(digest, F.lit(4 * i + 1), F.lit(4)), 16, 16))) for i in range(6)])
+    ip = F.when(over > 0, block).otherwise(F.concat_ws(".", F.lit(240) + at(0) % 16, at(1) % 256, at(2) % 256, at(3) % 256))  # reserved block
     drawn = _same_shape(value, digest, digits_only=True)
-    body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), F.length(drawn) - 2))
+    body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), F.length(drawn) - 2), more)
     card = F.concat(body, ((F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(8)))  # never issued
+    ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(8)), more)  # never issued
     prefix = F.length(value) - F.least(F.length(value), F.lit(10))  # a country code stays
     phone = F.concat(F.substr(value, F.lit(1), prefix), _pick("23456789", at(61)),
-                     F.substr(drawn, prefix + 2, F.length(value)))
-    iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _same_shape(F.substr(value, F.lit(3), F.length(value)), digest))
-    access = F.concat(F.substr(value, F.lit(1), F.lit(4)), _same_shape(F.substr(value, F.lit(5), F.length(value)), digest))
+                     F.substr(drawn, prefix + 2, F.length(value)), more)
+    iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _same_shape(F.substr(value, F.lit(3), F.length(value)), digest), more)
+    access = F.concat(F.substr(value, F.lit(1), F.lit(4)), _same_shape(F.substr(value, F.lit(5), F.length(value)), digest), more)
     hexed = F.array_join(F.transform(F.split(value, ""), lambda c, i: _pick(HEX, _byte(digest, i))), "")
-    secret = F.when(value.rlike("^[0-9a-f]+$"), hexed).otherwise(_same_shape(value, digest))
+    free = (longer > 0) | ~value.rlike(r"[0-9\p{L}]")  # nothing in it that a draw could replace
+    secret = (F.when(free, string(ALNUM, F.length(value) + longer)).when(value.rlike("^[0-9a-f]+$"), hexed)
+              .otherwise(_same_shape(value, digest)))
     gender, script = F.substring_index(value, "|", 1), _script(value)
     name = F.lit(None).cast("string")
     for (s, g), given in GIVEN.items():
-        surname = F.initcap(F.concat(*[_choose(SYLLABLES[s], at(i)) for i in (5, 9, 13)], F.lit(SURNAME_END.get((s, g), ""))))
+        surname = F.initcap(F.concat(*[_choose(SYLLABLES[s], at(i)) for i in (5, 9, 13)], string(SYLLABLES[s], longer), F.lit(SURNAME_END.get((s, g), ""))))
         full = F.when(F.contains(value, F.lit(" ")), F.concat_ws(" ", _choose(given, at(1)), surname)).otherwise(surname)
         name = F.when((script == s) & (gender == g), full).otherwise(name)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
@@ -172,6 +193,7 @@ def render(kind: Column, surface: Column, value: Column) -> Column:
     counts = F.transform(chars, lambda c: F.when(F.regexp(c, mask), 1).otherwise(0))
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(
         F.regexp(c, mask), F.substr(value, F.aggregate(F.slice(counts, 1, i + 1), F.lit(0), lambda a, x: a + x), F.lit(1))).otherwise(c)), "")
+    filled = F.concat(filled, F.substr(value, F.aggregate(counts, F.lit(1), lambda a, x: a + x), F.length(value)))  # a longer one's rest
     old = canonical(F.lit("secret"), surface)
     secret = F.concat(F.substr(surface, F.lit(1), F.length(surface) - F.length(old) - F.when(surface.endswith('"'), 1).otherwise(0)),
                       value, F.when(surface.endswith('"'), F.lit('"')).otherwise(F.lit("")))
@@ -185,22 +207,20 @@ def dictionary(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     surfaces = materialize(
         found.select("surface").distinct().withColumn("kind", entity_type(F.col("surface")))
         .where(F.col("kind").isNotNull()).withColumn("value", canonical(F.col("kind"), F.col("surface"))), "pii-surfaces")
-    state = materialize(surfaces.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
-                        .withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(0), key)), "pii-entities")
-    originals = surfaces.select("kind", F.col("value").alias("surrogate")).distinct()
-    first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
-    for _ in range(ATTEMPTS):
-        taken = state.withColumn("rank", F.row_number().over(first))
-        real = originals.withColumn("real", F.lit(True))
-        marked = materialize(taken.join(real, ["kind", "surrogate"], "left")
+    waiting = materialize(surfaces.select("kind", "value").distinct(), "pii-entities")
+    taken = surfaces.select("kind", F.col("value").alias("surrogate")).distinct()
+    first = Window.partitionBy("kind", "surrogate").orderBy("value")
+    settled = None
+    for n in itertools.count():
+        drawn = waiting.withColumn("attempt", F.lit(n)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(n), key))
+        marked = materialize(drawn.withColumn("rank", F.row_number().over(first))
+                             .join(taken.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
                              .withColumn("again", (F.col("rank") > 1) | F.coalesce("real", F.lit(False))).drop("rank", "real"), "pii-state")
-        if marked.where("again").isEmpty():
-            return surfaces.join(marked.drop("again"), ["kind", "value"])
-        attempt = F.col("attempt") + 1
-        state = marked.select(
-            "kind", "value", F.when(F.col("again"), attempt).otherwise(F.col("attempt")).alias("attempt"),
-            F.when(F.col("again"), surrogate(F.col("kind"), F.col("value"), attempt, key)).otherwise(F.col("surrogate")).alias("surrogate"))
-    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} draws: the format's space is too small")
+        done, waiting = marked.where(~F.col("again")).drop("again"), marked.where("again").select("kind", "value")
+        settled = done if settled is None else settled.unionByName(done)
+        if waiting.isEmpty():
+            return surfaces.join(settled, ["kind", "value"])
+        taken = taken.unionByName(done.select("kind", "surrogate"))
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, report: str | None = None) -> DataFrame:

@@ -317,6 +317,31 @@ def test_surrogates_stay_distinct_when_the_space_is_small(spark):
     assert len(set(found)) == 25 and not set(found) & set(addresses)
 
 
+def test_surrogates_end_when_the_space_is_full(spark):
+    addresses = [f"{a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz"]  # 26 of 26 local parts
+    masked = ["password=********", "token: ------", 'secret="••••••••"']
+    syllables = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiou"]
+    names = [f"Mr {(a + b + c).capitalize()}" for a in syllables[:20] for b in syllables[20:40] for c in syllables[40:53]][:5000]
+    entities = addresses + masked + names
+    df = spark.createDataFrame([(i, f"to {e} now") for i, e in enumerate(entities)], "doc_id long, text string")
+    found = {f["surface"]: f["replacement"] for r in pii.pseudonymise(df, report="found").collect() for f in r["found"]}
+    assert found.keys() == set(entities) and len(set(found.values())) == len(entities)
+    assert not set(found.values()) & set(entities)
+    assert all(re.fullmatch(r"password=[A-Za-z0-9]{8}|token: [A-Za-z0-9]{6}|secret=\"[A-Za-z0-9]{8}\"", found[m]) for m in masked)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]{4,}", found[n]) for n in names)
+
+
+def test_surrogates_of_full_number_formats_grow(spark):
+    values = [("ssn", "123456789", "123-45-6789"), ("phone", "5785556437", "578-555-6437"), ("card", "4451718024887799", "4451718024887799"), ("ip", "27.65.93.188", "27.65.93.188")]
+    df = spark.createDataFrame(values, "kind string, value string, surface string")
+    for attempt in (pii.FORMAT_DRAWS - 1, pii.FORMAT_DRAWS, pii.FORMAT_DRAWS + 1):
+        value = pii.surrogate(F.col("kind"), F.col("value"), F.lit(attempt), "k")
+        got = {r["kind"]: r["s"] for r in df.select("kind", pii.render(F.col("kind"), F.col("surface"), value).alias("s")).collect()}
+        more = attempt - pii.FORMAT_DRAWS + 1
+        assert re.fullmatch(rf"9\d\d-\d\d-\d{{{4 + more}}}", got["ssn"]) and re.fullmatch(rf"[2-9]\d\d-\d\d\d-\d{{{4 + more}}}", got["phone"])
+        assert len(got["card"]) == 16 + more and got["ip"].startswith("2001:db8:" if more else "2")
+
+
 def test_surrogates_edge_cases(spark, edge):
     got = pii.pseudonymise(edge)
     assert got.columns == edge.columns
