@@ -7,7 +7,7 @@ entity of the corpus, is drawn again until none is left, so different entities s
 different.  After a few draws each further one has more room than the one before (longer
 names and addresses; numbers only where their format is all but full), so this ends for
 every corpus.  One canonical value has one surrogate, so repeated mentions stay the same
-person, address or number.  The dictionary is joined to the documents that hold
+person, address or number.  Given names and surnames are entities of their own.  The dictionary is joined to the documents that hold
 entities.  Everything is a DataFrame expression.
 """
 
@@ -31,7 +31,24 @@ FORMAT_DRAWS = 32
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Господин", "Κύριος"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Г-жа", "Госпожа", "Κυρία"]
-NAME = r"\p{Lu}[\p{L}'’-]+"
+#: A possessive 's is no part of a name.
+NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))++"
+HEXES = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around '::' with a digit and a group of three or more.
+IPV6 = (rf"(?:(?:{HEXES}:){{7}}{HEXES}|(?=[0-9A-Fa-f:]*[0-9])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})"
+        rf"(?:(?:{HEXES}:){{1,6}}(?::{HEXES}){{1,6}}|(?:{HEXES}:){{1,7}}:|:(?::{HEXES}){{1,7}}))(?![\p{{L}}\p{{N}}:]|\.[0-9])")
+#: Phone groupings: North American, unbroken international, international, then national ones of fr, en/de and es.
+PHONES = [
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", r"\+[0-9]{8,15}",
+    r"(?=(?:\+|00)(?:[ ./()-]{0,2}[0-9]){8})(?:\+[1-9][0-9]{0,2}[ ./-]?|00[1-9][0-9]{0,2}[ ./-])(?:\([0-9]{1,5}\)[ ./-]?)?"
+    r"(?:[0-9]{1,4}(?:[ .-][0-9]{2}){3,4}|[0-9]{1,4}[ .-][0-9]{3}(?:[ .-][0-9]{2}){2}|[0-9]{2,5}[ ./-][0-9]{3,4}[ .-][0-9]{3,4}"
+    r"|[0-9]{2,5}[ ./-][0-9]{5,8}|[0-9]{7,12}|[0-9]{1,5}(?:[ ./-][0-9]{2,8}){1,3})",
+    r"0[1-9](?<pfr>[ .-])[0-9]{2}(?:\k<pfr>[0-9]{2}){3}",
+    r"(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{0,3}[ /-])[0-9]{3,4}[ -][0-9]{3,4}",
+    r"(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{1,3}[ /-])(?:[0-9]{5,8}|[0-9]{2,3}(?: [0-9]{2}){2,3})",
+    r"(?<![0-9][ .,])(?:[6-9][0-9]{2}(?<pes>[ -])[0-9]{3}\k<pes>[0-9]{3}|[689][0-9]{2}(?<pet>[ .-])[0-9]{2}(?:\k<pet>[0-9]{2}){2}"
+    r"|[89][0-9](?<peu>[ -])[0-9]{3}(?:\k<peu>[0-9]{2}){2})(?![ .,-][0-9])",
+]
 #: Type -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)+[\p{L}]{2,24}",
@@ -39,9 +56,9 @@ PATTERNS = {
     "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}])",
-    "ip": rf"(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
+    "ip": rf"(?:(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])|{IPV6})",
     "card": r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
-    "phone": r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15})(?![\p{L}\p{N}])",
+    "phone": rf"(?:{'|'.join(PHONES)})(?![\p{{L}}\p{{N}}])",
     "name": rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {NAME}(?: {NAME})?",
 }
 GIVEN = {
@@ -67,6 +84,8 @@ SAFE_TLDS = ["com", "net", "org"]
 
 #: A match starts where a word or number starts.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+#: A capitalised word, which may be an untitled mention of a name.
+MENTION = rf"(?<![\p{{L}}\p{{N}}]){NAME}(?![\p{{L}}\p{{N}}])"
 TITLE = "^(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? "
 _TMP = "__pii_"
 
@@ -87,13 +106,37 @@ def entity_type(surface: Column) -> Column:
 
 
 def canonical(kind: Column, surface: Column) -> Column:
-    """What stays the same between mentions: case of an address, punctuation of a number, a title."""
+    """What stays the same between mentions: case of an address, punctuation of a number, an IPv6 address written out."""
     digits = F.regexp_replace(surface, "[^0-9]", "")
-    name = F.regexp_replace(surface, TITLE, "")
+    groups = lambda side: F.filter(F.split(F.substring_index(F.lower(surface), "::", side), ":"), lambda g: g != "")
+    left, right = groups(1), F.when(F.contains(surface, F.lit("::")), groups(-1)).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    ipv6 = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
     return (F.when(kind == "email", F.lower(surface)).when(kind.isin("phone", "card", "ssn"), digits)
             .when(kind == "iban", F.replace(surface, F.lit(" "), F.lit("")))
             .when(kind == "secret", F.trim(F.replace(F.regexp_extract(surface, r"[=:](.*)$", 1), F.lit('"'), F.lit(""))))
-            .when(kind == "name", F.concat_ws("|", _gender(surface), name)).otherwise(surface))
+            .when((kind == "ip") & F.contains(surface, F.lit(":")), ipv6).otherwise(surface))
+
+
+def untitled(surface: Column) -> Column:
+    return F.regexp_replace(surface, TITLE, "")
+
+
+def values(kind: Column, surface: Column) -> Column:
+    """The canonical values of a mention, each with a surrogate of its own: one, or given name and surname.
+
+    A given name has a gender, a surname only where its ending shows it.
+    """
+    words, gender = F.split(untitled(surface), " "), _gender(surface)
+    last = F.element_at(words, -1)
+    surname = F.concat_ws("|", F.lit("surname"), F.when(_script(last) == "latin", "").otherwise(gender), last)
+    given = F.concat_ws("|", F.lit("given"), gender, F.get(words, 0))
+    return (F.when(kind != "name", F.array(canonical(kind, surface))).when(F.size(words) > 1, F.array(given, surname))
+            .otherwise(F.array(surname)))
+
+
+def _bare(kind: Column, value: Column) -> Column:
+    return F.when(kind == "name", F.substring_index(value, "|", -1)).otherwise(value)
 
 
 def _gender(surface: Column) -> Column:
@@ -136,22 +179,22 @@ def _same_shape(value: Column, digest: Column, digits_only: bool = False) -> Col
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+def surrogate(kind: Column, value: Column, attempt: int, key: str) -> Column:
     """Surrogate of a canonical value: a pure function of key, type, value and attempt."""
     def keyed(*parts: Column) -> Column:
-        return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, *parts, attempt.cast("string")), 512)
+        return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, *parts, F.lit(str(attempt))), 512)
 
     digest = keyed(value)
     at = lambda i: _byte(digest, F.lit(i))
-    longer, over = F.greatest(attempt - DRAWS + 1, F.lit(0)), F.greatest(attempt - FORMAT_DRAWS + 1, F.lit(0))
+    longer, over = max(attempt - DRAWS + 1, 0), max(attempt - FORMAT_DRAWS + 1, 0)
 
-    def string(alphabet: str | list[str], n: Column) -> Column:
+    def string(alphabet: str | list[str], n: int | Column) -> Column:
         """n drawn characters or syllables; their digest is new for every 30, so the room grows with n."""
         def one(i: Column) -> Column:
             own = keyed(value, F.lit("more"), F.floor(i / 30).cast("string"))
             place = F.conv(F.substr(own, i % 30 * 4 + 1, F.lit(4)), 16, 10).cast("int")
             return _pick(alphabet, place) if isinstance(alphabet, str) else _choose(alphabet, place)
-        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one), "")).otherwise("")
+        return F.lit("") if isinstance(n, int) and n == 0 else F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n) - 1), one), "")
 
     more = string(DIGITS, over)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -161,29 +204,33 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     email = F.concat(_same_shape(local, digest), string(LOWER, longer), F.lit("@"), _same_shape(host, host_digest), F.lit(".example."),
                      F.when(tld.isin(SAFE_TLDS), tld).otherwise("org"))
     block = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.lower(F.conv(F.substr(digest, F.lit(4 * i + 1), F.lit(4)), 16, 16))) for i in range(6)])
-    ip = F.when(over > 0, block).otherwise(F.concat_ws(".", F.lit(240) + at(0) % 16, at(1) % 256, at(2) % 256, at(3) % 256))  # reserved block
+    ip = F.when(F.lit(over > 0) | F.contains(value, F.lit(":")), block).otherwise(F.concat_ws(".", F.lit(240) + at(0) % 16, at(1) % 256, at(2) % 256, at(3) % 256))  # reserved block
     drawn = _same_shape(value, digest, digits_only=True)
     body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), F.length(drawn) - 2), more)
     card = F.concat(body, ((F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(8)), more)  # never issued
-    prefix = F.length(value) - F.least(F.length(value), F.lit(10))  # a country code stays
+    prefix = (F.when(value.startswith("00"), 4).when(value.startswith("0"), 1)
+              .otherwise(F.length(value) - F.least(F.length(value), F.lit(10))))  # a country code or leading 0 stays
     phone = F.concat(F.substr(value, F.lit(1), prefix), _pick("23456789", at(61)),
                      F.substr(drawn, prefix + 2, F.length(value)), more)
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _same_shape(F.substr(value, F.lit(3), F.length(value)), digest), more)
     access = F.concat(F.substr(value, F.lit(1), F.lit(4)), _same_shape(F.substr(value, F.lit(5), F.length(value)), digest), more)
     hexed = F.array_join(F.transform(F.split(value, ""), lambda c, i: _pick(HEX, _byte(digest, i))), "")
-    free = (longer > 0) | ~value.rlike(r"[0-9\p{L}]")  # nothing in it that a draw could replace
+    free = F.lit(longer > 0) | ~value.rlike(r"[0-9\p{L}]")  # nothing in it that a draw could replace
     secret = (F.when(free, string(ALNUM, F.length(value) + longer)).when(value.rlike("^[0-9a-f]+$"), hexed)
               .otherwise(_same_shape(value, digest)))
-    gender, script = F.substring_index(value, "|", 1), _script(value)
+    role, gender, word = F.substring_index(value, "|", 1), F.split_part(value, F.lit("|"), F.lit(2)), _bare(F.lit("name"), value)
+    script = _script(word)
     name = F.lit(None).cast("string")
-    for (s, g), given in GIVEN.items():
-        surname = F.initcap(F.concat(*[_choose(SYLLABLES[s], at(i)) for i in (5, 9, 13)], string(SYLLABLES[s], longer), F.lit(SURNAME_END.get((s, g), ""))))
-        full = F.when(F.contains(value, F.lit(" ")), F.concat_ws(" ", _choose(given, at(1)), surname)).otherwise(surname)
-        name = F.when((script == s) & (gender == g), full).otherwise(name)
+    for s, syllables in SYLLABLES.items():
+        end = F.when(gender == "m", SURNAME_END.get((s, "m"), "")).when(gender == "f", SURNAME_END.get((s, "f"), "")).otherwise("")
+        surname = F.initcap(F.concat(*[_choose(syllables, at(i)) for i in (5, 9, 13)], string(syllables, longer), end))
+        drawn_given = F.initcap(F.concat(_choose(syllables, at(5)), _choose(syllables, at(9)), string(syllables, longer)))
+        given = drawn_given if longer else F.when(gender == "m", _choose(GIVEN[(s, "m")], at(1))).otherwise(_choose(GIVEN[(s, "f")], at(1)))
+        name = F.when(script == s, F.when(role == "given", given).otherwise(surname)).otherwise(name)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
             .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "access_key", access)
-            .when(kind == "secret", secret).when(kind == "name", F.concat_ws("|", gender, name)).otherwise(drawn))
+            .when(kind == "secret", secret).when(kind == "name", name).otherwise(drawn))
 
 
 def render(kind: Column, surface: Column, value: Column) -> Column:
@@ -199,56 +246,96 @@ def render(kind: Column, surface: Column, value: Column) -> Column:
                       value, F.when(surface.endswith('"'), F.lit('"')).otherwise(F.lit("")))
     title = F.regexp_extract(surface, TITLE, 0)
     return (F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "secret", secret)
-            .when(kind == "name", F.concat(title, F.substring_index(value, "|", -1))).otherwise(value))
+            .when(kind == "name", F.concat(title, value)).otherwise(value))
 
 
 def dictionary(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``surface, kind, value, surrogate, attempt`` for distinct entity strings (column ``surface``)."""
+    """``surface, kind, surrogates`` for distinct entity strings (column ``surface``): one surrogate of
+    each of its ``values``.  A surrogate of a name is no other name's, given or last."""
     surfaces = materialize(
         found.select("surface").distinct().withColumn("kind", entity_type(F.col("surface")))
-        .where(F.col("kind").isNotNull()).withColumn("value", canonical(F.col("kind"), F.col("surface"))), "pii-surfaces")
+        .where(F.col("kind").isNotNull()).select("surface", "kind", F.posexplode(values(F.col("kind"), F.col("surface"))).alias("pos", "value")), "pii-surfaces")
     waiting = materialize(surfaces.select("kind", "value").distinct(), "pii-entities")
-    taken = surfaces.select("kind", F.col("value").alias("surrogate")).distinct()
+    taken = surfaces.select("kind", _bare(F.col("kind"), F.col("value")).alias("surrogate")).distinct()
     first = Window.partitionBy("kind", "surrogate").orderBy("value")
     settled = None
     for n in itertools.count():
-        drawn = waiting.withColumn("attempt", F.lit(n)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(n), key))
+        drawn = waiting.withColumn("attempt", F.lit(n)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), n, key))
         marked = materialize(drawn.withColumn("rank", F.row_number().over(first))
                              .join(taken.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
                              .withColumn("again", (F.col("rank") > 1) | F.coalesce("real", F.lit(False))).drop("rank", "real"), "pii-state")
         done, waiting = marked.where(~F.col("again")).drop("again"), marked.where("again").select("kind", "value")
         settled = done if settled is None else settled.unionByName(done)
         if waiting.isEmpty():
-            return surfaces.join(settled, ["kind", "value"])
+            return (surfaces.join(settled, ["kind", "value"]).groupBy("surface", "kind")
+                    .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda p: p["surrogate"]).alias("surrogates")))
         taken = taken.unionByName(done.select("kind", "surrogate"))
 
 
+def _name_keys(surface: Column, to: Column) -> Column:
+    """``key, rank, to`` of a titled name's untitled mentions: its words alone, and each beside the other."""
+    name, words = untitled(surface), F.split(untitled(surface), " ")
+    entry = lambda key, rank, i: F.struct(key.alias("key"), F.lit(rank).alias("rank"), F.element_at(to, i).alias("to"))
+    alone = entry(F.concat(F.lit("0|"), F.element_at(words, -1)), 0, -1)
+    return F.when(F.size(words) > 1, F.array(alone, entry(F.concat(F.lit("0|"), F.get(words, 0)), 1, 1), entry(F.concat(F.lit("1|"), name), 0, 1),
+                                             entry(F.concat(F.lit("2|"), name), 0, 2))).otherwise(F.array(alone))
+
+
+def _mentions(pieces: Column, by_name: Column) -> Column:
+    """For every piece ``rest, words, to``: capitalised words, the text around them, and what replaces each (NULL: it stays)."""
+    def beside(mark: str, space: Column, one: Column, two: Column) -> Column:
+        return F.when(space.rlike(r"^\s$"), F.concat(F.lit(mark), one, F.lit(" "), two))
+
+    def replaced(p: Column, by: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            keys = (beside("1|", F.get(p["rest"], i + 1), w, F.get(p["words"], i + 1)),
+                    beside("2|", F.get(p["rest"], i), F.get(p["words"], i - 1), w), F.concat(F.lit("0|"), w))
+            return F.coalesce(*[F.element_at(by, k) for k in keys])
+        return F.struct(p["rest"].alias("rest"), p["words"].alias("words"), F.transform(p["words"], one).alias("to"))
+
+    split = F.transform(pieces, lambda p: F.struct(F.split(p, MENTION, -1).alias("rest"), F.regexp_extract_all(p, F.lit(MENTION), F.lit(0)).alias("words")))
+    once = F.array(F.struct(by_name.alias("by"), split.alias("split")))  # the map is built once a row
+    return F.get(F.transform(once, lambda o: F.transform(o["split"], lambda p: replaced(p, o["by"]))), 0)
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, report: str | None = None) -> DataFrame:
     """The table with every entity of ``text_col`` replaced; other columns unchanged.
 
-    Numbers that only look like cards stay.  NULL and empty texts and texts without
+    The words of a name that has a title somewhere in a text are replaced in that text
+    without it, too.  Numbers that only look like cards stay.  NULL and empty texts and texts without
     entities pass as they are.  Rows that repeat
     are each rewritten alike; an empty table stays empty.  ``report`` adds an array
     column ``<kind, surface, replacement>`` of the distinct replacements (empty where
     there are none).
     """
     columns = docs.columns
-    ents, row, repl = f"{_TMP}entities", f"{_TMP}row", f"{_TMP}map"
+    ents, row, repl, names = f"{_TMP}entities", f"{_TMP}row", f"{_TMP}map", f"{_TMP}names"
     tagged = docs.withColumn(ents, entities(F.col(text_col)))
     hits = materialize(tagged.where(F.size(ents) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-hits")
     mentions = hits.select(F.col(row).alias("row"), F.explode(F.array_distinct(ents)).alias("surface"))
-    words = materialize(dictionary(mentions, key).withColumn("replacement", render(F.col("kind"), F.col("surface"), F.col("surrogate")))
-                        .select("surface", "kind", "replacement"), "pii-words")
-    per_row = (mentions.join(words, "surface").groupBy("row")
-               .agg(F.sort_array(F.collect_list(F.struct("kind", "surface", "replacement"))).alias(repl)))
-    pieces = F.split(F.col(text_col), ANY, -1)
+    words = materialize(dictionary(mentions, key).withColumn("replacement", render(F.col("kind"), F.col("surface"), F.array_join("surrogates", " ")))
+                        .select("surface", "kind", "replacement", F.when(F.col("kind") == "name", F.col("surrogates")).alias("to")), "pii-words")
+    named = (mentions.join(words.where("kind = 'name'"), "surface").select("row", F.inline(_name_keys(F.col("surface"), F.col("to"))))
+             .groupBy("row", "key").agg(F.min(F.struct("rank", "to"))["to"].alias("to")))
+    entity, name = F.struct("kind", "surface", "replacement"), F.struct("key", "to")
+    found = mentions.join(words, "surface").select("row", entity.alias("entity"))
+    per_row = (found.unionByName(named.select("row", name.alias("name")), allowMissingColumns=True).groupBy("row")
+               .agg(F.sort_array(F.collect_list("entity")).alias(repl), F.collect_list("name").alias(names)))
     empty = F.array().cast("array<struct<kind:string,surface:string,replacement:string>>")
     by_surface = F.map_from_entries(F.transform(F.coalesce(repl, empty), lambda r: F.struct(r["surface"], r["replacement"])))
-    joined = F.array_join(F.zip_with(pieces, F.col(ents), lambda p, e: F.concat(
+    pieces = F.split(F.col(text_col), ANY, -1)
+    mentioned = F.when(F.size(names) > 0, _mentions(pieces, F.map_from_entries(names)))
+    marked = F.col(f"{_TMP}mentions")
+    again = F.transform(marked, lambda p: F.array_join(F.zip_with(
+        p["rest"], F.zip_with(p["words"], p["to"], lambda w, t: F.coalesce(t, w)), lambda r, w: F.concat(r, F.coalesce(w, F.lit("")))), ""))
+    joined = F.array_join(F.zip_with(F.coalesce(again, pieces), F.col(ents), lambda p, e: F.concat(
         p, F.coalesce(F.element_at(F.col(f"{_TMP}by"), e), e, F.lit("")))), "")
+    untold = F.flatten(F.transform(marked, lambda p: F.filter(F.zip_with(p["words"], p["to"], lambda w, t: F.struct(
+        F.lit("name").alias("kind"), w.alias("surface"), t.alias("replacement"))), lambda r: r["replacement"].isNotNull())))
+    told = F.when(marked.isNotNull(), F.array_sort(F.array_union(F.col(repl), untold))).otherwise(F.coalesce(repl, empty))
     per_row = per_row.withColumnRenamed("row", f"{_TMP}row_of")
     changed = (hits.join(per_row, F.col(row) == F.col(f"{_TMP}row_of"), "left").withColumn(f"{_TMP}by", by_surface)
-               .withColumn(text_col, joined).withColumn(f"{_TMP}report", F.coalesce(repl, empty)))
+               .withColumn(f"{_TMP}mentions", mentioned).withColumn(text_col, joined).withColumn(f"{_TMP}report", told))
     plain = (tagged.where(F.coalesce(F.size(ents), F.lit(0)) <= 0)
              .withColumn(f"{_TMP}report", empty))
     extra = [F.col(f"{_TMP}report").alias(report)] if report else []

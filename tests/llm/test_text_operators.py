@@ -317,6 +317,39 @@ def test_surrogates_stay_distinct_when_the_space_is_small(spark):
     assert len(set(found)) == 25 and not set(found) & set(addresses)
 
 
+def test_surrogates_of_phones_and_addresses_of_all_languages(spark):
+    phones = ["+44 20 7946 0958", "06 12 34 56 78", "+33 6 12 34 56 78", "+49 30 1234567", "612 345 678", "0044 20 7946 0958", "+49 (0)30 1234567", "030/1234567",
+              "020 7946 0958", "01632 960961", "(030) 1234567", "+34 612 345 678", "+44 7911 123456", "91 123 45 67", "612 34 56 78", "+33 612345678"]
+    ips = ["2001:db8:85a3::8a2e:370:7334", "fe80::1", "2001:0db8:0000:0000:0000:ff00:0042:8329", "2001:db8::ff00:42:8329"]
+    plain = ["01.02.2024 12:30", "1 612 345 678 Euro", "612 345 678,50", "12:30:45", "std::dead and x[5::3]", "00:1A:2B:3C:4D:5E", "2024-01-02 2024-01-03"]
+    df = spark.createDataFrame([(i, f"at {e}, now") for i, e in enumerate(phones + ips + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, report="found").collect()}
+    for i, e in enumerate(phones + ips):
+        assert [(f["surface"], f["kind"]) for f in got[i]["found"]] == [(e, "phone" if i < len(phones) else "ip")], e
+        assert e not in got[i]["text"]
+    for i, e in enumerate(phones):
+        assert re.sub("[0-9]", "0", got[i]["text"]) == re.sub("[0-9]", "0", f"at {e}, now")
+    n = len(phones)
+    assert got[n + 2]["found"][0]["replacement"] == got[n + 3]["found"][0]["replacement"] != got[n]["found"][0]["replacement"]
+    for i, e in enumerate(plain, len(phones + ips)):
+        assert got[i]["text"] == f"at {e}, now" and not got[i]["found"], e
+
+
+def test_surrogates_of_later_mentions_of_a_name(spark):
+    texts = ["Mr. John Smith came. John Smith's car, John, Smith and\nJohn\nSmith left; Johnson and Smithers stayed.", "Mr. Smith and John Smith", "Smith, without title",
+             "Mr. Thomas Mann met Mr. Thomas. Thomas Mann, Thomas.", "Herr Kim Lee und Frau Kim Lee: Kim Lee"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, report="found").collect()}
+    given, surname = got[0]["text"].split(" ")[1:3]
+    assert len({given, surname, "John", "Smith"}) == 4
+    assert got[0]["text"] == re.sub(r"\bJohn\b", given, re.sub(r"\bSmith\b", surname, texts[0]))
+    assert got[1]["text"] == f"Mr. {surname} and John {surname}" and got[2]["text"] == texts[2]
+    assert {(f["surface"], f["replacement"]) for f in got[0]["found"]} == {("Mr. John Smith", f"Mr. {given} {surname}"), ("John", given), ("Smith", surname)}
+    thomas, mann, alone = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+)\. .*", got[3]["text"]).groups()
+    assert thomas != alone and got[3]["text"].endswith(f". {thomas} {mann}, {alone}.")
+    assert not re.search("Kim|Lee", got[4]["text"])
+
+
 def test_surrogates_end_when_the_space_is_full(spark):
     addresses = [f"{a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz"]  # 26 of 26 local parts
     masked = ["password=********", "token: ------", 'secret="••••••••"']
@@ -335,7 +368,7 @@ def test_surrogates_of_full_number_formats_grow(spark):
     values = [("ssn", "123456789", "123-45-6789"), ("phone", "5785556437", "578-555-6437"), ("card", "4451718024887799", "4451718024887799"), ("ip", "27.65.93.188", "27.65.93.188")]
     df = spark.createDataFrame(values, "kind string, value string, surface string")
     for attempt in (pii.FORMAT_DRAWS - 1, pii.FORMAT_DRAWS, pii.FORMAT_DRAWS + 1):
-        value = pii.surrogate(F.col("kind"), F.col("value"), F.lit(attempt), "k")
+        value = pii.surrogate(F.col("kind"), F.col("value"), attempt, "k")
         got = {r["kind"]: r["s"] for r in df.select("kind", pii.render(F.col("kind"), F.col("surface"), value).alias("s")).collect()}
         more = attempt - pii.FORMAT_DRAWS + 1
         assert re.fullmatch(rf"9\d\d-\d\d-\d{{{4 + more}}}", got["ssn"]) and re.fullmatch(rf"[2-9]\d\d-\d\d\d-\d{{{4 + more}}}", got["phone"])
