@@ -10,8 +10,10 @@ from hashed slices of each length, so a frequent length is not ranked by one tas
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +40,18 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token) and not token.startswith("<|")}
 
 
+#: Characters of a white-space run that the library's pattern engine surely walks in one go.
+LONG_RUN = 100_000
+
+
+def encode(encoding, library, text: str) -> list[int]:
+    """Ids of a text; those with a very long run of white space, on which tiktoken's engine
+    overflows its stack, are encoded by the tokenizer library, which gives the same ids."""
+    if len(text) > LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text)):
+        return library().encode(text, add_special_tokens=False).ids
+    return encoding.encode_ordinary(text)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than the capacity."""
     first = (n - 1) % capacity + 1
@@ -54,16 +68,26 @@ def tokenize(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
     spark = docs.sparkSession
     arrow_batches(spark)
     ranks = spark.sparkContext.broadcast(byte_ranks(path))  # the vocabulary, one entry a token
+    with open(path, encoding="utf-8") as f:
+        tokenizer = spark.sparkContext.broadcast(f.read())  # the same for the library
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
+        @functools.cache
+        def library():
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_str(tokenizer.value)
+            made.encode_special_tokens = True
+            return made
+
         encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         for batch in batches:
             row, out, kept = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array(encoding.encode_ordinary(text or "") + [end_id], dtype="<u4")
+                ids = np.array(encode(encoding, library, text or "") + [end_id], dtype="<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start:start + length]
                     row.append(i)

@@ -284,6 +284,20 @@ def test_packing_edge_cases(spark, edge):
     assert packing.pack(edge.limit(0), path).count() == 0
 
 
+def test_packing_of_special_strings_and_very_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True  # as the files' README has it
+    texts = ["a <|endoftext|> b", "a" + " " * 1_000_000 + "b <|endoftext|>", "\n" * 1_000_000, "a" + " " * 99_000 + "b" + "\u00a0" * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows(packing.tokenize(df, path, keep_ids=True))
+    for i, text in enumerate(texts):
+        own = sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [n for r in own for n in r["ids"]] == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 # ---- 9 personal data
 def test_surrogates(spark):
     texts = ["Mr. John Smith met Mrs Анна Петрова and Г-н Петров. Mr. John Smith wrote.",
