@@ -81,18 +81,20 @@ def top_products(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256
     """``query_id, rank, vec_id, score``: the k rows of ``df`` with the largest integer inner product.
 
     The query's own id is no candidate.  NULL and non-finite vectors take no part on either
-    side; with fewer candidates all are returned; ties go to the smaller id.  Vectors must
+    side; with fewer candidates all are returned; ties go to the smaller id.
+    A row that repeats is that many candidates; a query id with several vectors has the
+    smallest of them.  Vectors must
     have one length and sums of products below 2**63.
     """
     spark = df.sparkSession
     arrow_batches(spark, 5000)
     square = F.aggregate("vector", F.lit(0).cast("long"), lambda s, v: s + v * v)
-    distinct = materialize(V.distinct_vectors(quantised(df, id_col, vector_col, scale), k + 1)
+    distinct = materialize(V.distinct_vectors(quantised(df, id_col, vector_col, scale), k)
                            .withColumn("square", square), "norm-vectors")
     rotation = spark.sparkContext.broadcast(axes(distinct))
     blocks, n_blocks = V.numbered(distinct, [F.desc("square"), F.element_at("ids", 1)], V.BLOCK, "norm-blocks")
     blocks = materialize(blocks, "norm-numbered")
-    asked, n_asked = V.numbered(quantised(queries, id_col, vector_col, scale).dropDuplicates(["id"]), [F.col("id")], V.QUERY_BLOCK, "norm-queries")
+    asked, n_asked = V.numbered(V.one_vector(quantised(queries, id_col, vector_col, scale)), [F.col("id")], V.QUERY_BLOCK, "norm-queries")
     asked = materialize(asked, "norm-asked")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -62,7 +62,7 @@ def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     """Index every usable row of the table; vectors must have one length."""
     spark = df.sparkSession
     arrow_batches(spark, 5000)
-    distinct = materialize(V.distinct_vectors(_rows(df, id_col, vector_col), k + 1), "index-vectors")
+    distinct = materialize(V.distinct_vectors(_rows(df, id_col, vector_col), k), "index-vectors")
     drawn = (distinct.orderBy(F.xxhash64("vector"), F.element_at("ids", 1)).limit(pivots).select("vector")).toPandas()
     chosen = _unit(V.matrix(drawn["vector"])) if len(drawn) else np.empty((0, 1))
     prefix = min(prefix, len(chosen))
@@ -106,11 +106,13 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col:
 
     The query's own id is no candidate.  NULL, zero and non-finite vectors take no part on
     either side; with fewer candidates all are returned; copies tie and go by id.
+    A row that repeats is that many candidates; a query id with several vectors has the
+    smallest of them.
     """
     arrow_batches(queries.sparkSession, 5000)
     chosen, prefix = index.pivots, index.prefix
     shared = queries.sparkSession.sparkContext.broadcast(chosen)
-    asked = _rows(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = V.one_vector(_rows(queries, id_col, vector_col))
     asked, n_asked = V.numbered(asked, [F.col("id")], V.QUERY_BLOCK, "index-queries")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -27,19 +27,27 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
 
 
-def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """``vector, ids``: each distinct vector with its ``keep`` smallest ids.
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """``vector, ids``: each distinct vector with its k + 1 smallest ids, each as often as it has rows, up to k times.
 
-    A result of k rows without the query's own id never needs more than k + 1 of them, so
-    a hot vector costs one row.  Copies are thinned per task before the shuffle and the
-    row limit works on partial groups.
+    A result of k rows without the query's own id never needs more: one of the ids may be
+    the query's, the other k have a row each at least.  So a hot vector costs one row.
+    Rows are counted per id first, in partial aggregations; ids are thinned per task before
+    the shuffle and the row limit works on partial groups.
     """
     first = Window.partitionBy("vector", "salt").orderBy("id")
     again = Window.partitionBy("vector").orderBy("id")
-    salted = rows.select("id", "vector").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    thin = salted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).drop("r", "salt")
-    few = thin.withColumn("r", F.row_number().over(again)).where(F.col("r") <= keep)
-    return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    counted = rows.groupBy("vector", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    thin = salted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r", "salt")
+    few = thin.withColumn("r", F.row_number().over(again)).where(F.col("r") <= k + 1)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("id", "n"))), lambda m: F.array_repeat(m["id"], m["n"]))
+    return few.groupBy("vector").agg(F.flatten(ids).alias("ids"))
+
+
+def one_vector(rows: DataFrame) -> DataFrame:
+    """``id, vector``: one row for each id; of several vectors the smallest, component by component."""
+    return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
 def numbered(rows: DataFrame, order: list[Column], size: int, name: str) -> tuple[DataFrame, int]:
@@ -93,6 +101,6 @@ def top_members(query_ids: np.ndarray, scores: np.ndarray, ids: list[np.ndarray]
     for i, query in enumerate(query_ids):
         own = scores[i]
         cut = np.partition(own, -width)[-width]
-        rows = [(own[j], m) for j in np.flatnonzero((own >= cut) & (own > lowest)) for m in ids[j][:k + 1] if m != query]
+        rows = [(own[j], m) for j in np.flatnonzero((own >= cut) & (own > lowest)) for m in ids[j][ids[j] != query][:k]]
         for score, member in sorted(rows, key=lambda r: (-r[0], r[1]))[:k]:
             yield query, member, score

@@ -61,6 +61,23 @@ def test_neighbours_recall_and_scores(table):
     assert np.mean(hits) >= 0.9
 
 
+def test_repeated_rows_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    hot, far = rng.integers(-8, 8, size=(2, 6)) / 4 + 0.25
+    for name, some in {"every row twice": [(i, hot) for i in range(50, 56)] * 2, "own row six times": [(50, hot)] * 6 + [(i, hot) for i in range(60, 64)],
+                       "one id often": [(50, hot)] + [(51, hot)] * 9 + [(52, hot)], "two vectors": [(50, hot), (50, far), (51, hot), (52, far)] * 2}.items():
+        table = some + [(i, rng.integers(-8, 8, size=6) / 4 + 0.125) for i in range(70, 90)]
+        df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in table], SCHEMA)
+        ids, x = np.array([i for i, _ in table]), np.stack([v for _, v in table])
+        q = np.array(min(v.tolist() for i, v in table if i == 50))
+        for score, search in ((np.floor(256 * x) @ np.floor(256 * q), lambda: norm_search.top_products(df, df.where("vec_id % 50 = 0"))),
+                              (x @ q / np.sqrt((x * x).sum(axis=1) * (q @ q)), lambda: permutation_index.search(permutation_index.build(df), df.where("vec_id % 50 = 0")))):
+            score = score.round(9)
+            want = [(ids[j], score[j]) for j in np.lexsort((ids, -score)) if ids[j] != 50][:5]
+            got = [(r["vec_id"], round(r["score"], 9)) for r in sorted(search().collect(), key=lambda r: r["rank"])]
+            assert got == want, name
+
+
 def test_few_and_no_vectors(spark):
     two = spark.createDataFrame([(0, [1.0, 2.0], "", ""), (50, [2.0, 1.0], "", "")], SCHEMA)
     for df, n in ((two, 2), (two.where("vec_id = 0"), 0), (two.limit(0), 0)):
