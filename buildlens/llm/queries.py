@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import langid, licenses, minhash, norm_search, packing, permutation_index, piece_transducer, pii, sharding, toxicity
+from buildlens.llm import (
+    dual_tree, langid, lattice_dedup, licenses, minhash, norm_search, packing, permutation_index, piece_transducer, pii, plane_clusters,
+    sharding, toxicity)
 
 #: Folder of the public vocabulary files; a parameter of the operators, a fixed value of the queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -85,6 +87,31 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard")))
 
 
+def op11_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds, in exact integers."""
+    return plane_clusters.cluster(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of the vectors of each label with cosine of 0.98 or more."""
+    return lattice_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return dual_tree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Rounds of the cluster twin, each one assignment and one mean.
+_ROUND = """
+near{i} AS (
+  SELECT vec_id, v, arg_min(c, list_dot_product(v, v) - 2 * list_dot_product(v, w) + list_dot_product(w, w)) AS c FROM (
+    SELECT vec_id, v, c, w FROM kept, cents{i} ORDER BY vec_id, c) GROUP BY vec_id, v),
+moved{i} AS (
+  SELECT c, list(m ORDER BY k) AS w FROM (
+    SELECT c, k, floor(sum(x) / count(*)) AS m FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM near{i}) GROUP BY c, k) GROUP BY c),
+cents{j} AS (SELECT a.c, coalesce(b.w, a.w) AS w FROM cents{i} a LEFT JOIN moved{i} b ON a.c = b.c)"""
+
 QUERIES = {
     "op1_paragraph_classifier": op1_paragraph_classifier,
     "op2_minhash_postings": op2_minhash_postings,
@@ -96,6 +123,9 @@ QUERIES = {
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_surrogates": op9_surrogates,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "op11_plane_clusters": op11_plane_clusters,
+    "op12_lattice_dedup": op12_lattice_dedup,
+    "op13_dual_tree": op13_dual_tree,
 }
 
 ORACLE = {
@@ -123,4 +153,48 @@ scored AS (
   FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_plane_clusters": """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cents0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256(concat('3:', vec_id))) - 1 AS INTEGER) AS c, v AS w FROM kept
+  ORDER BY c LIMIT 8),""" + ",".join(_ROUND.format(i=i, j=i + 1) for i in range(10)) + """,
+last AS (
+  SELECT vec_id, c, list_dot_product(v, v) - 2 * list_dot_product(v, w) + list_dot_product(w, w) AS d, w FROM kept, cents10),
+best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r FROM last)
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(w, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM best WHERE r = 1""",
+    "op12_lattice_dedup": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.x = e.vec_id LEFT JOIN degree d ON d.x = e.vec_id""",
+    "op13_dual_tree": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+sizes AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n FROM words WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, CAST(coalesce(sum(n), 0) AS HUGEINT) AS length FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term, docs),
+impact AS (SELECT tf.doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * n::HUGEINT * docs) // length AS BIGINT)))) AS x
+  FROM tf JOIN sizes USING (doc_id) JOIN weight USING (term), total),
+scored AS (SELECT item_id, doc_id, sum(x) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, doc_id HAVING sum(x) > 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
+SELECT item_id, rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""",
 }
