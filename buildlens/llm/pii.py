@@ -7,21 +7,24 @@ entity of the corpus, is drawn again until none is left, so different entities s
 different.  After a few draws each further one has more room than the one before (longer
 names and addresses; numbers only where their format is all but full), so this ends for
 every corpus.  One canonical value has one surrogate, so repeated mentions stay the same
-person, address or number.  Given names and surnames are entities of their own.  The dictionary is joined to the documents that hold
-entities.  Everything is a DataFrame expression.
+person, address or number.  Each word of a name is an entity of its own: a given name, if
+others follow, or a surname; particles (van, de la) stay.  The dictionary is joined to the
+documents that hold entities.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import secrets
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.sources.storage import materialize
 
-#: Key of the surrogates where the caller names none; a production run passes its own secret.
-DEFAULT_KEY = "surrogates-1"
+#: Session setting that holds the key of the surrogates: whoever knows it can draw them again.
+KEY_SETTING = "spark.buildlens.surrogates.key"
 #: Draws within the shortest room of names, mail addresses and secrets; each later draw is one syllable or character longer.
 DRAWS = 4
 #: Draws within the format of numbers and keys; each later draw is one character longer (an IP address: IPv6, documentation block).
@@ -30,36 +33,52 @@ FORMAT_DRAWS = 32
 # ---- fixed values: patterns, honorifics, names, alphabets -------------------------------------------------
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Господин", "Κύριος"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Г-жа", "Госпожа", "Κυρία"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Г-жа", "Госпожа", "Κυρία", "Mlle", "Mademoiselle", "Señorita", "Srta", "Lady"]
+#: Titles of any gender, alone or after one of the others.
+TITLES = ["Dr", "Dra", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Profesor", "Profesora", "Ing", "Dipl"]
+#: Small words inside a name.
+PARTICLES = ["van", "von", "vom", "zu", "zur", "zum", "der", "den", "dem", "ter", "ten", "de", "del", "della", "delle", "di", "da", "dal", "das", "do", "dos",
+             "du", "des", "la", "las", "le", "les", "lo", "los", "y", "e", "und", "bin", "ibn", "ben", "al", "el", "af", "av"]
+#: Words before a number that is no phone number, and units after it.
+LABELS = ["order", "orders", "isbn", "issn", "ean", "invoice", "item", "items", "article", "serial", "ref", "sku", "ticket", "page", "build", "version",
+          "bestellung", "rechnung", "artikel", "seite", "commande", "facture", "pedido", "factura", "página"]
+UNITS = ["units", "unit", "pieces", "pcs", "items", "users", "rows", "records", "bytes", "tokens", "words", "people", "euro", "euros", "eur", "usd", "dollars", "kg", "km", "stück",
+         "einheiten", "unités", "pièces", "unidades", "piezas"]
 #: A possessive 's is no part of a name.
 NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))++"
 HEXES = "[0-9A-Fa-f]{1,4}"
 #: Eight groups, or fewer around '::' with a digit and a group of three or more.
 IPV6 = (rf"(?:(?:{HEXES}:){{7}}{HEXES}|(?=[0-9A-Fa-f:]*[0-9])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})"
         rf"(?:(?:{HEXES}:){{1,6}}(?::{HEXES}){{1,6}}|(?:{HEXES}:){{1,7}}:|:(?::{HEXES}){{1,7}}))(?![\p{{L}}\p{{N}}:]|\.[0-9])")
-#: Phone groupings: North American, unbroken international, international, then national ones of fr, en/de and es.
+#: Phone groupings: North American, unbroken international, international; national ones of North America, fr, en/de and es.
 PHONES = [
-    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", r"\+[0-9]{8,15}",
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", r"\+[0-9]{8,15}",
     r"(?=(?:\+|00)(?:[ ./()-]{0,2}[0-9]){8})(?:\+[1-9][0-9]{0,2}[ ./-]?|00[1-9][0-9]{0,2}[ ./-])(?:\([0-9]{1,5}\)[ ./-]?)?"
     r"(?:[0-9]{1,4}(?:[ .-][0-9]{2}){3,4}|[0-9]{1,4}[ .-][0-9]{3}(?:[ .-][0-9]{2}){2}|[0-9]{2,5}[ ./-][0-9]{3,4}[ .-][0-9]{3,4}"
     r"|[0-9]{2,5}[ ./-][0-9]{5,8}|[0-9]{7,12}|[0-9]{1,5}(?:[ ./-][0-9]{2,8}){1,3})",
+]
+NATIONAL_PHONES = [
+    r"(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
     r"0[1-9](?<pfr>[ .-])[0-9]{2}(?:\k<pfr>[0-9]{2}){3}",
     r"(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{0,3}[ /-])[0-9]{3,4}[ -][0-9]{3,4}",
     r"(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{1,3}[ /-])(?:[0-9]{5,8}|[0-9]{2,3}(?: [0-9]{2}){2,3})",
     r"(?<![0-9][ .,])(?:[6-9][0-9]{2}(?<pes>[ -])[0-9]{3}\k<pes>[0-9]{3}|[689][0-9]{2}(?<pet>[ .-])[0-9]{2}(?:\k<pet>[0-9]{2}){2}"
     r"|[89][0-9](?<peu>[ -])[0-9]{3}(?:\k<peu>[0-9]{2}){2})(?![ .,-][0-9])",
 ]
+NATIONAL = (rf"(?=[0-9(])(?<!(?<!\p{{L}})(?i:{'|'.join(LABELS)})[ :.#]{{1,3}})(?:{'|'.join(NATIONAL_PHONES)})"
+            rf"(?![\p{{L}}\p{{N}}]| (?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))")
+_TITLED = (rf"(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*+|(?:(?:{'|'.join(TITLES)})\.? )++)")
 #: Type -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)+[\p{L}]{2,24}",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?(?:\"[^\"\s]{6,128}\"|[^\s\",;]{6,128})",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?(?:\"[^\"\s]{6,}+\"|[^\s\",;]{6,}+)",
     "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}])",
     "ip": rf"(?:(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])|{IPV6})",
     "card": r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
-    "phone": rf"(?:{'|'.join(PHONES)})(?![\p{{L}}\p{{N}}])",
-    "name": rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {NAME}(?: {NAME})?",
+    "phone": rf"(?:(?:{'|'.join(PHONES)})(?![\p{{L}}\p{{N}}])|{NATIONAL})",
+    "name": rf"{_TITLED}{NAME}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}+{NAME})*+",
 }
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Leon", "Marco"],
@@ -86,7 +105,7 @@ SAFE_TLDS = ["com", "net", "org"]
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
 #: A capitalised word, which may be an untitled mention of a name.
 MENTION = rf"(?<![\p{{L}}\p{{N}}]){NAME}(?![\p{{L}}\p{{N}}])"
-TITLE = "^(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? "
+TITLE = "^" + _TITLED
 _TMP = "__pii_"
 
 
@@ -122,17 +141,21 @@ def untitled(surface: Column) -> Column:
     return F.regexp_replace(surface, TITLE, "")
 
 
+def name_words(surface: Column) -> Column:
+    """The capitalised words of a titled name."""
+    return F.filter(F.split(untitled(surface), " "), lambda w: w.rlike(r"^\p{Lu}"))
+
+
 def values(kind: Column, surface: Column) -> Column:
-    """The canonical values of a mention, each with a surrogate of its own: one, or given name and surname.
+    """The canonical values of a mention, each with a surrogate of its own: one, or given name and surnames.
 
-    A given name has a gender, a surname only where its ending shows it.
+    A given name has a gender if the title tells it, a surname only where its ending shows it.
     """
-    words, gender = F.split(untitled(surface), " "), _gender(surface)
-    last = F.element_at(words, -1)
-    surname = F.concat_ws("|", F.lit("surname"), F.when(_script(last) == "latin", "").otherwise(gender), last)
+    words, gender = name_words(surface), _gender(surface)
+    surname = lambda w: F.concat_ws("|", F.lit("surname"), F.when(_script(w) == "latin", "").otherwise(gender), w)
     given = F.concat_ws("|", F.lit("given"), gender, F.get(words, 0))
-    return (F.when(kind != "name", F.array(canonical(kind, surface))).when(F.size(words) > 1, F.array(given, surname))
-            .otherwise(F.array(surname)))
+    named = F.transform(words, lambda w, i: F.when((i == 0) & (F.size(words) > 1), given).otherwise(surname(w)))
+    return F.when(kind != "name", F.array(canonical(kind, surface))).otherwise(named)
 
 
 def _bare(kind: Column, value: Column) -> Column:
@@ -140,7 +163,8 @@ def _bare(kind: Column, value: Column) -> Column:
 
 
 def _gender(surface: Column) -> Column:
-    return F.when(surface.rlike("^(?:" + "|".join(MALE_TITLES) + r")\.? "), "m").otherwise("f")
+    return (F.when(surface.rlike("^(?:" + "|".join(MALE_TITLES) + r")\.? "), "m")
+            .when(surface.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "), "f").otherwise("n"))
 
 
 def _script(value: Column) -> Column:
@@ -226,7 +250,9 @@ def surrogate(kind: Column, value: Column, attempt: int, key: str) -> Column:
         end = F.when(gender == "m", SURNAME_END.get((s, "m"), "")).when(gender == "f", SURNAME_END.get((s, "f"), "")).otherwise("")
         surname = F.initcap(F.concat(*[_choose(syllables, at(i)) for i in (5, 9, 13)], string(syllables, longer), end))
         drawn_given = F.initcap(F.concat(_choose(syllables, at(5)), _choose(syllables, at(9)), string(syllables, longer)))
-        given = drawn_given if longer else F.when(gender == "m", _choose(GIVEN[(s, "m")], at(1))).otherwise(_choose(GIVEN[(s, "f")], at(1)))
+        male, female = GIVEN[(s, "m")], GIVEN[(s, "f")]
+        given = drawn_given if longer else (F.when(gender == "m", _choose(male, at(1))).when(gender == "f", _choose(female, at(1)))
+                                            .otherwise(_choose(male + female, at(1))))
         name = F.when(script == s, F.when(role == "given", given).otherwise(surname)).otherwise(name)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
             .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "access_key", access)
@@ -244,12 +270,28 @@ def render(kind: Column, surface: Column, value: Column) -> Column:
     old = canonical(F.lit("secret"), surface)
     secret = F.concat(F.substr(surface, F.lit(1), F.length(surface) - F.length(old) - F.when(surface.endswith('"'), 1).otherwise(0)),
                       value, F.when(surface.endswith('"'), F.lit('"')).otherwise(F.lit("")))
-    title = F.regexp_extract(surface, TITLE, 0)
-    return (F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "secret", secret)
-            .when(kind == "name", F.concat(title, value)).otherwise(value))
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "secret", secret).otherwise(value)
+
+
+def render_name(surface: Column, to: Column) -> Column:
+    """A titled name with its capitalised words replaced in turn; title and particles stay."""
+    words, capital = F.split(untitled(surface), " "), lambda w: w.rlike(r"^\p{Lu}")
+    place = lambda i: F.size(F.filter(F.slice(words, 1, i + 1), capital))
+    return F.concat(F.regexp_extract(surface, TITLE, 0), F.array_join(F.transform(
+        words, lambda w, i: F.when(capital(w), F.get(to, place(i) - 1)).otherwise(w)), " "))
+
+
+@functools.cache
+def _drawn_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; where it names none, one drawn for this application, which nobody can use again."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn_key()
 
 
-def dictionary(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def dictionary(found: DataFrame, key: str) -> DataFrame:
     """``surface, kind, surrogates`` for distinct entity strings (column ``surface``): one surrogate of
     each of its ``values``.  A surrogate of a name is no other name's, given or last."""
     surfaces = materialize(
@@ -257,13 +299,13 @@ def dictionary(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         .where(F.col("kind").isNotNull()).select("surface", "kind", F.posexplode(values(F.col("kind"), F.col("surface"))).alias("pos", "value")), "pii-surfaces")
     waiting = materialize(surfaces.select("kind", "value").distinct(), "pii-entities")
     taken = surfaces.select("kind", _bare(F.col("kind"), F.col("value")).alias("surrogate")).distinct()
-    first = Window.partitionBy("kind", "surrogate").orderBy("value")
     settled = None
     for n in itertools.count():
-        drawn = waiting.withColumn("attempt", F.lit(n)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), n, key))
-        marked = materialize(drawn.withColumn("rank", F.row_number().over(first))
-                             .join(taken.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
-                             .withColumn("again", (F.col("rank") > 1) | F.coalesce("real", F.lit(False))).drop("rank", "real"), "pii-state")
+        drawn = materialize(waiting.withColumn("attempt", F.lit(n)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), n, key)), "pii-drawn")
+        # The smallest value keeps a surrogate that several draw: found by partial aggregation, joined on the value, so no draw is a hot key.
+        owner = (drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
+                 .join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", F.lit(False).alias("lost")))
+        marked = materialize(drawn.join(owner, ["kind", "value"], "left").withColumn("again", F.coalesce("lost", F.lit(True))).drop("lost"), "pii-state")
         done, waiting = marked.where(~F.col("again")).drop("again"), marked.where("again").select("kind", "value")
         settled = done if settled is None else settled.unionByName(done)
         if waiting.isEmpty():
@@ -273,12 +315,14 @@ def dictionary(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 
 def _name_keys(surface: Column, to: Column) -> Column:
-    """``key, rank, to`` of a titled name's untitled mentions: its words alone, and each beside the other."""
-    name, words = untitled(surface), F.split(untitled(surface), " ")
-    entry = lambda key, rank, i: F.struct(key.alias("key"), F.lit(rank).alias("rank"), F.element_at(to, i).alias("to"))
-    alone = entry(F.concat(F.lit("0|"), F.element_at(words, -1)), 0, -1)
-    return F.when(F.size(words) > 1, F.array(alone, entry(F.concat(F.lit("0|"), F.get(words, 0)), 1, 1), entry(F.concat(F.lit("1|"), name), 0, 1),
-                                             entry(F.concat(F.lit("2|"), name), 0, 2))).otherwise(F.array(alone))
+    """``key, rank, to`` of a titled name's untitled mentions: each of its words alone, and beside its neighbours."""
+    words, n = name_words(surface), F.size(to)
+    alone = F.transform(words, lambda w, i: F.struct(F.concat(F.lit("0|"), w).alias("key"), F.when(i == n - 1, 0).when(i == 0, 1).otherwise(2).alias("rank"),
+                                                     F.get(to, i).alias("to")))
+    pair = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
+    beside = lambda mark, shift: F.transform(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), lambda _, i: F.struct(
+        F.concat(F.lit(mark), pair(i)).alias("key"), F.lit(0).alias("rank"), F.get(to, i + shift).alias("to")))
+    return F.concat(alone, beside("1|", 0), beside("2|", 1))
 
 
 def _mentions(pieces: Column, by_name: Column) -> Column:
@@ -298,22 +342,28 @@ def _mentions(pieces: Column, by_name: Column) -> Column:
     return F.get(F.transform(once, lambda o: F.transform(o["split"], lambda p: replaced(p, o["by"]))), 0)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, report: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None, report: str | None = None) -> DataFrame:
     """The table with every entity of ``text_col`` replaced; other columns unchanged.
 
     The words of a name that has a title somewhere in a text are replaced in that text
-    without it, too.  Numbers that only look like cards stay.  NULL and empty texts and texts without
-    entities pass as they are.  Rows that repeat
-    are each rewritten alike; an empty table stays empty.  ``report`` adds an array
-    column ``<kind, surface, replacement>`` of the distinct replacements (empty where
-    there are none).
+    without it, too.  Names and secrets have any length; very long texts are read whole.
+    Numbers that only look like cards stay, so do national phone groupings after the name
+    of another number (order, ISBN) or before a unit.  NULL and empty texts and texts
+    without entities pass as they are.  Rows that repeat are each rewritten alike; an empty
+    table stays empty; columns keep their names and values, whatever they are called.
+    ``key`` draws the surrogates: the session's (``session_key``) if none is given.
+    ``report`` adds an array column ``<kind, surface, replacement>`` of the distinct
+    replacements (empty where there are none).
     """
+    key = key or session_key(docs.sparkSession)
     columns = docs.columns
     ents, row, repl, names = f"{_TMP}entities", f"{_TMP}row", f"{_TMP}map", f"{_TMP}names"
     tagged = docs.withColumn(ents, entities(F.col(text_col)))
     hits = materialize(tagged.where(F.size(ents) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-hits")
     mentions = hits.select(F.col(row).alias("row"), F.explode(F.array_distinct(ents)).alias("surface"))
-    words = materialize(dictionary(mentions, key).withColumn("replacement", render(F.col("kind"), F.col("surface"), F.array_join("surrogates", " ")))
+    rendered = F.when(F.col("kind") == "name", render_name(F.col("surface"), F.col("surrogates"))).otherwise(
+        render(F.col("kind"), F.col("surface"), F.get("surrogates", F.lit(0))))
+    words = materialize(dictionary(mentions, key).withColumn("replacement", rendered)
                         .select("surface", "kind", "replacement", F.when(F.col("kind") == "name", F.col("surrogates")).alias("to")), "pii-words")
     named = (mentions.join(words.where("kind = 'name'"), "surface").select("row", F.inline(_name_keys(F.col("surface"), F.col("to"))))
              .groupBy("row", "key").agg(F.min(F.struct("rank", "to"))["to"].alias("to")))

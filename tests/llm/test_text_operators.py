@@ -389,6 +389,54 @@ def test_surrogates_of_full_number_formats_grow(spark):
         assert len(got["card"]) == 16 + more and got["ip"].startswith("2001:db8:" if more else "2")
 
 
+def test_surrogates_of_secrets_of_any_length(spark):
+    rng = random.Random(3)
+    values = ["".join(rng.choices("abcdefXYZ0123456789+/._-", k=n)) for n in (6, 127, 128, 129, 253, 5000, 200_000)]
+    texts = [f"a {form.format(v)} b" for v in values for form in ("token={}", 'password: "{}"', "api_key = {},")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df).collect()}
+    for i, text in enumerate(texts):
+        value = values[i // 3]
+        assert len(got[i]) == len(text) and got[i].startswith(text[:text.index(value)]) and got[i].endswith(text[text.index(value) + len(value):])
+        kept = sum(a == b for a, b in zip(got[i], text, strict=True)) - (len(text) - len(value))
+        assert value[:6] not in got[i] and (len(value) < 100 or kept < len(value) / 2)
+
+
+def test_surrogates_of_names_of_any_number_of_words(spark):
+    names = ["Mr. John Ronald Tolkien", "Herr Ludwig van Beethoven", "Señora María García López", "Dr. Anna Weber", "Prof. Dr. Karl von der Heide", "Frau Prof. Lang",
+             "Mme Marie de la Tour", "Mr " + " ".join(f"Ab{'cdefghij'[i % 8] * (i // 8 + 1)}" for i in range(300))]
+    lasts = [n.split(" ")[-1] for n in names]
+    df = spark.createDataFrame([(i, f"so {n} came, {last} said; van and de stay.") for i, (n, last) in enumerate(zip(names, lasts, strict=True))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, report="found").collect()}
+    titles = {"Mr.", "Mr", "Herr", "Frau", "Señora", "Dr.", "Prof.", "Mme"}
+    for i, name in enumerate(names):
+        words, new = name.split(" "), got[i]["text"].removeprefix("so ").split(" came, ")[0].split(" ")
+        assert len(words) == len(new)
+        for old, word in zip(words, new, strict=True):
+            assert (old == word) == (old in titles or old[0].islower()), (name, new)
+        assert got[i]["text"].endswith(f" came, {new[-1]} said; van and de stay.") and not re.search(rf"\b{lasts[i]}\b", got[i]["text"])
+
+
+def test_other_numbers_are_no_phones(spark):
+    plain = ["Order 612 345 678 units", "ISBN 978 345 678", "ISBN: 978 345 6789", "invoice #612 345 678", "about 612 345 678 users", "Bestellung 030 1234567"]
+    phones = ["phone number: 555-123-4567", "casino 612 345 678", "Telefonnummer 030 1234567", "call 612 345 678 now"]
+    df = spark.createDataFrame(list(enumerate(plain + phones)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df).collect()}
+    assert [got[i] for i in range(len(plain))] == plain
+    assert all(got[i] != text for i, text in enumerate(plain + phones) if i >= len(plain))
+
+
+def test_surrogates_follow_the_sessions_key(spark):
+    df = spark.createDataFrame([(1, "to ab.cd@x.org and Mr. Long Name")], "doc_id long, text string")
+    drawn = {key: pii.pseudonymise(df, key=key).first()["text"] for key in ("a", "b", None)}
+    assert len(set(drawn.values())) == 3 and pii.pseudonymise(df).first()["text"] == drawn[None]
+    spark.conf.set(pii.KEY_SETTING, "a")
+    try:
+        assert pii.pseudonymise(df).first()["text"] == drawn["a"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_edge_cases(spark, edge):
     got = pii.pseudonymise(edge)
     assert got.columns == edge.columns
