@@ -39,6 +39,11 @@ class Index:
     prefix: int
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component near 1: cosines stay the same, bit by bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1, without overflow of large components."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -59,11 +64,17 @@ def _rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
           pivots: int = PIVOTS, prefix: int = PREFIX) -> Index:
-    """Index every usable row of the table; vectors must have one length."""
+    """Index every usable row of the table.
+
+    Pivots have the length that most vectors have; vectors of another length have no
+    permutation and are compared one by one with queries of that length.
+    """
     spark = df.sparkSession
     arrow_batches(spark, 5000)
     distinct = materialize(V.distinct_vectors(_rows(df, id_col, vector_col), k), "index-vectors")
-    drawn = (distinct.orderBy(F.xxhash64("vector"), F.element_at("ids", 1)).limit(pivots).select("vector")).toPandas()
+    common = distinct.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    usual = distinct.where(F.size("vector") == (common["dim"] if common else 0))
+    drawn = (usual.orderBy(F.xxhash64("vector"), F.element_at("ids", 1)).limit(pivots).select("vector")).toPandas()
     chosen = _unit(V.matrix(drawn["vector"])) if len(drawn) else np.empty((0, 1))
     prefix = min(prefix, len(chosen))
     shared = spark.sparkContext.broadcast(chosen)  # PIVOTS vectors
@@ -71,7 +82,10 @@ def build(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     def permuted(batches):
         for batch in batches:
             if len(batch):
-                order = permutations(V.matrix(batch["vector"]), shared.value, prefix)
+                order = np.zeros((len(batch), prefix), dtype=np.int16)
+                usual = batch["vector"].map(len).to_numpy() == shared.value.shape[1]
+                if usual.any():
+                    order[usual] = permutations(V.matrix(batch["vector"][usual]), shared.value, prefix)
                 yield batch.assign(permutation=list(order))
 
     schema = "vector array<double>, ids array<long>, permutation array<smallint>"
@@ -107,7 +121,9 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col:
     The query's own id is no candidate.  NULL, zero and non-finite vectors take no part on
     either side; with fewer candidates all are returned; copies tie and go by id.
     A row that repeats is that many candidates; a query id with several vectors has the
-    smallest of them.
+    smallest of them.  Only vectors as long as the query's are candidates; components of
+    any finite size are scaled first.  Empty tables give an empty result; other columns are
+    ignored, whatever their names.
     """
     arrow_batches(queries.sparkSession, 5000)
     chosen, prefix = index.pivots, index.prefix
@@ -116,16 +132,24 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col:
     asked, n_asked = V.numbered(asked, [F.col("id")], V.QUERY_BLOCK, "index-queries")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        q, x = V.matrix(a["vector"]), V.matrix(b["vector"])
-        distance = footrule(permutations(q, shared.value, prefix), V.matrix(b["permutation"], np.int16), len(shared.value))
-        keep = min(len(b), max(RERANK_LEAST, int(np.ceil(rerank * len(b)))))
-        near = np.argpartition(distance, keep - 1, axis=1)[:, :keep]
-        lq, lx = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-        out = np.full((len(a), len(b)), -np.inf)
-        for i in range(len(a)):
-            out[i, near[i]] = x[near[i]] @ q[i] / (lx[near[i]] * lq[i])
-        found = V.top_members(a["id"].to_numpy(), out, [np.asarray(m) for m in b["ids"]], k, -np.inf)
-        return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
+        parts = []
+        own, sizes = a["vector"].map(len).to_numpy(), b["vector"].map(len).to_numpy()
+        for dim in np.intersect1d(own, sizes):
+            asked, rows = a[own == dim], b[sizes == dim]
+            q, x = _even(V.matrix(asked["vector"])), _even(V.matrix(rows["vector"]))
+            keep = len(rows)
+            if dim == shared.value.shape[1]:
+                distance = footrule(permutations(q, shared.value, prefix), V.matrix(rows["permutation"], np.int16), len(shared.value))
+                keep = min(len(rows), max(RERANK_LEAST, int(np.ceil(rerank * len(rows)))))
+                near = np.argpartition(distance, keep - 1, axis=1)[:, :keep]
+            else:
+                near = np.tile(np.arange(keep), (len(asked), 1))
+            lq, lx = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
+            out = np.full((len(asked), len(rows)), -np.inf)
+            for i in range(len(asked)):
+                out[i, near[i]] = x[near[i]] @ q[i] / (lx[near[i]] * lq[i])
+            parts += V.top_members(asked["id"].to_numpy(), out, [np.asarray(m) for m in rows["ids"]], k, -np.inf)
+        return pd.DataFrame(parts, columns=["query_id", "vec_id", "score"])
 
     found = V.blockwise(asked, n_asked, index.blocks, index.n_blocks, run, "query_id long, vec_id long, score double")
     return V.best(found, k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,11 @@
 """Vector searches against brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from buildlens.llm import norm_search, permutation_index
 
@@ -78,6 +82,41 @@ def test_repeated_rows_equal_brute_force(spark):
             assert got == want, name
 
 
+def test_large_components_and_other_lengths(spark):
+    rng = np.random.default_rng(12)
+    table = [(i, (rng.normal(size=8) * 10.0 ** (i % 10)).tolist()) for i in range(60)]
+    table += [(100, [1e8] * 8), (101, [1e8] * 8), (150, [1e300] * 8), (151, [-1e300] * 8), (152, [1e300] + [0.0] * 7), (200, [1e16 + 2] * 8), (201, [3e12 + 0.3] * 8),
+              (250, [1.0, 2.0]), (251, [2.0, 1.0]), (252, [-1e8, 1e300]), (300, [1.0] * 7), (350, [5e-324] * 8), (351, [-5e-324] * 8)]
+    schema = "vec_id long, embedding array<double>, query_id string, score string"
+    df = spark.createDataFrame([(*r, "", "") for r in table], schema)
+    got = {}
+    for r in norm_search.top_products(df, df.where("vec_id % 50 = 0")).collect():
+        assert r["score"] == (int(r["exact"]) if -(2**63) <= int(r["exact"]) < 2**63 else None)
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], int(r["exact"])))
+    near = {}
+    for r in permutation_index.search(permutation_index.build(df), df.where("vec_id % 50 = 0"), rerank=1.0).collect():
+        near.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in table}
+    for q, v in table:
+        if q % 50 == 0:
+            products = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i, u in table if i != q and len(u) == len(v))[:5]
+            assert sorted(got.get(q, [])) == [(n + 1, i, -p) for n, (p, i) in enumerate(products)]
+            unit = lambda u: np.array(u) / np.abs(u).max() / np.linalg.norm(np.array(u) / np.abs(u).max())
+            cosines = {i: round(float(unit(v) @ unit(u)), 9) for i, u in table if i != q and len(u) == len(v)}
+            assert [c for _, _, c in sorted(near.get(q, []))] == sorted(cosines.values(), reverse=True)[:5]
+            assert all(cosines[i] == c for _, i, c in near.get(q, []))
+
+
+def test_blocks_out_of_reach_are_not_sent(spark):
+    rows = [(b, 10.0 ** (5 - b)) for b in range(5)]
+    blocks = spark.createDataFrame(rows, "block int, length double")
+    asked = spark.createDataFrame([(0, 1.0, 5e4), (0, 1.0, 9e5), (1, 1.0, None), (2, 2.0, 30.0), (3, 0.0, 0.0), (4, 1e-3, 1e6)], "block int, length double, bound double")
+    got = sorted(map(tuple, norm_search.reachable(asked, blocks).collect()))
+    assert got == [(1, b) for b in range(1, 5)] + [(2, b) for b in range(1, 4)] + [(3, b) for b in range(1, 5)]
+    got = sorted(map(tuple, norm_search.reachable(asked.where("block = 2").withColumn("bound", F.lit(2500.0)), blocks).collect()))
+    assert got == [(2, 1)]
+
+
 def test_few_and_no_vectors(spark):
     two = spark.createDataFrame([(0, [1.0, 2.0], "", ""), (50, [2.0, 1.0], "", "")], SCHEMA)
     for df, n in ((two, 2), (two.where("vec_id = 0"), 0), (two.limit(0), 0)):
