@@ -9,13 +9,25 @@
 4. Line counts and first sights of the clusters are aggregated, and lines get
    their template by an equality join on the hash of their sequence.
 
-One rule holds at every size: a leaf is walked in the order of first sight by one
-task, which keeps its clusters, not its sequences.  A template id is the hash of the
-first sequence of its cluster.
+A cluster depends on what came before, in the order of first sight; a template id is the
+hash of the first sequence of its cluster.  Yet only a sequence that founds a cluster or
+changes a template matters for what comes later.  A sequence that agrees with all fixed
+tokens of a template stays so, because a template only loses fixed tokens and never its
+last.  So a group with more than ``HEADS`` sequences is replayed in rounds: one task walks
+the next ``HEADS`` open sequences, all others that a template already covers are settled in
+parallel slices, and the rest goes into the next round.  At the end the settled ones look up,
+again in slices, the oldest cluster whose template covered them when they came.  The result
+is that of one walk over all sequences.
+
+``exact=True`` replaces leaves by one search tree per token count: a token without a branch
+of its own goes to the shared branch if there is one, and opens its own only if nothing
+there is similar.  The walk then needs all clusters of a token count in one task.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +42,10 @@ from buildlens.sources.storage import materialize, spread
 
 EMPTY = "empty"
 WILD = "<*>"
+#: Sequences of a group that one task walks in a round, and sequences of a parallel slice.
+HEADS = 20_000
+SLICE = 20_000
+_DIGIT = re.compile(r"\d")
 
 
 def masked_lines(builds: DataFrame, text: str = "raw_logs", key: str = "build_id") -> DataFrame:
@@ -60,57 +76,87 @@ def with_leaves(seqs: DataFrame, prefix: int = rules.TEMPLATE_PREFIX_TOKENS,
 
     Tokens with digits share one branch.  Below each node only the first
     ``max_children`` branches (by first sight) stay apart, the others join the
-    shared branch.  The branches of a node are counted by aggregation, the limit
-    is applied before rows travel, and only full nodes are looked up.
+    shared branch.  The limit is worked out on the distinct beginnings, level by level;
+    only the branches of nodes that are too full are looked up, and sequences are met
+    once, if there is such a node at all.
     """
     tokens = F.split("seq", " ")
-    df = seqs.withColumn("leaf", F.size(tokens).cast("string"))
-    for depth in range(prefix):
-        df = df.withColumn("_b", F.coalesce(_branch(F.get(tokens, F.lit(depth))), F.lit("")))
-        if max_children is not None:
-            firsts = df.filter("_b <> ''").groupBy("leaf", "_b").agg(F.min("seen").alias("_first"))
-            order = Window.partitionBy("leaf").orderBy("_first", "_b")
-            kept = materialize(firsts.withColumn("_k", F.row_number().over(order))
-                               .filter(F.col("_k") <= max_children).select("leaf", "_b", "_k"), "branches")
-            full = kept.filter(F.col("_k") == max_children).select("leaf", F.lit(True).alias("_full"))
-            if not full.isEmpty():
-                known = kept.join(full, "leaf").select("leaf", "_b", F.lit(True).alias("_kept"))
-                df = df.join(full, "leaf", "left").join(known, ["leaf", "_b"], "left").withColumn(
-                    "_b", F.when(F.col("_full") & F.col("_kept").isNull() & (F.col("_b") != ""), F.lit(WILD))
-                    .otherwise(F.col("_b"))).drop("_full", "_kept")
-        df = df.withColumn("leaf", F.concat_ws(" ", "leaf", "_b")).drop("_b")
-        if max_children is not None and depth + 1 < prefix:
-            df = materialize(df, "leaves")
-    return df
+    keys = [f"_b{i}" for i in range(prefix)]
+    df = seqs.withColumns({"_n": F.size(tokens), **{k: F.coalesce(_branch(F.get(tokens, F.lit(i))), F.lit("")) for i, k in enumerate(keys)}})
+    plain = F.concat_ws(" ", F.col("_n").cast("string"), *keys)
+    if max_children is None:
+        return df.withColumn("leaf", plain).drop("_n", *keys)
+    starts = materialize(df.groupBy("_n", *keys).agg(F.min("seen").alias("_first")), "beginnings")
+    nodes, crowded = starts.withColumn("leaf", F.col("_n").cast("string")), False
+    for key in keys:
+        branches = nodes.filter(F.col(key) != "").groupBy("leaf", F.col(key).alias("_b")).agg(F.min("_first").alias("_first"))
+        order = Window.partitionBy("leaf").orderBy("_first", "_b")
+        known = branches.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= max_children + 1)
+        crowd = known.filter(F.col("_k") == max_children + 1).select("leaf", F.lit(True).alias("_crowded"))
+        kept = materialize(known.join(crowd, "leaf").filter(F.col("_k") <= max_children).select("leaf", F.col("_b").alias("_kept")), "branches")
+        if kept.isEmpty():
+            branch = F.col(key)
+        else:
+            crowded = True
+            full = kept.select("leaf", F.lit(True).alias("_full")).distinct()
+            nodes = nodes.join(full, "leaf", "left").join(kept.withColumnRenamed("leaf", "_leaf"), (F.col("leaf") == F.col("_leaf")) & (F.col(key) == F.col("_kept")), "left")
+            branch = F.when(F.col("_full") & F.col("_kept").isNull() & (F.col(key) != ""), F.lit(WILD)).otherwise(F.col(key))
+        nodes = nodes.withColumn("leaf", F.concat_ws(" ", "leaf", branch)).drop("_full", "_kept", "_leaf")
+    if not crowded:
+        return df.withColumn("leaf", plain).drop("_n", *keys)
+    return df.join(nodes.drop("_first"), ["_n", *keys]).drop("_n", *keys)
 
 
 class _Leaf:
-    """Clusters of one leaf: template tokens as numbers, 0 for the wildcard."""
+    """Clusters of one leaf in order of creation: template tokens as numbers, 0 for the wildcard."""
 
-    def __init__(self, width: int):
-        self.numbers = {WILD: 0}
+    def __init__(self, width: int, numbers: dict[str, int] | None = None):
+        self.numbers = {WILD: 0} if numbers is None else numbers
         self.grid = np.zeros((16, width), dtype=np.int32)
         self.leaders: list[str] = []
         self.grown: set[int] = set()
 
-    def place(self, sid: str, tokens: list[str], threshold: float) -> str:
-        row = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], dtype=np.int32)
+    def row(self, tokens: list[str]) -> np.ndarray:
+        return np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], dtype=np.int32)
+
+    def similar(self, row: np.ndarray, threshold: float) -> int:
+        """Most similar cluster above the threshold, the oldest of equals, or -1."""
+        count = len(self.leaders)
+        if not count:
+            return -1
+        grid = self.grid[:count]
+        fixed = (grid != 0) & (row != 0)
+        likeness = ((grid == row) & fixed).sum(axis=1) / np.maximum(fixed.sum(axis=1), 1)
+        best = int(likeness.argmax())
+        return best if likeness[best] > threshold else -1
+
+    def join(self, at: int, row: np.ndarray) -> bool:
+        """Whether the sequence changed the cluster's template."""
+        if (self.grid[at] == row).all():
+            return False
+        merged = np.where(self.grid[at] == row, row, 0)
+        changed = bool((merged != self.grid[at]).any())
+        self.grid[at] = merged
+        if changed:
+            self.grown.add(at)
+        return changed
+
+    def found(self, sid: str, row: np.ndarray) -> int:
         count = len(self.leaders)
-        if count:
-            grid = self.grid[:count]
-            fixed = (grid != 0) & (row != 0)
-            likeness = ((grid == row) & fixed).sum(axis=1) / np.maximum(fixed.sum(axis=1), 1)
-            best = int(likeness.argmax())
-            if likeness[best] > threshold:
-                if (grid[best] != row).any():
-                    grid[best] = np.where(grid[best] == row, row, 0)
-                    self.grown.add(best)
-                return self.leaders[best]
         if count == len(self.grid):
             self.grid = np.concatenate([self.grid, np.zeros_like(self.grid)])
         self.grid[count] = row
         self.leaders.append(sid)
-        return sid
+        return count
+
+    def place(self, sid: str, tokens: list[str], threshold: float) -> str:
+        row = self.row(tokens)
+        at = self.similar(row, threshold)
+        if at < 0:
+            at = self.found(sid, row)
+        else:
+            self.join(at, row)
+        return self.leaders[at]
 
     def templates(self) -> pd.DataFrame:
         """Templates of the clusters that are no longer their first sequence."""
@@ -119,6 +165,176 @@ class _Leaf:
         return pd.DataFrame(rows, columns=["sid", "lid", "template"])
 
 
+class _Tree:
+    """Search tree over the leading tokens of sequences of one length; depth 0 is a single leaf."""
+
+    def __init__(self, width: int, depth: int, max_children: int | None):
+        self.width, self.depth, self.limit = width, min(depth, width), max_children or float("inf")
+        self.numbers: dict[str, int] = {WILD: 0}
+        self.branches: dict[tuple, set] = {}
+        self.leaves: dict[tuple, _Leaf] = {}
+
+    def keys(self, tokens: list[str]) -> list[str]:
+        return [WILD if _DIGIT.search(t) else t for t in tokens[:self.depth]]
+
+    def path(self, keys: list[str], lasting: bool = False) -> tuple | None:
+        """Leaf that a search reaches; with ``lasting`` only if no later branch can lead it elsewhere."""
+        at: tuple = ()
+        for key in keys:
+            own = self.branches.get(at, ())
+            if key not in own:
+                if WILD not in own or (lasting and len(own) < self.limit):
+                    return None
+                key = WILD
+            at += (key,)
+        return at if at in self.leaves else None
+
+    def open(self, path: tuple) -> _Leaf:
+        """The leaf at a path, with the branches that lead there."""
+        for i, key in enumerate(path):
+            self.branches.setdefault(path[:i], set()).add(key)
+        return self.leaves.setdefault(path, _Leaf(self.width, self.numbers))
+
+    def new_path(self, keys: list[str]) -> tuple:
+        """Where a new cluster goes: own branches while a node has room, else the shared one."""
+        at: tuple = ()
+        for key in keys:
+            own = self.branches.get(at, set())
+            at += (key if key in own or len(own) < self.limit else WILD,)
+        return at
+
+    def text(self, row: np.ndarray) -> str:
+        if not hasattr(self, "words") or len(self.words) != len(self.numbers):
+            self.words = list(self.numbers)
+        return " ".join(self.words[t] for t in row)
+
+
+REPLAYED = "leaf string, kind string, sid string, lid string, idx int, path string, template string, ord long"
+
+
+def _restored(state: pd.DataFrame, width: int, depth: int, max_children: int | None) -> tuple[_Tree, list[tuple]]:
+    """Tree of the clusters so far; per cluster, in order of creation, its leaf and place there."""
+    tree, clusters = _Tree(width, depth, max_children), []
+    for lid, path, template in state.sort_values("idx")[["lid", "path", "template"]].itertuples(index=False):
+        leaf = tree.open(tuple(path.split(" ")) if path else ())
+        clusters.append((leaf, leaf.found(lid, leaf.row(template.split(" ")))))
+    return tree, clusters
+
+
+def _walk(heads: pd.DataFrame, state: pd.DataFrame, threshold: float, depth: int, max_children: int | None) -> pd.DataFrame:
+    """The next sequences of one group in order, from the clusters so far.
+
+    Rows: ``member`` (sid of cluster lid), ``version`` (a template and the order number from which
+    it holds) and ``cluster`` (all clusters as they are now).
+    """
+    heads = heads.sort_values("ord")
+    group = heads["leaf"].iat[0]
+    tree, clusters = _restored(state, len(heads["seq"].iat[0].split(" ")), depth, max_children)
+    paths = state.sort_values("idx")["path"].tolist()
+    number = {(id(leaf), at): i for i, (leaf, at) in enumerate(clusters)}
+    out = []
+    for sid, seq, order in heads[["sid", "seq", "ord"]].itertuples(index=False):
+        tokens = seq.split(" ")
+        keys = tree.keys(tokens)
+        path = tree.path(keys)
+        leaf = tree.leaves[path] if path is not None else None
+        row = (leaf or _Leaf(tree.width, tree.numbers)).row(tokens)
+        at = leaf.similar(row, threshold) if leaf else -1
+        if at < 0:
+            path = tree.new_path(keys)
+            leaf = tree.open(path)
+            at = leaf.found(sid, row)
+            number[id(leaf), at] = len(clusters)
+            clusters.append((leaf, at))
+            paths.append(" ".join(path))
+            out.append((group, "version", None, sid, len(clusters) - 1, paths[-1], seq, order))
+        elif leaf.join(at, row):
+            i = number[id(leaf), at]
+            out.append((group, "version", None, leaf.leaders[at], i, paths[i], tree.text(leaf.grid[at]), order))
+        out.append((group, "member", sid, leaf.leaders[at], None, None, None, order))
+    out += [(group, "cluster", None, leaf.leaders[at], i, paths[i], tree.text(leaf.grid[at]), None) for i, (leaf, at) in enumerate(clusters)]
+    kinds = [object, object, object, object, "Int32", object, object, "Int64"]
+    return pd.DataFrame({c.split(" ")[0]: pd.Series([r[i] for r in out], dtype=kinds[i]) for i, c in enumerate(REPLAYED.split(", "))})
+
+
+def _covered(rows: pd.DataFrame, versions: pd.DataFrame, depth: int, max_children: int | None) -> pd.Series:
+    """For each sequence the cluster that covers it: the first by number among those with a template all of whose
+    fixed tokens agree, of the leaf that the sequence reaches for good; NULL where there is none.
+
+    ``versions`` holds templates with the order number from which each holds (none: always).
+    """
+    width = len(rows["seq"].iat[0].split(" "))
+    tree, by_path = _Tree(width, depth, max_children), {}
+    for path, idx, lid, template, since in versions.sort_values("idx")[["path", "idx", "lid", "template", "ord"]].itertuples(index=False):
+        key = tuple(path.split(" ")) if path else ()
+        tree.open(key)
+        by_path.setdefault(key, []).append((idx, lid, [tree.numbers.setdefault(t, len(tree.numbers)) for t in template.split(" ")], -1 if pd.isna(since) else since))
+    tokens = [s.split(" ") for s in rows["seq"]]
+    paths = [tree.path(tree.keys(t), lasting=True) for t in tokens]
+    out: list[str | None] = [None] * len(rows)
+    orders = rows["ord"].to_numpy()
+    for path in set(paths) - {None}:
+        at = np.array([i for i, p in enumerate(paths) if p == path])
+        grid = np.array([[tree.numbers.get(t, -1) for t in tokens[i]] for i in at], dtype=np.int32)
+        open_ = np.ones(len(at), dtype=bool)
+        for _, lid, template, since in by_path[path]:
+            if not open_.any():
+                break
+            template = np.array(template)
+            fixed = template != 0
+            hit = open_ & (grid[:, fixed] == template[fixed]).all(axis=1) & (since <= orders[at]) & fixed.any()
+            for i in at[hit]:
+                out[i] = lid
+            open_ &= ~hit
+    return pd.Series(out, index=rows.index, dtype=object)
+
+
+def _slices(rows: DataFrame, versions: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt into slices of about ``size`` of their group, and the versions for every slice."""
+    counts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias("slices"))
+    dealt = rows.join(counts, "leaf").withColumn("slice", F.pmod(F.xxhash64("sid"), F.col("slices")).cast("int")).drop("slices")
+    each = versions.join(counts, "leaf").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return dealt, each.withColumnsRenamed({"leaf": "of_leaf", "slice": "of_slice"})
+
+
+def _replay(seqs: DataFrame, threshold: float, heads: int, depth: int, max_children: int | None) -> DataFrame:
+    """``(sid, lid, template)`` as ``_cluster``, of groups of any size: rounds of one walk and parallel slices."""
+    spark = seqs.sparkSession
+    keys = ["leaf", "seen", "sid"]
+    every = materialize(seqs.select("leaf", "seen", "sid", "seq").repartitionByRange(*keys).sortWithinPartitions(*keys)
+                        .select("leaf", "sid", "seq", F.monotonically_increasing_id().alias("ord")), "replay")
+    ahead = Window.partitionBy("leaf").orderBy("ord")
+    rest, state, walks = every, spark.createDataFrame([], REPLAYED), []
+
+    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _walk(a, b, threshold, depth, max_children) if len(a) else pd.DataFrame()
+
+    def unsettled(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return a[_covered(a, b, depth, max_children).isna()][["leaf", "sid", "seq", "ord"]] if len(a) else pd.DataFrame()
+
+    def settled(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sid": a["sid"], "lid": _covered(a, b, depth, max_children)}) if len(a) else pd.DataFrame()
+
+    while True:
+        now = rest.withColumn("_r", F.row_number().over(ahead)).filter(F.col("_r") <= heads).drop("_r")
+        done = now.groupBy("leaf").cogroup(state.withColumnRenamed("leaf", "of_leaf").groupBy("of_leaf")).applyInPandas(walk, REPLAYED)
+        walks.append(materialize(done, "replay-walk"))
+        state = walks[-1].filter("kind = 'cluster'")
+        last = walks[-1].filter("kind = 'member'").groupBy("leaf").agg(F.max("ord").alias("_last"))
+        left, clusters = _slices(rest.join(last, "leaf").filter(F.col("ord") > F.col("_last")).drop("_last"), state, SLICE)
+        rest = left.groupBy("leaf", "slice").cogroup(clusters.groupBy("of_leaf", "of_slice")).applyInPandas(unsettled, "leaf string, sid string, seq string, ord long")
+        rest = materialize(rest, "replay-rest")
+        if rest.isEmpty():
+            break
+    walked = functools.reduce(DataFrame.unionByName, walks)
+    members, versions = walked.filter("kind = 'member'").select("sid", "lid"), walked.filter("kind = 'version'")
+    quiet, each = _slices(every.join(members, "sid", "left_anti"), versions, SLICE)
+    found = quiet.groupBy("leaf", "slice").cogroup(each.groupBy("of_leaf", "of_slice")).applyInPandas(settled, "sid string, lid string")
+    final = versions.groupBy("lid").agg(F.max_by("template", "ord").alias("template"), F.count("*").alias("n")).filter("n > 1")
+    assigned = members.unionByName(found).withColumn("template", F.lit(None).cast("string"))
+    return assigned.unionByName(final.select(F.lit(None).cast("string").alias("sid"), "lid", "template"))
+
+
 def _cluster(seqs: DataFrame, threshold: float) -> DataFrame:
     """``(sid, lid, template)``: a row per sequence with the hash of its cluster's first
     sequence, and a row without ``sid`` per generalised template."""
@@ -153,17 +369,33 @@ def _templates(clustered: DataFrame, seqs: DataFrame) -> DataFrame:
         .select("lid", F.coalesce("template", "_head").alias("template"), "n", "seen")
 
 
+def _clustered(leaves: DataFrame, threshold: float, heads: int) -> DataFrame:
+    """Leaves of up to ``heads`` sequences in one streaming pass, larger ones in rounds."""
+    large = materialize(leaves.groupBy("leaf").agg(F.count("*").alias("_n")).filter(F.col("_n") > heads), "large-leaves")
+    if large.isEmpty():
+        return _cluster(leaves, threshold)
+    small = _cluster(leaves.join(large, "leaf", "left_anti"), threshold)
+    return small.unionByName(_replay(leaves.join(large, "leaf", "left_semi"), threshold, heads, 0, None))
+
+
 def mine_templates(lines: DataFrame, threshold: float = rules.TEMPLATE_SIMILARITY,
                    prefix: int = rules.TEMPLATE_PREFIX_TOKENS,
-                   max_children: int | None = rules.TEMPLATE_MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
+                   max_children: int | None = rules.TEMPLATE_MAX_CHILDREN,
+                   exact: bool = False, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
     """``(templates, assignment)`` of masked lines.
 
     templates: ``template_id, template, tokens, n, seen`` with the line count ``n``.
-    assignment: ``sid, template_id, template`` for every distinct sequence.
+    assignment: ``sid, template_id, template`` for every distinct sequence; a repeated
+    sequence keeps the cluster that it joined first.  ``exact`` follows the search tree with
+    its shared branches; ``heads`` bounds what one task walks at a time and changes no result.
     """
     seqs = materialize(sequences(lines), "sequences")
-    leaves = materialize(with_leaves(seqs, prefix, max_children), "leaves")
-    clustered = materialize(_cluster(leaves, threshold), "clusters")
+    if exact:
+        leaves = seqs.withColumn("leaf", F.size(F.split("seq", " ")).cast("string"))
+        clustered = materialize(_replay(leaves, threshold, heads, prefix, max_children), "clusters")
+    else:
+        leaves = materialize(with_leaves(seqs, prefix, max_children), "leaves")
+        clustered = materialize(_clustered(leaves, threshold, heads), "clusters")
     templates = _templates(clustered, leaves)
     templates = materialize(templates.withColumn("template_id", F.substring("lid", 1, 12)), "templates")
     assignment = clustered.filter("sid IS NOT NULL").select("sid", "lid") \

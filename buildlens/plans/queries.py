@@ -432,7 +432,14 @@ def _mined(spark, sf):
 
 @query
 def mine_templates(spark, sf):
-    _, templates, _ = _mined(spark, sf)
+    templates, _ = D.mine_templates(D.masked_lines(_texts(spark, sf)))
+    return templates.select("template_id", "template", "n")
+
+
+@query
+def mine_templates_exact(spark, sf):
+    """Templates of the search tree with shared branches, from the build logs."""
+    templates, _ = D.mine_templates(D.masked_lines(view(spark, sf, "build_logs")), exact=True)
     return templates.select("template_id", "template", "n")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -63,6 +64,94 @@ def test_mining_equals_sequential_restatement(spark, max_children):
         assert all(t in ("<*>", s) for t, s in zip(r["template"].split(" "), r["raw"].split(" ")))
 
 
+def tree_walk(lines, max_children, threshold=rules.TEMPLATE_SIMILARITY, depth=3):
+    """Restatement of the search tree, one distinct sequence after the other.
+
+    A search follows a token's own branch, else the shared one, else it fails; the most similar
+    cluster of the leaf above the threshold is joined, its differing tokens become wild; else a
+    new cluster opens own branches, or the shared one in a node that is full.
+    """
+    roots, clusters = {}, []
+    for line in dict.fromkeys(lines):
+        tokens = line.split(" ")
+        keys = ["<*>" if re.search(r"\d", t) else t for t in tokens[:depth]]
+        node = roots.get(len(tokens))
+        for key in keys:
+            if node is not None:
+                node = node["sub"].get(key, node["sub"].get("<*>"))
+        best, found = threshold, None
+        for c in node["clusters"] if node else []:
+            fixed = [(a, b) for a, b in zip(tokens, c["t"], strict=True) if "<*>" not in (a, b)]
+            likeness = sum(a == b for a, b in fixed) / max(len(fixed), 1)
+            if likeness > best:
+                best, found = likeness, c
+        if found is None:
+            node = roots.setdefault(len(tokens), {"sub": {}, "clusters": []})
+            for key in keys:
+                if key not in node["sub"] and len(node["sub"]) >= max_children:
+                    key = "<*>"
+                node = node["sub"].setdefault(key, {"sub": {}, "clusters": []})
+            found = {"id": hashlib.md5(line.encode()).hexdigest()[:12], "t": tokens, "lines": []}
+            clusters.append(found)
+            node["clusters"].append(found)
+        else:
+            found["t"] = [a if a == b else "<*>" for a, b in zip(tokens, found["t"], strict=True)]
+        found["lines"].append(line)
+    return {line: (c["id"], " ".join(c["t"])) for c in clusters for line in c["lines"]}
+
+
+def noisy(seed, n, words=8, longest=6):
+    rng = random.Random(seed)
+    pool = [chr(97 + i) for i in range(words)] + ["x1", "y2", "<*>", "z٣"]
+    return [" ".join(rng.choices(pool, k=rng.randint(1, longest))) for _ in range(n)]
+
+
+def mined(spark, lines, **options):
+    df = spark.createDataFrame([("b", i, x, x) for i, x in enumerate(lines)], "build_id string, line_no int, raw string, seq string")
+    templates, assignment = D.mine_templates(df.repartition(5), **options)
+    by_hash = {hashlib.md5(x.encode()).hexdigest(): x for x in lines}
+    counts = {r["template_id"]: r["n"] for r in templates.collect()}
+    assigned = {by_hash[r["sid"]]: (r["template_id"], r["template"]) for r in assignment.collect()}
+    for template in counts:
+        assert counts[template] == sum(assigned[x][0] == template for x in lines)
+    return assigned
+
+
+@pytest.mark.parametrize(("heads", "max_children"), [(20_000, 100), (20_000, 3), (7, 100), (7, 3), (1, 2)])
+def test_exact_mining_equals_the_tree_walk(spark, heads, max_children):
+    n = 60 if heads == 1 else 500
+    lines = noisy(heads + max_children, n) + ["pkg1 a b c", "foo a b c", "pkg1 a b c", "foo q r s", "foo a b c d e f g"]
+    assert mined(spark, lines, exact=True, heads=heads, max_children=max_children) == tree_walk(lines, max_children)
+
+
+def test_the_shared_branch_takes_tokens_without_their_own(spark):
+    lines = ["pkg1 a b c", "foo a b c"]
+    assert len({t for t, _ in mined(spark, lines, exact=True).values()}) == 1
+    assert len({t for t, _ in mined(spark, lines).values()}) == 2
+
+
+@pytest.mark.parametrize("heads", [5, 40])
+def test_a_large_leaf_in_rounds_equals_one_walk(spark, heads):
+    rng = random.Random(heads)
+    lines = ["go on now " + " ".join(rng.choices("abcdefgh", k=5)) for _ in range(600)] + corpus()
+    assert mined(spark, lines, heads=heads) == mined(spark, lines)
+
+
+def test_a_leaf_of_200_000_sequences(spark):
+    n = 200_000
+    df = spark.range(n).selectExpr("'b' AS build_id", "CAST(id AS int) AS line_no", """concat('job has ended node', id % 977, ' after ', id, ' steps with ',
+        CASE WHEN id % 10 < 7 THEN 'success' WHEN id % 10 < 9 THEN 'failure' ELSE concat('code', id % 13) END, ' in ', CASE id % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END) AS seq""")
+    df = df.withColumn("raw", df["seq"])
+    templates, assignment = D.mine_templates(df, heads=5_000)
+    got = {r["sid"]: (r["template_id"], r["template"]) for r in assignment.toLocalIterator()}
+    leaf, words = D._Leaf(11), {}
+    for r in df.orderBy("line_no").select("seq").toLocalIterator():
+        sid = hashlib.md5(r["seq"].encode()).hexdigest()
+        words[sid] = leaf.place(sid, r["seq"].split(" "), rules.TEMPLATE_SIMILARITY)[:12]
+    assert len(got) == n and {s: t for s, (t, _) in got.items()} == words
+    assert sum(r["n"] for r in templates.collect()) == n
+
+
 def test_templates_do_not_depend_on_partitioning(spark):
     lines = [f"worker finished task item{i} on {'abc'[i % 3]} {'quickly' if i % 7 else 'never at all'}" for i in range(300)] * 2 + ["single line"]
     df = spark.createDataFrame([("b", i, x, x) for i, x in enumerate(lines)], "build_id string, line_no int, raw string, seq string")
