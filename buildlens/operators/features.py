@@ -92,6 +92,17 @@ def build_features_12(builds: DataFrame, trusted: list[str] = rules.TRUSTED_DOMA
     return df.select(*carried, *[F.col(c) for c in rules.FEATURE_NAMES])
 
 
+def build_features_mined(builds: DataFrame, mined: DataFrame, key: str = "build_id") -> DataFrame:
+    """The 12 features with the two template features taken from ``mined`` measures (``mining.mined_measures``).
+
+    A build without a line with tokens has no template: 0 and 0.
+    """
+    measures = mined.select(F.col(key), F.col("unique_templates").alias("_u"), F.col("template_entropy").alias("_e"))
+    joined = build_features_12(builds).join(measures, key, "left")
+    return joined.withColumn("unique_templates", F.coalesce("_u", F.lit(0)).cast("bigint")) \
+        .withColumn("template_entropy", F.coalesce("_e", F.lit(0.0))).drop("_u", "_e")
+
+
 def feature_vector(names: list[str] = rules.FEATURE_NAMES) -> Column:
     """Ordered vector; a missing value counts as 0."""
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import round_to
@@ -45,6 +45,9 @@ WILD = "<*>"
 #: Sequences of a group that one task walks in a round, and sequences of a parallel slice.
 HEADS = 20_000
 SLICE = 20_000
+#: Largest dictionary that is sent to every task, in rows and in characters of its templates.
+BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 32_000_000
 _DIGIT = re.compile(r"\d")
 
 
@@ -403,13 +406,21 @@ def mine_templates(lines: DataFrame, threshold: float = rules.TEMPLATE_SIMILARIT
     return templates.select("template_id", "template", F.split("template", " ").alias("tokens"), "n", "seen"), assignment
 
 
-def assign_templates(lines: DataFrame, assignment: DataFrame) -> DataFrame:
+def _small(table: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether a table of texts is small enough to be sent to every task: its rows and characters are counted, not guessed."""
+    n, total = table.agg(F.count(F.lit(1)), F.sum(F.length("template"))).first()
+    return n <= rows and (total or 0) <= chars
+
+
+def assign_templates(lines: DataFrame, assignment: DataFrame, measured: bool = True) -> DataFrame:
     """Every line with its template; lines without tokens are ``empty``.
 
     Lines that the mining has not seen (a stream reads ahead of the last mining
-    run) stand for themselves.
+    run) stand for themselves.  A dictionary of measured small size goes to the lines,
+    so that no line moves; a larger one is joined by the hash of the sequence.
     """
-    joined = lines.withColumn("sid", F.md5("seq")).join(assignment, "sid", "left")
+    known = F.broadcast(assignment) if measured and _small(assignment) else assignment
+    joined = lines.withColumn("sid", F.md5("seq")).join(known, "sid", "left")
     own = F.substring("sid", 1, 12)
     blank = F.col("seq") == ""
     return joined.withColumn("template_id", F.when(blank, EMPTY).otherwise(F.coalesce("template_id", own))) \
@@ -418,9 +429,42 @@ def assign_templates(lines: DataFrame, assignment: DataFrame) -> DataFrame:
         .drop("seq", "sid")
 
 
-def mined_template_measures(assigned: DataFrame, key: str = "build_id", digits: int = 4) -> DataFrame:
-    """``unique_templates`` and ``template_entropy`` per build from assigned lines."""
-    counts = assigned.groupBy(key, "template_id").agg(F.count(F.lit(1)).alias("c"))
+def unmatched_sequences(lines: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``seq, n``: distinct sequences that a dictionary does not hold; they wait for the next mining run."""
+    return lines.filter("seq <> ''").groupBy("seq").agg(F.count(F.lit(1)).alias("n")).withColumn("sid", F.md5("seq")) \
+        .join(assignment.select("sid"), "sid", "left_anti").select("seq", "n")
+
+
+DICTIONARY = "sid string, template_id string, template string, version int"
+
+
+def save_dictionary(assignment: DataFrame, folder: str, version: int) -> None:
+    """Store what a mining run found as one version; earlier versions stay for whoever reads them."""
+    assignment.select("sid", "template_id", "template").write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def latest_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version: ``sid, template_id, template``."""
+    stored = spark.read.schema(DICTIONARY).parquet(folder)
+    newest = stored.agg(F.max("version")).first()[0]
+    return stored.filter(F.col("version") == newest).drop("version")
+
+
+def mined_measures(lines: DataFrame, assignment: DataFrame, key: str = "build_id", digits: int = 4) -> DataFrame:
+    """``unique_templates`` and ``template_entropy`` per build over mined templates.
+
+    Only hashes and counts of a build's distinct sequences meet the dictionary, no text.
+    Builds without a line with tokens have no row.
+    """
+    counts = lines.filter("seq <> ''").groupBy(key, F.md5("seq").alias("sid")).agg(F.count(F.lit(1)).alias("_c"))
+    known = counts.join(assignment.select("sid", "template_id"), "sid", "left") \
+        .withColumn("template_id", F.coalesce("template_id", F.substring("sid", 1, 12)))
+    return mined_template_measures(known, key, digits, F.col("_c"))
+
+
+def mined_template_measures(assigned: DataFrame, key: str = "build_id", digits: int = 4, weight: Column | None = None) -> DataFrame:
+    """``unique_templates`` and ``template_entropy`` per build from assigned lines, or from rows that stand for ``weight`` lines."""
+    counts = assigned.groupBy(key, "template_id").agg(F.sum(F.lit(1) if weight is None else weight).alias("c"))
     n = F.sum("c")
     entropy = F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n
     return counts.groupBy(key).agg(

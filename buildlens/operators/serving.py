@@ -9,11 +9,12 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import round_to
 from buildlens.functions import rules
+from buildlens.sources.storage import materialize
 
 RESULT_COLUMNS = ["id", "build_id", "created_at", "is_anomaly", "anomaly_score", "prediction",
                   "confidence", "anomaly_reasons", "model_version"]
@@ -43,11 +44,6 @@ def results_page(results: DataFrame, limit: int = 100, anomalies_only: bool = Fa
     return results.select(*columns).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def latest_result(results: DataFrame, build_id: str) -> DataFrame:
-    """Newest result of one build."""
-    return results.filter(F.col("build_id") == build_id).orderBy(F.desc("created_at"), F.desc("id")).limit(1)
-
-
 def latest_result_by_build(results: DataFrame) -> DataFrame:
     """Newest result of every build.
 
@@ -75,6 +71,43 @@ def anomaly_stats(results: DataFrame, hours: int, as_of: dt.datetime, digits: in
         .withColumn("period_hours", F.lit(hours))
 
 
+def partial_states(results: DataFrame, grain: str = "1 hour") -> DataFrame:
+    """``bucket`` and mergeable states: counts, sums and extremes that add up to any statistic over whole buckets."""
+    return results.groupBy(time_bucket(grain, F.col("created_at")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("anomalies"),
+        F.count("anomaly_score").alias("scores"), F.sum("anomaly_score").alias("score_sum"),
+        F.min("anomaly_score").alias("score_min"), F.max("anomaly_score").alias("score_max"),
+        F.count("confidence").alias("confidences"), F.sum("confidence").alias("confidence_sum"))
+
+
+def merged_series(states: DataFrame, interval: str, digits: int = 6) -> DataFrame:
+    """The time series of ``bucketed`` from partial states whose buckets lie within its own."""
+    mean = F.coalesce(round_to(F.try_divide(F.sum("score_sum"), F.sum("scores")), digits), F.lit(0.0))
+    return states.groupBy(time_bucket(interval, F.col("bucket")).alias("time")).agg(
+        F.sum("n").alias("total_builds"), F.sum("anomalies").alias("anomalies"), mean.alias("avg_score"))
+
+
+def merged_stats(states: DataFrame, results: DataFrame, hours: int, as_of: dt.datetime, digits: int = 6, grain_hours: int = 1) -> DataFrame:
+    """``anomaly_stats`` from hourly states; results themselves are read only for the bucket that the period begins in."""
+    start = as_of - dt.timedelta(hours=hours)
+    first = start.replace(minute=0, second=0, microsecond=0) + dt.timedelta(hours=grain_hours)
+    edge = results.filter(F.col("created_at") < F.lit(first).cast(results.schema["created_at"].dataType))
+    edge = partial_states(since(edge, hours, as_of)).withColumn("bucket", F.col("bucket").cast(states.schema["bucket"].dataType))
+    parts = states.filter(F.col("bucket") >= F.lit(first).cast(states.schema["bucket"].dataType)).select(*edge.columns).unionByName(edge)
+
+    def zero(col: Column) -> Column:
+        return F.coalesce(round_to(col, digits), F.lit(0.0))
+
+    n, anomalies = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("anomalies"), F.lit(0))
+    return parts.agg(
+        n.alias("total_builds"), anomalies.alias("total_anomalies"),
+        zero(F.try_divide(F.sum("score_sum"), F.sum("scores"))).alias("avg_score"),
+        zero(F.min("score_min")).alias("min_score"), zero(F.max("score_max")).alias("max_score"),
+        zero(F.try_divide(F.sum("confidence_sum"), F.sum("confidences"))).alias("avg_confidence"),
+    ).withColumn("anomaly_rate", F.coalesce(round_to(F.try_divide("total_anomalies", "total_builds"), digits), F.lit(0.0))) \
+        .withColumn("period_hours", F.lit(hours))
+
+
 _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 _ORIGIN_DAY = 10959  # 2000-01-03, the Monday that buckets of days and weeks count from
 
@@ -181,6 +214,27 @@ def mark_processed(raw_logs: DataFrame, parsed: DataFrame, processed_at: Column,
         .withColumn("processed", F.col("processed") | hit).drop("_done")
 
 
+def mark_processed_table(spark: SparkSession, path: str, parsed: DataFrame, processed_at: Column, key: str = "delivery_id") -> None:
+    """``mark_processed`` on a stored audit table: only partitions with a row to mark are written again.
+
+    With ``received_at`` in ``parsed`` only the days of these rows are read.  The new rows
+    are written aside first, then they replace their partitions.
+    """
+    table = spark.read.parquet(path)
+    if "processed_at" not in table.columns:
+        table = table.withColumn("processed_at", F.lit(None).cast("timestamp_ntz"))
+    if "received_at" in parsed.columns:
+        days = parsed.select(F.to_date("received_at").alias("day")).distinct()
+        looked = table.join(F.broadcast(days), "day", "left_semi")  # a row per day
+    else:
+        looked = table
+    hit = looked.filter("NOT processed").join(parsed.select(key).distinct(), key, "left_semi").select("day", "source").distinct()
+    hit = materialize(hit, "marked-partitions")
+    marked = mark_processed(table.join(F.broadcast(hit), ["day", "source"], "left_semi"), parsed, processed_at, key)  # a row per partition
+    materialize(marked.select(*table.columns), "marked-rows").hint("rebalance", F.col("day"), F.col("source")) \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "source").parquet(path)
+
+
 def trusted_suffix_join(domains: DataFrame, trusted: DataFrame) -> DataFrame:
     """Domains that end with no trusted suffix.
 

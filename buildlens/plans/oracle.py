@@ -381,12 +381,12 @@ _SHARES = ", ".join(f"round(coalesce(sum(lines) FILTER (name = '{s}'), 0) / CASE
 twin("event_proportions", "step_logs", f"WITH {_STEPS} SELECT build_id, {_SHARES} FROM distribution GROUP BY build_id")
 
 twin("build_features_12", "all_logs", f"""
-WITH all_texts AS (SELECT build_id, repo_name, {_TEXT} AS t FROM all_logs),
+WITH all_texts AS (SELECT build_id, repo_name, duration_seconds, step_count, {_TEXT} AS t FROM all_logs),
 texts AS (SELECT build_id, t AS raw_logs FROM all_texts),
 {_PER_BUILD.replace('all_logs', 'texts')}
-SELECT a.build_id, repo_name, 0.0::DOUBLE AS duration_seconds, CAST({_MEASURES['log_line_count']} AS BIGINT) AS log_line_count,
+SELECT a.build_id, repo_name, duration_seconds, CAST({_MEASURES['log_line_count']} AS BIGINT) AS log_line_count,
   CAST({_MEASURES['char_density']} AS DOUBLE) AS char_density, CAST({_MEASURES['error_count']} AS BIGINT) AS error_count,
-  CAST({_MEASURES['warning_count']} AS BIGINT) AS warning_count, CAST(0 AS BIGINT) AS step_count, unique_templates, template_entropy,
+  CAST({_MEASURES['warning_count']} AS BIGINT) AS warning_count, step_count, unique_templates, template_entropy,
   CAST({matches('t', rules.SUSPICIOUS_PATTERNS)} AS BIGINT) AS suspicious_pattern_count,
   CAST({_PUBLIC_IPS.format('t')} AS BIGINT) AS external_ip_count,
   CAST(len({_untrusted_urls('t')}) AS BIGINT) AS external_url_count,
@@ -408,7 +408,7 @@ _CORE = f"""CAST({_STRICT['log_line_count']} AS BIGINT) AS log_line_count, {_STR
 twin("build_features_16", "step_logs", f"""
 WITH {_STEPS}, shares AS (SELECT build_id, {_SHARES} FROM distribution GROUP BY build_id),
 counted AS (SELECT build_id, count(*) AS step_count FROM steps GROUP BY build_id)
-SELECT l.build_id, 0.0::DOUBLE AS duration_seconds, {_CORE}, step_count, s.* EXCLUDE (build_id),
+SELECT l.build_id, duration_seconds, {_CORE}, step_count, s.* EXCLUDE (build_id),
   CAST({_STRICT['ips']} AS BIGINT) AS unique_ips_contacted, CAST({_STRICT['urls']} AS BIGINT) AS external_urls_count,
   CAST({_STRICT['base64']} AS BIGINT) AS base64_patterns, CAST({_STRICT['commands']} AS BIGINT) AS suspicious_commands
 FROM step_logs l JOIN shares s ON s.build_id = l.build_id JOIN counted c ON c.build_id = l.build_id""")
@@ -426,7 +426,8 @@ FROM step_logs l JOIN counted c ON c.build_id = l.build_id JOIN h ON h.build_id
 # ----------------------------------------------------------------------- joins
 
 twin("recent_builds_status", ["build_logs", "build_results"], """
-SELECT b.build_id, repo_name, duration_seconds, b.created_at, is_anomaly, anomaly_score
+SELECT b.build_id, repo_name, branch, duration_seconds, log_line_count, error_count, b.created_at, is_anomaly, anomaly_score,
+  CASE WHEN is_anomaly THEN concat('[{"reason":"score ', printf('%.3f', anomaly_score), '","severity":"warning"}]') END AS anomaly_reasons
 FROM build_logs b LEFT JOIN build_results r ON r.build_id = b.build_id ORDER BY b.created_at DESC""")
 _PROCESSED = f"coalesce({OK}, false)"
 twin("mark_processed", "deliveries", f"""
@@ -462,11 +463,11 @@ twin("confidence", "scored_rows", "SELECT build_id, round(greatest(0.0, least(1.
 twin("security_rules", "scored_rows", """
 WITH hits AS (SELECT * FROM scored_rows WHERE suspicious_pattern_count >= 1)
 SELECT build_id, 0 AS position, 'suspicious_pattern_count' AS feature, suspicious_pattern_count::DOUBLE AS value, 'critical' AS severity,
-  'Detected # suspicious command pattern(s) (e#g#, xmrig, nc -e, curl|bash)' AS reason FROM hits
-UNION ALL SELECT build_id, 1, 'external_ip_count', external_ip_count::DOUBLE, 'critical', 'Multiple external IP connections (#) with suspicious patterns'
+  concat('Detected ', suspicious_pattern_count, ' suspicious command pattern(s) (e.g., xmrig, nc -e, curl|bash)') AS reason FROM hits
+UNION ALL SELECT build_id, 1, 'external_ip_count', external_ip_count::DOUBLE, 'critical', concat('Multiple external IP connections (', external_ip_count, ') with suspicious patterns')
   FROM hits WHERE external_ip_count >= 2
 UNION ALL SELECT build_id, CASE WHEN external_ip_count >= 2 THEN 2 ELSE 1 END, 'duration_seconds', round(duration_seconds, 4), 'critical',
-  'Extended build duration (#s) with suspicious patterns - possible cryptomining' FROM hits WHERE duration_seconds > 1200""")
+  concat('Extended build duration (', duration_seconds, 's) with suspicious patterns - possible cryptomining') FROM hits WHERE duration_seconds > 1200""")
 twin("rule_override", "scored_rows", """
 SELECT build_id, prediction = -1 OR suspicious_pattern_count >= 1 AS is_anomaly,
   round(CASE WHEN suspicious_pattern_count >= 1 AND anomaly_score > 0 THEN -0.05 ELSE anomaly_score END, 6)::DOUBLE AS anomaly_score, prediction FROM scored_rows""")
@@ -565,19 +566,23 @@ twin("latest_result_by_build", "build_results", """
 SELECT build_id, created_at, id, is_anomaly, prediction, model_version,
   round(anomaly_score, 9) AS anomaly_score, round(confidence, 9) AS confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY created_at DESC, id DESC) AS k FROM build_results) WHERE k = 1""")
-twin("anomaly_stats", "build_results", f"""
+ORACLE_STATS = f"""
 SELECT 168 AS period_hours, count(*) AS total_builds, count(*) FILTER (is_anomaly) AS total_anomalies,
   round(coalesce(count(*) FILTER (is_anomaly) / nullif(count(*), 0), 0), 12) AS anomaly_rate, round(coalesce(avg(anomaly_score), 0), 12) AS avg_score,
   round(coalesce(min(anomaly_score), 0), 12) AS min_score, round(coalesce(max(anomaly_score), 0), 12) AS max_score, round(coalesce(avg(confidence), 0), 12) AS avg_confidence
-FROM build_results WHERE created_at > {_LAST} - INTERVAL 168 HOUR""")
+FROM build_results WHERE created_at > {_LAST} - INTERVAL 168 HOUR"""
+twin("anomaly_stats", "build_results", ORACLE_STATS)
 _SERIES = """SELECT time_bucket(INTERVAL {0}, created_at) AS time, count(*) AS total_builds, count(*) FILTER (is_anomaly) AS anomalies,
   round(coalesce(avg(anomaly_score), 0), 12) AS avg_score{2} FROM build_results {1} GROUP BY 1"""
 twin("anomaly_timeseries", "build_results", _SERIES.format("1 HOUR", f"WHERE created_at > {_LAST} - INTERVAL 20 DAY", ""))
 twin("anomaly_timeseries_weekly", "build_results", _SERIES.format("14 DAY", f"WHERE created_at > {_LAST} - INTERVAL 25 DAY", ""))
 twin("normal_vs_anomaly_series", "build_results", _SERIES.format("1 DAY", "", ", count(*) - count(*) FILTER (is_anomaly) AS normal_builds"))
 twin("stream_timeseries", "build_results", _SERIES.format("1 HOUR", "", ""))
+twin("stream_anomaly_stats", "build_results", ORACLE_STATS)
 twin("stream_counters", "build_results", """
-SELECT count(*) AS processed_total, count(*) FILTER (is_anomaly) AS anomalies_detected FROM build_results""")
+SELECT 'waiting' AS step, count(*) FILTER (id % 10 <> 0) AS processed_total, count(*) FILTER (is_anomaly AND id % 10 <> 0) AS anomalies_detected,
+  count(*) FILTER (id % 10 = 0) AS backlog FROM build_results
+UNION ALL SELECT 'done', count(*), count(*) FILTER (is_anomaly), 0 FROM build_results""")
 twin("audit_stats", "deliveries", f"""
 SELECT count(*) AS total, count(*) FILTER ({_PROCESSED}) AS processed, count(*) FILTER (NOT {_PROCESSED}) AS pending FROM deliveries""")
 twin("recent_raw_logs", "deliveries", "SELECT delivery_id, received_at, provider FROM deliveries ORDER BY received_at DESC, delivery_id DESC LIMIT 10")
@@ -599,12 +604,21 @@ twin("align_features", "feature_rows_missing", " UNION ALL ".join(
 twin("model_versions", "feature_rows", """
 SELECT '1.0.0' AS version, '2024-01-30T00:00:00' AS trained_at, count(*) AS n_samples FROM feature_rows, range(2) WHERE label = 'normal' GROUP BY range
 UNION ALL SELECT '1.1.0', '2024-01-31T00:00:00', count(*) FROM feature_rows""")
-twin("process_pending", "deliveries", f"SELECT 4 AS batches, count(*) AS builds FROM deliveries WHERE {OK}")
+twin("process_pending", "deliveries", f"""
+WITH ordered AS (SELECT *, row_number() OVER (ORDER BY received_at, delivery_id) - 1 AS k, count(*) OVER () AS d FROM deliveries),
+calls AS (SELECT CAST(k // (d // 3 + 1) + 1 AS INTEGER) AS call, count(*) AS handled, count(*) FILTER ({OK}) AS builds, any_value(d) AS d FROM ordered GROUP BY 1)
+SELECT call, handled, CAST(d - sum(handled) OVER (ORDER BY call) AS BIGINT) AS pending, builds FROM calls
+UNION ALL SELECT k, 0, 0, 0 FROM (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS k) WHERE k NOT IN (SELECT call FROM calls)""")
 _STREAMED = f"""CASE shape WHEN 2 THEN concat(raw_logs, chr(10), 'one', chr(10), 'two 2') WHEN 5 THEN '' ELSE raw_logs END"""
 twin("stream_features", "delivery_parts", f"""
-WITH {_SHAPES}, texts AS (SELECT *, {_STREAMED} AS t FROM shapes)
+WITH {_SHAPES}, texts AS (SELECT *, {_STREAMED} AS t FROM shapes),
+keyed AS (SELECT CAST(delivery_id AS VARCHAR) AS build_id, t AS raw_logs FROM texts),
+{_PER_BUILD.replace('all_logs', 'keyed')}
 SELECT CASE WHEN shape IN (0, 1, 2, 4) THEN CAST(build_no AS VARCHAR) ELSE 'unknown' END AS build_id, repo_name,
   CAST(CASE shape WHEN 0 THEN floor(duration_seconds) WHEN 1 THEN CAST(floor(duration_seconds) AS BIGINT) % 200
        WHEN 2 THEN {_SECONDS} WHEN 4 THEN {_SECONDS} ELSE 0 END AS DOUBLE) AS duration_seconds,
   CAST({_MEASURES['log_line_count']} AS BIGINT) AS log_line_count, CAST({_MEASURES['char_density']} AS DOUBLE) AS char_density,
-  CAST({_MEASURES['error_count']} AS BIGINT) AS error_count, CAST({_MEASURES['warning_count']} AS BIGINT) AS warning_count FROM texts""")
+  CAST({_MEASURES['error_count']} AS BIGINT) AS error_count, CAST({_MEASURES['warning_count']} AS BIGINT) AS warning_count,
+  unique_templates, template_entropy, CAST({matches('t', rules.SUSPICIOUS_PATTERNS)} AS BIGINT) AS suspicious_patterns,
+  CAST({_PUBLIC_IPS.format('t')} AS BIGINT) AS external_ips, CAST(len({_untrusted_urls('t')}) AS BIGINT) AS external_urls, created_at
+FROM texts x JOIN entropy e ON e.build_id = CAST(x.delivery_id AS VARCHAR)""")

@@ -496,6 +496,15 @@ def build_features_12(spark, sf):
     return B.build_features_12(_texts(spark, sf)).select("build_id", "repo_name", *rules.FEATURE_NAMES)
 
 
+@query
+def build_features_mined(spark, sf):
+    """The 12 features over mined templates instead of simple ones."""
+    builds = view(spark, sf, "build_logs").select("build_id", "repo_name", "raw_logs", "duration_seconds", "step_count")
+    lines = materialize(D.masked_lines(B.with_log_text(builds), "line_text").select("build_id", "line_no", "seq"), "lines")
+    _, assignment = D.mine_templates(lines)
+    return B.build_features_mined(builds, D.mined_measures(lines, assignment)).select("build_id", "repo_name", *rules.FEATURE_NAMES)
+
+
 @query
 def build_features_16(spark, sf):
     return B.build_features_16(S.with_steps(view(spark, sf, "step_logs"))).select("build_id", *rules.FEATURE_NAMES_16)
@@ -508,19 +517,26 @@ def features_from_raw_text(spark, sf):
 
 # ----------------------------------------------------------------------- joins
 
+def _with_reasons(results):
+    reason = F.concat(F.lit('[{"reason":"score '), F.format_string("%.3f", F.col("anomaly_score")), F.lit('","severity":"warning"}]'))
+    return results.withColumn("anomaly_reasons", F.when(F.col("is_anomaly"), reason))
+
+
 @query
 def recent_builds_status(spark, sf):
-    metrics = view(spark, sf, "build_logs").select("build_id", "repo_name", "duration_seconds", "created_at")
-    return G.recent_builds_status(metrics, view(spark, sf, "build_results"))
+    metrics = view(spark, sf, "build_logs").select(
+        "build_id", "repo_name", "branch", "duration_seconds", "log_line_count", "error_count", "created_at")
+    return G.recent_builds_status(metrics, _with_reasons(view(spark, sf, "build_results")))
 
 
 @query
 def mark_processed(spark, sf):
+    path = new_folder(spark, "raw-logs")
     d = view(spark, sf, "deliveries")
-    audit = H.raw_log_rows(d, F.col("provider"), F.col("body"), F.lit(True), F.col("received_at"))
-    parsed = _builds(spark, sf).select("delivery_id")
-    return G.mark_processed(audit, parsed, F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")).select(
-        "delivery_id", "source", "processed", "processed_at")
+    H.write_raw_logs(H.raw_log_rows(d, F.col("provider"), F.col("body"), F.lit(True), F.col("received_at")), path)
+    parsed = _builds(spark, sf).select("delivery_id", "received_at")
+    G.mark_processed_table(spark, path, parsed, F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz"))
+    return spark.read.parquet(path).select("delivery_id", "source", "processed", "processed_at")
 
 
 @query
@@ -595,8 +611,7 @@ def confidence(spark, sf):
 @query
 def security_rules(spark, sf):
     return view(spark, sf, "scored_rows").select("build_id", F.posexplode(X.security_reasons()).alias("position", "r")).select(
-        "build_id", "position", "r.feature", round_to("r.value", 4).alias("value"), "r.severity",
-        F.regexp_replace("r.reason", "[0-9.]+", "#").alias("reason"))
+        "build_id", "position", "r.feature", round_to("r.value", 4).alias("value"), "r.severity", "r.reason")
 
 
 @query
@@ -627,8 +642,8 @@ def predict_batch(spark, sf):
     rows, model = _trained(spark, sf)
     results = M.predict(rows, model)
     return results.select("build_id", "is_anomaly", round_to("anomaly_score", 6).alias("anomaly_score"), "prediction",
-                          round_to("confidence", 6).alias("confidence"), F.size("anomaly_reasons").alias("n_reasons"),
-                          F.col("top_features")[0]["feature"].alias("top_feature"), "model_version")
+                          round_to("confidence", 6).alias("confidence"), F.to_json("anomaly_reasons").alias("anomaly_reasons"),
+                          F.to_json("top_features").alias("top_features"), "model_version")
 
 
 @query
@@ -858,22 +873,39 @@ def radar_features(spark, sf):
 DELIVERY = "delivery_id long, received_at timestamp_ntz, provider string, body string"
 
 
-def _queue(spark, sf, name="deliveries", parts=4):
-    path = new_folder(spark, "queue")
-    view(spark, sf, name).repartition(parts).write.parquet(path)
+def _queue(spark, sf, name="deliveries", parts=4, condition="true", path=None):
+    """Messages in the files of a queue folder, appended if it is there."""
+    path = path or new_folder(spark, "queue")
+    view(spark, sf, name).filter(condition).repartition(parts).write.mode("append").parquet(path)
     return path
 
 
-def _features_out(spark, sf, files=None):
+def _features_out(spark, sf, files=None, dictionary=None):
+    """The feature stream over a queue in which every third message is delivered a second time, in another file."""
     out = new_folder(spark, "stream-features")
-    J.stream_features(J.read_messages(spark, _queue(spark, sf), DELIVERY, files), out).awaitTermination()
+    queue = _queue(spark, sf)
+    _queue(spark, sf, parts=2, condition="delivery_id % 3 = 0", path=queue)
+    J.stream_features(J.read_messages(spark, queue, DELIVERY, files), out, dictionary=dictionary).awaitTermination()
     return out
 
 
 @query
 def stream_features(spark, sf):
-    return spark.read.parquet(f"{_features_out(spark, sf)}/build_metrics").select(
-        "build_id", "repo_name", "duration_seconds", "log_line_count", "char_density", "error_count", "warning_count")
+    event = F.from_json("event_distribution", "unique_templates long, template_entropy double, "
+                        "suspicious_patterns long, external_ips long, external_urls long")
+    return spark.read.parquet(f"{_features_out(spark, sf, 2)}/build_metrics").withColumn("e", event).select(
+        "build_id", "repo_name", "duration_seconds", "log_line_count", "char_density", "error_count", "warning_count", "e.*", "created_at")
+
+
+@query
+def stream_parsed_logs(spark, sf):
+    """Templates of streamed builds by the dictionary of an earlier mining run over every second delivery."""
+    folder = new_folder(spark, "dictionary")
+    lines = D.masked_lines(B.with_log_text(_builds(spark, sf).filter("delivery_id % 2 = 0")), "line_text", "delivery_id")
+    _, assignment = D.mine_templates(materialize(lines.withColumnRenamed("delivery_id", "build_id"), "lines"))
+    D.save_dictionary(assignment, folder, 1)
+    out = _features_out(spark, sf, 2, folder)
+    return spark.read.parquet(f"{out}/parsed_logs").select("raw_log_id", F.explode("templates").alias("t")).select("raw_log_id", "t.*")
 
 
 @query
@@ -883,14 +915,21 @@ def stream_scoring(spark, sf):
     out = new_folder(spark, "stream-results")
     messages = J.read_messages(spark, f"{source}/messages", "key string, value string, batch int")
     J.stream_scoring(messages.select("value"), model, out).awaitTermination()
-    return spark.read.parquet(f"{out}/results").select("build_id", "is_anomaly", round_to("anomaly_score", 6).alias("anomaly_score"), "prediction")
+    return spark.read.parquet(f"{out}/results").select("id", "build_id", "is_anomaly", round_to("anomaly_score", 6).alias("anomaly_score"), "prediction",
+                                                       "anomaly_reasons", "top_features", "model_version", "created_at")
 
 
 @query
 def process_pending(spark, sf):
-    # One file per batch, until nothing is pending.
-    return spark.read.parquet(f"{_features_out(spark, sf, 1)}/build_metrics").agg(
-        F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("builds"))
+    """A queue drained by a third of its messages, rounded up, at a time: what each call handled and left."""
+    out = new_folder(spark, "drained")
+    messages = spark.read.schema(DELIVERY).parquet(_queue(spark, sf))
+    handle = J.feature_batches(spark, out)
+    n = messages.count() // 3 + 1
+    calls = [(k, *J.drain(messages, handle, out, n)) for k in range(1, 5)]
+    builds = spark.read.parquet(f"{out}/build_metrics").groupBy((F.col("batch") + 1).alias("call")).agg(F.count(F.lit(1)).alias("builds"))
+    return spark.createDataFrame(calls, "call int, handled long, pending long").join(builds, "call", "left") \
+        .withColumn("builds", F.coalesce("builds", F.lit(0)))
 
 
 RESULT = "id long, build_id string, created_at timestamp_ntz, is_anomaly boolean, anomaly_score double, prediction int, confidence double, model_version string"
@@ -898,17 +937,43 @@ RESULT = "id long, build_id string, created_at timestamp_ntz, is_anomaly boolean
 
 @query
 def stream_counters(spark, sf):
+    """Counters while a tenth of the results waits in the queue, and after the stream was started again."""
     out = new_folder(spark, "counters")
-    run = J.stream_counters(J.read_messages(spark, _queue(spark, sf, "build_results"), RESULT), out)
-    run.awaitTermination()
-    return J.counter_rows(spark, out).agg(F.sum("processed_total").alias("processed_total"), F.sum("anomalies_detected").alias("anomalies_detected"))
+    queue = _queue(spark, sf, "build_results", condition="id % 10 <> 0")
+
+    def run():
+        J.stream_counters(J.read_messages(spark, queue, RESULT, 1), out).awaitTermination()
+
+    def counters(step):
+        rows = J.counter_rows(spark, out, spark.read.schema(RESULT).parquet(queue))
+        return materialize(rows.agg(F.lit(step).alias("step"), F.sum("processed_total").alias("processed_total"),
+                                    F.sum("anomalies_detected").alias("anomalies_detected"), F.max("backlog").alias("backlog")), "counters")
+
+    run()
+    _queue(spark, sf, "build_results", condition="id % 10 = 0", path=queue)
+    before = counters("waiting")
+    run()
+    return before.unionByName(counters("done"))
+
+
+def _states(spark, sf):
+    out = new_folder(spark, "series")
+    queue = _queue(spark, sf, "build_results")
+    J.stream_timeseries(J.read_messages(spark, queue, RESULT, 1), "1 hour", out, digits=12).awaitTermination()
+    return spark.read.parquet(f"{out}/states"), spark.read.schema(RESULT).parquet(queue)
 
 
 @query
 def stream_timeseries(spark, sf):
-    out = new_folder(spark, "series")
-    J.stream_timeseries(J.read_messages(spark, _queue(spark, sf, "build_results"), RESULT, 1), "1 hour", out, digits=12).awaitTermination()
-    return spark.read.parquet(f"{out}/series").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    states, _ = _states(spark, sf)
+    return G.merged_series(states.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")), "1 hour", 12)
+
+
+@query
+def stream_anomaly_stats(spark, sf):
+    """Statistics of the last week from the states that the stream keeps."""
+    states, results = _states(spark, sf)
+    return G.merged_stats(states, results, 168, G.latest(results), 12)
 
 
 @query

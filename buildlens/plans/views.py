@@ -47,8 +47,9 @@ FROM {events}
 """
 
 _BUILD_LOGS = """
-SELECT build_no, build_id, repo_name, min(ts) AS created_at, max(ts) AS finished_at,
-       max(value) * 4 AS duration_seconds, count(DISTINCT event_type) AS step_count,
+SELECT build_no, build_id, repo_name, concat('branch-', build_no % 3) AS branch, min(ts) AS created_at, max(ts) AS finished_at,
+       max(value) * 4 AS duration_seconds, count(DISTINCT event_type) AS step_count, count(*) AS log_line_count,
+       CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error_count,
        {lines_of(line, event_id)} AS raw_logs
 FROM {build_log_lines} GROUP BY build_no, build_id, repo_name
 """
@@ -85,7 +86,7 @@ FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 
 # Logs with step markers: sign-ups open a step; every seventh build has none.
 _STEP_LOGS = """
-SELECT build_no, build_id, repo_name, min(ts) AS created_at, max(ts) AS finished_at,
+SELECT build_no, build_id, repo_name, min(ts) AS created_at, max(ts) AS finished_at, max(value) * 4 AS duration_seconds,
        {lines_of(step_line, event_id)} AS raw_logs
 FROM (SELECT *, CASE WHEN event_type <> 'signup' OR build_no % 7 = 0 THEN line
         ELSE CASE event_id % 4
@@ -93,7 +94,7 @@ FROM (SELECT *, CASE WHEN event_type <> 'signup' OR build_no % 7 = 0 THEN line
           WHEN 1 THEN concat('=== Step: ', CASE user_id % 3 WHEN 0 THEN 'run_tests' WHEN 1 THEN 'deploy' ELSE 'lint' END, ' ===')
           WHEN 2 THEN 'Running install_dependencies...'
           ELSE '  ❯ build_artifact' END END AS step_line
-      FROM {build_log_lines}) m
+      FROM {build_log_lines} WHERE build_no % 3 <> 1 OR event_id % 5 <> build_no % 4) m
 GROUP BY build_no, build_id, repo_name
 """
 
@@ -155,10 +156,10 @@ SELECT build_no AS delivery_id, created_at AS received_at,
 FROM {delivery_parts}
 """
 
-# Real multi-line documents and build logs together: the input of the text operators.
+# Real multi-line documents (without times and steps) and build logs together: the input of the text operators.
 _ALL_LOGS = """
-SELECT build_id, repo_name, raw_logs FROM {doc_logs}
-UNION ALL SELECT build_id, repo_name, raw_logs FROM {build_logs}
+SELECT build_id, repo_name, raw_logs, CAST(0.0 AS DOUBLE) AS duration_seconds, CAST(0 AS BIGINT) AS step_count FROM {doc_logs}
+UNION ALL SELECT build_id, repo_name, raw_logs, CAST(duration_seconds AS DOUBLE), step_count FROM {build_logs}
 """
 
 _URL_TEXTS = """

@@ -58,6 +58,7 @@ def decode_feature_messages(messages: DataFrame, value: str = "value") -> DataFr
     build_id = F.coalesce(F.col("_m.features.build_id"), F.col("_m._meta.request_id"), F.lit("unknown"))
     return messages.select(*others, F.from_json(F.col(value), message_schema(), JSON_OPTIONS).alias("_m")).select(
         *others, build_id.alias("build_id"), F.col("_m._meta.request_id").alias("request_id"),
+        F.try_to_timestamp(F.col("_m._meta.processed_at")).alias("message_time"),
         *[F.col(f"_m.features.{c}").alias(c) for c in rules.FEATURE_NAMES])
 
 
@@ -79,11 +80,13 @@ def build_metric_rows(features: DataFrame, created_at: Column) -> DataFrame:
 def result_rows(results: DataFrame, created_at: Column) -> DataFrame:
     """Result rows with reasons and contributions as JSON; version ``unknown`` when missing.
 
-    ``id`` is a hash of the row's content, so a batch that runs again gives the same ids.
+    ``id`` is a hash of the row's content and message, so a batch that runs again gives the
+    same ids if ``created_at`` is a time of the message or the batch, not of the run.
     """
     version = F.col("model_version") if "model_version" in results.columns else F.lit(None).cast("string")
     raw = F.to_json(F.struct(*[c for c in rules.FEATURE_NAMES if c in results.columns]))
-    key = F.xxhash64("build_id", "anomaly_score", "prediction", version, raw, created_at.cast("string"))
+    request = [F.col("request_id")] if "request_id" in results.columns else []
+    key = F.xxhash64("build_id", "anomaly_score", "prediction", version, raw, created_at.cast("string"), *request)
     return results.select(
         F.pmod(key, F.lit(2**63 - 1)).alias("id"), "build_id", "is_anomaly", "anomaly_score", "prediction", "confidence",
         F.to_json("anomaly_reasons").alias("anomaly_reasons"),

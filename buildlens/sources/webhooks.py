@@ -61,7 +61,9 @@ def raw_log_rows(messages: DataFrame, source: Column, payload: Column, signature
 
 
 def write_raw_logs(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("source").parquet(path)
+    """Append audit rows, partitioned by day of arrival and source."""
+    rows.withColumn("day", F.to_date("received_at")).hint("rebalance", F.col("day"), F.col("source")) \
+        .write.mode("append").partitionBy("day", "source").parquet(path)
 
 
 def assemble_log_files(files: DataFrame) -> DataFrame:

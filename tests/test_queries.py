@@ -35,7 +35,7 @@ def test_entry(spark):
 
 @needs_data
 def test_streams_equal_batch(spark):
-    out = Q._features_out(spark, SF, 1)
+    out = Q._features_out(spark, SF, 2)
     metrics = spark.read.parquet(f"{out}/build_metrics")
     batch = Q.B.build_features_12(Q._builds(spark, SF))
     columns = ["build_id", "log_line_count", "char_density", "error_count"]
