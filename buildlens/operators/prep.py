@@ -43,13 +43,59 @@ def _value(name: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+#: Rows of a bracket that one task may walk, and buckets of a bracket in a round of narrowing.
+WALKED = 200_000
+SLOTS = 1024
+
+
+def _narrowed(df: DataFrame, brackets: list[tuple], times: Column, walked: int) -> list[tuple]:
+    """Brackets cut down by rounds of histograms until each holds few rows or a single value.
+
+    A round counts the weight below each bracket and in its ``SLOTS`` equal parts, for all
+    brackets at once, and keeps the parts with the two wanted ranks, with their own least and
+    largest value.  The driver sees at most ``SLOTS`` counts a bracket.  A part is a 1024th
+    of its bracket, so the rounds are few.
+    """
+    done = [False] * len(brackets)
+    while not all(done):
+        open_ = [k for k, ready in enumerate(done) if not ready]
+        below = df.agg(*[F.coalesce(F.sum(F.when(_value(brackets[k][0]) < brackets[k][5], times)), F.lit(0)).alias(f"b{k}") for k in open_]).first()
+        parts = []
+        for k in open_:
+            n, lo, hi = brackets[k][0], float(brackets[k][5]), float(brackets[k][6])
+            v, width = _value(n), hi / 2 - lo / 2
+            slot = F.least(F.floor((v / 2 - lo / 2) / width * SLOTS), F.lit(SLOTS - 1)) if width > 0 else F.lit(0)
+            parts.append(F.when(v.between(lo, hi), F.struct(F.lit(k).alias("k"), slot.cast("int").alias("slot"), v.alias("v"))))
+        counts = df.select(times.alias("_w"), F.explode(F.array_compact(F.array(*parts))).alias("e")) \
+            .groupBy(F.col("e.k").alias("k"), F.col("e.slot").alias("slot")) \
+            .agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("rows"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")).collect()
+        for k in open_:
+            n, i, r, part, r2, lo, hi = brackets[k]
+            slots = sorted((c for c in counts if c["k"] == k), key=lambda c: c["slot"])
+            if sum(c["rows"] for c in slots) <= walked:
+                done[k] = True
+                continue
+            upto, ends = below[f"b{k}"], []
+            for c in slots:
+                ends.append((upto, upto := upto + c["w"], c))
+            first = next((c for start, end, c in ends if start <= r < end), None)
+            last = next((c for start, end, c in ends if start <= r2 < end), None)
+            if first is None or last is None:
+                done[k] = True  # the ranks lie outside: the caller looks again
+                continue
+            # Neighbouring ranks in two parts are the end of one and the beginning of the other.
+            bounds = (first["lo"], first["hi"]) if first is last else (first["hi"], last["lo"])
+            done[k] = bounds == (lo, hi) or first is not last
+            brackets[k] = (n, i, r, part, r2, *bounds)
+    return brackets
+
+
 def exact_percentiles(df: DataFrame, names: list[str], fractions: list[float],
-                      accuracy: int = 10_000, weight: str | None = None) -> dict[str, list[float | None]]:
+                      accuracy: int = 10_000, weight: str | None = None, walked: int = WALKED) -> dict[str, list[float | None]]:
     """Exact interpolated percentiles without gathering the values in one task.
 
-    First an approximate sketch brackets each percentile, then only the distinct
-    values inside the bracket (about ``4 / accuracy`` of the rows) are counted
-    and walked in order.  A row stands for ``weight`` equal ones; for the sketch it is
+    First an approximate sketch brackets each percentile, histograms narrow brackets of more
+    than ``walked`` rows, then only the distinct values inside are counted and walked in order.  A row stands for ``weight`` equal ones; for the sketch it is
     repeated in proportion, ``4 * accuracy`` times in all besides one for each row.
     """
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
@@ -77,6 +123,7 @@ def exact_percentiles(df: DataFrame, names: list[str], fractions: list[float],
             brackets.append((n, i, int(rank), rank - int(rank), min(int(rank) + 1, count - 1), low, high))
     if not brackets:
         return out
+    brackets = _narrowed(df, brackets, times, walked)
     inside = [F.when(_value(n).between(lo, hi), F.struct(F.lit(k).alias("k"), _value(n).alias("v")))
               for k, (n, _, _, _, _, lo, hi) in enumerate(brackets)]
     below = df.agg(*[F.coalesce(F.sum(F.when(_value(n) < lo, times)), F.lit(0)).alias(f"b{k}")
@@ -99,7 +146,7 @@ def exact_percentiles(df: DataFrame, names: list[str], fractions: list[float],
         at = lambda rank: next((v for upto_, v in stops if upto_ > rank - below[k]), None)
         a, b = at(r), at(r2)
         if a is None or b is None:  # the sketch missed its bound: look again with a wider bracket
-            return exact_percentiles(df, names, fractions, max(accuracy // 10, 10), weight)
+            return exact_percentiles(df, names, fractions, max(accuracy // 10, 10), weight, walked)
         out[n][i] = a + (b - a) * part
     return out
 

@@ -54,3 +54,19 @@ def test_weighted_percentiles(spark):
     assert np.allclose(prep.exact_percentiles(df, ["v"], fractions, weight="w")["v"], np.quantile(whole, fractions))
     heavy = spark.createDataFrame([(1.0, 5), (2.0, 4_000_000_000), (3.0, 3_000_000_000)], "v double, w long")
     assert prep.exact_percentiles(heavy, ["v"], [0.0, 0.5, 0.9], weight="w")["v"] == [1.0, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_percentiles_of_wide_brackets_are_narrowed(spark, weighted):
+    from buildlens.operators import prep
+
+    # A coarse sketch leaves a bracket of over a million distinct values.
+    n = 3_000_000
+    value = "pow(1.0 + pmod(xxhash64(id), 1000003) / 1000003.0 + id / 1e9, 9) - 200"
+    df = spark.range(n).selectExpr(f"CASE WHEN id % 10 = 0 THEN 7.0 ELSE {value} END AS v", "1 + id % 3 AS w", f"{value} * 1e300 AS big")
+    rows = df.toPandas()
+    fractions = [0.0, 0.07, 0.5, 0.93, 1.0]
+    for name in ("v", "big"):
+        whole = np.repeat(rows[name].to_numpy(), rows["w"] if weighted else 1)
+        got = prep.exact_percentiles(df, [name], fractions, accuracy=10, weight="w" if weighted else None, walked=1000)[name]
+        assert np.allclose(got, np.quantile(whole, fractions), rtol=1e-12)
