@@ -4,7 +4,7 @@ Rows get a key (hash of the text, hash of the id, place in the table), so copies
 a text are neighbours and yet divisible.  Splitters are quantiles of a sample drawn
 in proportion to size; a range that turns out overfull is sampled and cut again.
 Exact totals of the ranges then give every row its byte position in key order, and
-slices of the positions are the shards.  The few rows that are large against a shard
+slices of the positions are the shards; a small group of copies goes where its middle lies.  The few rows that are large against a shard
 are placed first, so that shard sizes differ by about 1 / LARGE at most.  All steps are DataFrame operations; the driver sees only the
 samples (``ranges * SAMPLES`` keys), the large rows' keys and one total per range.
 """
@@ -26,7 +26,7 @@ RANGES = 1024
 SAMPLES = 16
 #: A range is overfull beyond this multiple of the mean weight.
 OVERFULL = 4.0
-#: A row above this part of a shard is placed on its own.
+#: A row above this part of a shard is placed on its own; a group of copies up to this part of a shard is not divided.
 LARGE = 64
 #: Rounds of subdivision; the key is unique, so only a single huge row resists.
 ROUNDS = 8
@@ -103,8 +103,11 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     """Shard and slot of every row: id, size, text_crc32, ``carry`` columns, shard, slot.
 
     Size is the text's UTF-8 bytes plus 8; a NULL text counts as empty (crc32 0), a
-    NULL id is kept and only loses its part of the key.  Equal texts are neighbours,
-    so a group of copies lies in one shard unless it is larger than the shard.  Fully
+    NULL id is kept and only loses its part of the key.  Equal texts are neighbours.  A
+    group of copies of up to ``1 / LARGE`` of a shard lies in one shard, unless one of the
+    at most ``ranges`` range boundaries runs through it; a larger group may lie in two
+    neighbouring shards, or more if it is larger than a shard.  A carried column named like
+    a computed one (size, text_crc32, shard, slot or the id) gets ``_`` after its name.  Fully
     equal rows are kept apart by their place.  Rows above ``1 / LARGE`` of a shard (at
     most ``shards * LARGE`` of them) are placed longest first, the ranges fill the rest.
     Slots run from 0 without a gap.  An empty table gives an empty result.
@@ -115,7 +118,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.concat(_hex(F.xxhash64(text)), _hex(F.xxhash64(F.col(id_col))), _hex(place)).alias("key"),
-        F.struct(F.lit(0).alias("none"), *carry).alias("carried")), "shard-keys")
+        F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")), "shard-keys")
     rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(1))).first()
     is_large = F.col("size") * (shards * LARGE) > total
     large = [tuple(r) for r in keyed.where(is_large).select("key", "size").collect()]  # at most shards * LARGE
@@ -130,11 +133,16 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
                     F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows0")))
     inner = Window.partitionBy("range").orderBy("key")
     until = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("bytes0") + F.sum("size").over(until) - F.col("size") / 2
+    # A group's part in its range: copies share the first half of the key, so they follow each other.
+    group = Window.partitionBy("range", "copies")
+    end = F.col("bytes0") + F.sum("size").over(until)
+    part, begin = F.sum("size").over(group), F.min("begin").over(group)
+    middle = F.when(part * (shards * LARGE) <= total, begin + part / 2).otherwise(F.col("begin") + F.col("size") / 2)
     shard = sum((F.when(middle >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     kept = ["id", "size", "text_crc32", "carried"]
     placed = materialize(
         at.join(F.broadcast(base), "range")  # one row per range
+        .withColumn("copies", F.substring("key", 1, 16)).withColumn("begin", end - F.col("size"))
         .select(*kept, (F.col("rows0") + F.row_number().over(inner) - 1).alias("place"), shard.alias("shard")), "shard-places")
     first = placed.groupBy("shard").agg(F.min("place").alias("first"), F.count("*").alias("n"))  # one row per shard
     session = docs.sparkSession
@@ -142,11 +150,21 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     of_small = placed.join(F.broadcast(first), "shard").select(*kept, "shard", (F.col("place") - F.col("first")).alias("slot"))
     of_large = (keyed.where(is_large).join(F.broadcast(moved), "key").join(F.broadcast(first), "shard", "left")
                 .select(*kept, "shard", (F.coalesce("n", F.lit(0)) + F.col("index")).alias("slot")))
+    taken = {id_col, "size", "text_crc32", "shard", "slot"}
+    names = []
+    for c in carry:
+        while c in taken:
+            c += "_"
+        taken.add(c)
+        names.append(c)
     return of_small.unionByName(of_large).select(
-        F.col("id").alias(id_col), "size", "text_crc32", *[F.col("carried")[c].alias(c) for c in carry], "shard", "slot")
+        F.col("id").alias(id_col), "size", "text_crc32", *[F.col("carried")[f"c{i}"].alias(c) for i, c in enumerate(names)], "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows as one folder per shard, files ordered by slot."""
-    placed = assign(docs, shards, id_col, text_col, carry=[text_col])
+    """Write the rows with all their columns as one folder per shard, files ordered by slot.
+
+    NULLs, empty texts, repeated rows, empty tables and clashing names as in ``assign``.
+    """
+    placed = assign(docs, shards, id_col, text_col, carry=[c for c in docs.columns if c != id_col])
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -495,3 +495,28 @@ def test_pipeline_stages(spark):
 
 def test_twins_belong_to_queries():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_small_groups_of_copies_are_not_divided(spark):
+    texts = [f"group {g} " + "word " * 30 for g in range(400) for _ in range(5)] + [f"single {i} " + "x" * (i % 200) for i in range(8000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.assign(df, 8, carry=["text"]).collect()
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * sum(sizes) / 8 / sharding.LARGE
+    shards = {}
+    for r in got:
+        shards.setdefault(r["text"], set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in shards.values()) == 0
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_written_shards_keep_all_columns(spark, tmp_path):
+    rows = [(i, f"t{i}" if i % 5 else None, i * 2, f"s{i}", {"a": i}) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, slot string, other map<string,int>")
+    sharding.write_shards(df, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {"doc_id", "size", "text_crc32", "text", "size_", "slot_", "other", "shard", "slot"}
+    got = {r["doc_id"]: r for r in back.collect()}
+    assert len(got) == 40 and all((got[i]["text"], got[i]["size_"], got[i]["slot_"], got[i]["other"]) == (t, z, s, o) for i, t, z, s, o in rows)
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), 4)
