@@ -13,8 +13,6 @@ in doubles where every sum stays below 2^53, else in 64-bit, else in Python inte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,36 +68,35 @@ def axes(vectors: DataFrame) -> np.ndarray:
 
 
 def exact_products(x: np.ndarray, q: np.ndarray, scale: int) -> np.ndarray:
-    """Integer inner products of rows scale * x with scale * q: numpy integers, Python ones where they may leave 62 bits."""
+    """Integer inner products of rows scale * x with scale * q, where doubles may round: 64-bit or Python integers."""
     with np.errstate(over="ignore"):
-        largest = np.abs(x).max() * np.abs(q).max() * float(scale) ** 2 * len(q) if len(x) else 0.0
-    if largest < 2.0**53:
-        return np.rint((x * scale) @ (q * scale)).astype(np.int64)
-    if largest < 2.0**62 and max(np.abs(x).max(), np.abs(q).max()) * scale < 2.0**62:
-        return (x * scale).astype(np.int64) @ (q * scale).astype(np.int64)
+        top_x, top_q = np.abs(x).max() * scale, np.abs(q).max() * scale
+        if top_x * top_q * len(q) < 2.0**62 and max(top_x, top_q) < 2.0**62:
+            return (x * scale).astype(np.int64) @ (q * scale).astype(np.int64)
     whole = lambda v: [n * (scale // d) for n, d in (c.as_integer_ratio() for c in v)]
     own = whole(q.tolist())
     return np.array([sum(a * b for a, b in zip(own, whole(r), strict=True)) for r in x.tolist()], dtype=object)
 
 
-def candidates(q: np.ndarray, x: np.ndarray, bound: np.ndarray, rotation: np.ndarray, scale: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, rows) that may reach the query's bound; comparisons keep a row wherever a sum overflows."""
+def candidates(qs: np.ndarray, xs: np.ndarray, bound: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """(queries, vectors) which products may reach the queries' bounds; comparisons keep a pair wherever a sum overflows."""
     with np.errstate(all="ignore"):
-        qs, xs = q * scale, x * scale
         qr, xr = qs @ rotation, xs @ rotation
         sizes, lengths = np.sqrt((qs * qs).sum(axis=1)), np.sqrt((xs * xs).sum(axis=1))
-        slack = SLACK + ERROR * np.outer(sizes, [lengths.max()])[:, 0]
-        for i in np.flatnonzero(~(sizes * lengths.max() + slack < bound)):
-            left, partial, done = np.arange(len(x)), np.zeros(len(x)), 0
-            for stage in STAGES:
-                if stage >= rotation.shape[1] or not np.isfinite(bound[i]) or not len(left):
-                    break
-                partial = partial + xr[left, done:stage] @ qr[i, done:stage]
-                rest = np.sqrt((xr[left, stage:] ** 2).sum(axis=1) * (qr[i, stage:] ** 2).sum())
-                stay = ~(partial + rest + slack[i] < bound[i])
-                left, partial, done = left[stay], partial[stay], stage
-            if len(left):
-                yield i, left
+        least = bound - SLACK - ERROR * sizes * lengths.max()
+        alive = ~(sizes[:, None] * lengths < least[:, None])
+        partial, done = np.zeros(alive.shape), 0
+        for stage in STAGES:
+            rows = np.flatnonzero(alive.any(axis=1) & np.isfinite(bound))
+            cols = np.flatnonzero(alive[rows].any(axis=0))
+            if stage >= rotation.shape[1] or not len(rows) or not len(cols):
+                break
+            at = np.ix_(rows, cols)
+            partial[at] += qr[rows, done:stage] @ xr[cols, done:stage].T
+            rest = np.sqrt((qr[rows, stage:] ** 2).sum(axis=1))[:, None] * np.sqrt((xr[cols, stage:] ** 2).sum(axis=1))
+            alive[at] &= ~(partial[at] + rest < least[rows, None])
+            done = stage
+    return alive
 
 
 def order_key(score: int) -> str | None:
@@ -129,13 +126,21 @@ def _search(a: pd.DataFrame, b: pd.DataFrame, k: int, scale: int, rotation: np.n
     for dim in np.intersect1d(sizes, own):
         rows, asked = b[sizes == dim], a[own == dim]
         x, q = V.matrix(rows["vector"]), V.matrix(asked["vector"])
+        with np.errstate(over="ignore"):
+            xs, qs = x * scale, q * scale
+            exact = np.abs(xs).max() * np.abs(qs).max() * dim < 2.0**53  # whole numbers: no sum is rounded
         bound = np.nan_to_num(asked["bound"].to_numpy(dtype=float, na_value=-np.inf), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        alive = candidates(qs, xs, bound, rotation if len(rotation) == dim else np.eye(dim))
         ids, names = [np.asarray(m) for m in rows["ids"]], asked["id"].to_numpy()
-        for i, left in candidates(q, x, bound, rotation if len(rotation) == dim else np.eye(dim), scale):
-            scores = exact_products(x[left], q[i], scale)
+        cols = np.flatnonzero(alive.any(axis=0))
+        products = qs @ xs[cols].T if exact else None
+        for i in np.flatnonzero(alive.any(axis=1)):
+            left = np.flatnonzero(alive[i, cols])
+            scores = products[i, left] if exact else exact_products(x[cols[left]], q[i], scale)
             # k + 1 distinct vectors hold the k best rows: one of them may be the query's own.
-            cut = np.sort(scores)[-min(k + 1, len(scores))]
-            members = [(int(scores[j]), m) for j in np.flatnonzero(scores >= cut) for m in ids[left[j]][ids[left[j]] != names[i]][:k].tolist()]
+            width = min(k + 1, len(scores))
+            cut = np.partition(scores, -width)[-width] if exact else np.sort(scores)[-width]
+            members = [(int(scores[j]), m) for j in np.flatnonzero(scores >= cut) for m in ids[cols[left[j]]][ids[cols[left[j]]] != names[i]][:k].tolist()]
             for score, member in sorted(members, key=lambda r: (-r[0], r[1]))[:k]:
                 wide = order_key(score)
                 out.append((names[i], member, None if wide else score, 0 if wide is None else 1 if score > 0 else -1, wide, str(score)))

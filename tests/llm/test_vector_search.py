@@ -85,7 +85,7 @@ def test_repeated_rows_equal_brute_force(spark):
 def test_large_components_and_other_lengths(spark):
     rng = np.random.default_rng(12)
     table = [(i, (rng.normal(size=8) * 10.0 ** (i % 10)).tolist()) for i in range(60)]
-    table += [(100, [1e8] * 8), (101, [1e8] * 8), (150, [1e300] * 8), (151, [-1e300] * 8), (152, [1e300] + [0.0] * 7), (200, [1e16 + 2] * 8), (201, [3e12 + 0.3] * 8),
+    table += [(100, [1e8] * 8), (101, [1e8] * 8), (150, [1e300] * 8), (151, [-1e300] * 8), (153, [1.7e308, -1.7e308] * 4), (152, [1e300] + [0.0] * 7), (200, [1e16 + 2] * 8), (201, [3e12 + 0.3] * 8),
               (250, [1.0, 2.0]), (251, [2.0, 1.0]), (252, [-1e8, 1e300]), (300, [1.0] * 7), (350, [5e-324] * 8), (351, [-5e-324] * 8)]
     schema = "vec_id long, embedding array<double>, query_id string, score string"
     df = spark.createDataFrame([(*r, "", "") for r in table], schema)
@@ -97,6 +97,7 @@ def test_large_components_and_other_lengths(spark):
     for r in permutation_index.search(permutation_index.build(df), df.where("vec_id % 50 = 0"), rerank=1.0).collect():
         near.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
     whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in table}
+    assert max(abs(x) for v in whole.values() for x in v) > 2**1030
     for q, v in table:
         if q % 50 == 0:
             products = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i, u in table if i != q and len(u) == len(v))[:5]
