@@ -427,7 +427,7 @@ FROM step_logs l JOIN counted c ON c.build_id = l.build_id JOIN h ON h.build_id
 
 twin("recent_builds_status", ["build_logs", "build_results"], """
 SELECT b.build_id, repo_name, branch, duration_seconds, log_line_count, error_count, b.created_at, is_anomaly, anomaly_score,
-  CASE WHEN is_anomaly THEN concat('[{"reason":"score ', printf('%.3f', anomaly_score), '","severity":"warning"}]') END AS anomaly_reasons
+  CASE WHEN is_anomaly THEN concat('[{"reason":"result ', id, '","severity":"warning"}]') END AS anomaly_reasons
 FROM build_logs b LEFT JOIN build_results r ON r.build_id = b.build_id ORDER BY b.created_at DESC""")
 _PROCESSED = f"coalesce({OK}, false)"
 twin("mark_processed", "deliveries", f"""

@@ -518,7 +518,7 @@ def features_from_raw_text(spark, sf):
 # ----------------------------------------------------------------------- joins
 
 def _with_reasons(results):
-    reason = F.concat(F.lit('[{"reason":"score '), F.format_string("%.3f", F.col("anomaly_score")), F.lit('","severity":"warning"}]'))
+    reason = F.concat(F.lit('[{"reason":"result '), F.col("id").cast("string"), F.lit('","severity":"warning"}]'))
     return results.withColumn("anomaly_reasons", F.when(F.col("is_anomaly"), reason))
 
 
@@ -885,7 +885,7 @@ def _features_out(spark, sf, files=None, dictionary=None):
     out = new_folder(spark, "stream-features")
     queue = _queue(spark, sf)
     _queue(spark, sf, parts=2, condition="delivery_id % 3 = 0", path=queue)
-    J.stream_features(J.read_messages(spark, queue, DELIVERY, files), out, dictionary=dictionary).awaitTermination()
+    J.stream_features(J.read_messages(spark, queue, DELIVERY, files), out, dictionary=dictionary, once=True).awaitTermination()
     return out
 
 

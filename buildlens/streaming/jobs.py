@@ -72,18 +72,21 @@ def _remember(batch: DataFrame, out: str, number: int, key: str = "delivery_id",
 
 
 def feature_batches(spark: SparkSession, out: str, body: str = "body", duration_mode: str = "strict",
-                    dictionary: str | None = None) -> Callable[[DataFrame, int], None]:
+                    dictionary: str | None = None, once: bool = False) -> Callable[[DataFrame, int], None]:
     """What happens to one numbered batch of payload messages (``delivery_id, received_at, body``).
 
+    With ``once`` a message delivered again, in the same batch or any later one, counts once;
+    otherwise every delivery has its row.
     With a ``dictionary`` folder (``mining.save_dictionary``) its newest version is read for
     every batch and gives lines their mined templates; sequences that it does not hold stand
     for themselves and are put aside in ``unmatched`` for the next mining run.
     """
-    spark.createDataFrame([], "delivery_id string").write.mode("ignore").parquet(f"{out}/seen/batch=-1/day=1970-01-01")
+    if once:
+        spark.createDataFrame([], "delivery_id string").write.mode("ignore").parquet(f"{out}/seen/batch=-1/day=1970-01-01")
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = first_deliveries(batch, out, number).persist()
+        batch = (first_deliveries(batch, out, number) if once else batch).persist()
         builds = timed = None
         try:
             good, bad = quarantine(batch, body)
@@ -104,7 +107,8 @@ def feature_batches(spark: SparkSession, out: str, body: str = "body", duration_
                 _write(unmatched_sequences(masked, known), f"{out}/unmatched", number)
                 lines = assign_templates(masked, known)
             _write(parsed_logs(lines, "delivery_id"), f"{out}/parsed_logs", number)
-            _remember(batch, out, number)
+            if once:
+                _remember(batch, out, number)
         finally:
             for held in (timed, builds, batch):
                 if held is not None:
@@ -114,10 +118,10 @@ def feature_batches(spark: SparkSession, out: str, body: str = "body", duration_
 
 
 def stream_features(messages: DataFrame, out: str, available_now: bool = True, body: str = "body",
-                    duration_mode: str = "strict", dictionary: str | None = None) -> StreamingQuery:
+                    duration_mode: str = "strict", dictionary: str | None = None, once: bool = False) -> StreamingQuery:
     """Messages (``delivery_id, received_at, body``) to metric rows, parsed logs, feature
-    messages and dead letters; a message delivered again, in any batch, counts once."""
-    handle = feature_batches(messages.sparkSession, out, body, duration_mode, dictionary)
+    messages and dead letters; with ``once`` a message delivered again, in any batch, counts once."""
+    handle = feature_batches(messages.sparkSession, out, body, duration_mode, dictionary, once)
     return _start(messages, handle, f"{out}/_checkpoint", available_now)
 
 

@@ -30,7 +30,7 @@ def put(spark, folder, rows):
 
 
 def run(spark, queue, out, **options):
-    J.stream_features(J.read_messages(spark, queue, SCHEMA, 1), out, **options).awaitTermination()
+    J.stream_features(J.read_messages(spark, queue, SCHEMA, 1), out, once=True, **options).awaitTermination()
 
 
 def test_a_message_counts_once_in_whatever_batch_it_comes(spark, tmp_path):
@@ -49,7 +49,7 @@ def test_a_message_counts_once_in_whatever_batch_it_comes(spark, tmp_path):
 
 def test_a_batch_that_runs_again_gives_the_same_rows(spark, tmp_path):
     out = str(tmp_path / "out")
-    handle = J.feature_batches(spark, out)
+    handle = J.feature_batches(spark, out, once=True)
     batch = spark.createDataFrame([message(i) for i in range(4)], SCHEMA)
     rows = []
     for _ in range(2):
