@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences under token, document and attention-cost capacities.
 
 A document is tokenised once and cut into pieces.  A piece is a vector (tokens, 1,
-tokens squared); all its parts follow from its length, so best fit over all pieces is
-decided on the counts per length, at most one per token of the capacity, whatever the
-number of documents.  Equal pieces are placed in bulk, exactly as one at a time would be.
+tokens squared); it goes to the open sequence whose residual vector has the smallest norm
+after it, every part measured by its limit.  All parts follow from a piece's length, so
+best fit over all pieces is decided on the counts per length, at most one per token of the
+capacity, whatever the number of documents.  Equal pieces are placed in bulk, exactly as one at a time would be.
 The resulting plan maps (length, rank among equals) to (sequence, offset); ranks come
 from hashed slices of each length, so a frequent length is not ranked by one task.
 """
@@ -113,67 +114,112 @@ class Capacity:
     rule: str = "norm"  # smallest residual norm, or "dot": largest weighted dot product with the residual
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
 
-    def limits(self) -> list[tuple[int, int]]:
-        """(part of the vector, limit) of the constraints that can bind."""
-        out = [(0, self.tokens)]
-        if self.documents is not None and self.documents < self.tokens:
-            out.append((1, self.documents))
-        if self.attention is not None and self.attention < self.tokens ** 2:
-            out.append((2, self.attention))
-        return out
+    def limits(self) -> np.ndarray:
+        """Limits of the vector (tokens, documents, squared lengths).  A part that is not limited has the
+        most that the tokens allow, so its residual counts in the choice of a bin though it never binds."""
+        documents = self.tokens if self.documents is None else self.documents
+        attention = self.tokens ** 2 if self.attention is None else self.attention
+        return np.array([self.tokens, min(documents, self.tokens), min(attention, self.tokens ** 2)], dtype=np.int64)
+
+
+class _OpenBins:
+    """Open bins by residual vector: a row per vector, with its runs (first bin, number) of bins."""
+
+    def __init__(self):
+        self.left = np.zeros((1024, 3), dtype=np.int64)  # all zero: a free row
+        self.at: dict[tuple[int, ...], int] = {}
+        self.runs: dict[int, list[tuple[int, int]]] = {}
+        self.free = list(range(1024))
+
+    def add(self, left: tuple[int, ...], first: int, number: int) -> None:
+        row = self.at.get(left)
+        if row is None:
+            if not self.free:
+                self.free = list(range(len(self.left), 2 * len(self.left)))
+                self.left = np.vstack([self.left, np.zeros_like(self.left)])
+            row = self.at[left] = self.free.pop()
+            self.left[row], self.runs[row] = left, []
+        self.runs[row].append((first, number))
+
+    def take(self, row: int) -> tuple[tuple[int, ...], int, int]:
+        """The last run of a row: residual vector, first bin, number."""
+        left = tuple(self.left[row].tolist())
+        first, number = self.runs[row].pop()
+        if not self.runs[row]:
+            del self.at[left], self.runs[row]
+            self.left[row] = 0
+            self.free.append(row)
+        return left, first, number
+
+    def fitting(self, vector: np.ndarray, score) -> np.ndarray:
+        """Rows that hold the vector, best score first, ties to the smaller residual vector."""
+        rows = np.flatnonzero((self.left >= vector).all(axis=1))
+        left = self.left[rows]
+        return rows[np.lexsort((left[:, 2], left[:, 1], left[:, 0], score(left)))]
 
 
 def plan(counts: dict[int, int], capacity: Capacity) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Best fit, longest first, over ``length -> count``.
+    """Vector best fit, longest first, over ``length -> count``.
 
     Returns rows ``(length, first rank, number, first bin, pieces per bin, offset)``
     and the number of bins: piece ``first rank + i`` goes to bin ``first bin + i // per``
-    at ``offset + i % per * length``.  Open bins of one residual form one class.  Under
-    the norm rule a bin that got a piece is the best for the next equal one, so it takes
-    as many as fit; under the dot rule every bin of the class gets one before that.
+    at ``offset + i % per * length``.  Open bins of one residual vector form one class, and
+    all three parts of the vector decide between classes, binding or not.  Under the norm
+    rule a bin that got a piece has a smaller residual in every part, so it is the best for
+    the next equal piece too: it takes as many as fit, and the order of the other classes
+    stays.  Under the dot rule every bin of a class gets one piece before the classes are
+    compared again.
     """
     limits = capacity.limits()
-    norm = [(capacity.weights[k], float(limit)) for k, limit in limits]
-    open_bins: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+    weights = np.array(capacity.weights)
+    bins_open = _OpenBins()
+    least = min(counts, default=0)
     rows: list[tuple[int, int, int, int, int, int]] = []
     bins = 0
     for length in sorted(counts, reverse=True):
-        vector = [(length, 1, length * length)[k] for k, _ in limits]
-        if any(v > limit for v, (_, limit) in zip(vector, limits, strict=True)):
+        vector = np.array([length, 1, length * length], dtype=np.int64)
+        if (vector > limits).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
+        parts = tuple(vector.tolist())
         left, rank = counts[length], 0
 
-        def score(state: tuple[int, ...], vector=vector) -> float:
+        def score(states: np.ndarray, vector=vector) -> np.ndarray:
             if capacity.rule == "dot":
-                return -sum(w * (v / c) * (r / c) for (w, c), v, r in zip(norm, vector, state, strict=True))
-            return sum(w * ((r - v) / c) ** 2 for (w, c), v, r in zip(norm, vector, state, strict=True))
+                return -((vector / limits) * (states / limits)) @ weights
+            return (((states - vector) / limits) ** 2) @ weights
 
-        while left:
-            fitting = [s for s in open_bins if all(r >= v for r, v in zip(s, vector, strict=True))]
-            if fitting:
-                state = min(fitting, key=lambda s: (score(s), s))
-                first, number = open_bins[state].pop()
-                per = min(r // v for r, v in zip(state, vector, strict=True)) if capacity.rule == "norm" else 1
-            else:
-                state = tuple(limit for _, limit in limits)
-                per = min(r // v for r, v in zip(state, vector, strict=True))
-                first, number = bins, -(-left // per)
-                bins += number
+        def fill(state: tuple[int, ...], first: int, number: int, per: int, parts=parts, length=length) -> None:
+            """Put the next pieces into a run of bins; what is not used stays open."""
+            nonlocal left, rank
             whole = min(number, left // per)
             rest = 1 if whole < number and left - whole * per > 0 else 0
             for n_bins, each, start in ((whole, per, first), (rest, left - whole * per, first + whole)):
-                if n_bins and each:
+                if n_bins:
                     taken = n_bins * each
                     rows.append((length, rank, taken, start, each, capacity.tokens - state[0]))
                     rank, left = rank + taken, left - taken
-                    after = tuple(r - each * v for r, v in zip(state, vector, strict=True))
-                    if all(after):
-                        open_bins.setdefault(after, []).append((start, n_bins))
-            unused = number - whole - rest
-            if unused:
-                open_bins.setdefault(state, []).append((first + whole + rest, unused))
-            if state in open_bins and not open_bins[state]:
-                del open_bins[state]
+                    after = tuple(r - each * v for r, v in zip(state, parts, strict=True))
+                    if after[0] >= least and after[1] and after[2] >= least * least:  # something may still fit
+                        bins_open.add(after, start, n_bins)
+            if number - whole - rest:
+                bins_open.add(state, first + whole + rest, number - whole - rest)
+
+        def per_bin(state: tuple[int, ...], parts=parts) -> int:
+            return min(r // v for r, v in zip(state, parts, strict=True))
+
+        while left:
+            order = bins_open.fitting(vector, score)
+            if not len(order):
+                state = tuple(limits.tolist())
+                per = per_bin(state)
+                first, number = bins, -(-left // per)
+                bins += number
+                fill(state, first, number, per)
+            for row in order.tolist() if capacity.rule == "norm" else order[:1].tolist():
+                for _ in range(len(bins_open.runs[row]) if capacity.rule == "norm" else 1):
+                    if left:
+                        state, first, number = bins_open.take(row)
+                        fill(state, first, number, per_bin(state) if capacity.rule == "norm" else 1)
     return rows, bins
 
 
@@ -222,7 +268,13 @@ def place(pieces: DataFrame, keys: list[str], capacity: Capacity | None = None)
 
 def pack(docs: DataFrame, path: str, capacity: Capacity | None = None, end_id: int = 2, id_col: str = "doc_id",
          text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and place all documents; see ``tokenize`` and ``place``."""
+    """Tokenise, cut and place all documents; see ``tokenize`` and ``place``.
+
+    NULL and empty texts give the piece of their end id; very long texts are cut into full
+    pieces after a first one that may be shorter; pieces of equal length are placed in the
+    order of id, piece and checksum, repeated rows are interchangeable; an empty table gives
+    an empty result; other columns are ignored, whatever their names.
+    """
     capacity = capacity or Capacity()
     limit = min([capacity.tokens] + ([math.isqrt(capacity.attention)] if capacity.attention is not None else []))
     pieces = materialize(tokenize(docs, path, limit, end_id, id_col, text_col, keep_ids), "pieces")

@@ -277,6 +277,42 @@ def test_plan_equals_best_fit_one_at_a_time():
     assert packing.plan(counts, packing.Capacity(100))[1] == len(free)
 
 
+@pytest.mark.parametrize(("documents", "attention"), [(None, None), (3, None), (None, 4_000), (4, 3_600)])
+def test_plan_equals_vector_best_fit_one_at_a_time(documents, attention):
+    """Each piece goes to the bin with the smallest residual norm over all three parts, limited or not."""
+    rng = random.Random(11)
+    counts = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 60), 30)}
+    limits = (100, documents or 100, attention or 10_000)
+    free, content = [], []
+    for n in sorted(counts, reverse=True):
+        v = (n, 1, n * n)
+        for _ in range(counts[n]):
+            fit = [(sum(((r - x) / c) ** 2 for r, x, c in zip(left, v, limits)), left, i)
+                   for i, left in enumerate(free) if all(r >= x for r, x in zip(left, v))]
+            if not fit:
+                free.append(limits)
+                content.append([])
+            i = min(fit)[2] if fit else len(free) - 1
+            free[i] = tuple(r - x for r, x in zip(free[i], v))
+            content[i].append(n)
+    steps, bins = packing.plan(counts, packing.Capacity(100, documents, attention))
+    own = [[] for _ in range(bins)]
+    for length, _, number, first, per, _ in steps:
+        for i in range(number):
+            own[first + i // per].append(length)
+    assert sorted(map(sorted, own)) == sorted(map(sorted, content))
+
+
+def test_plan_needs_hardly_more_sequences_than_by_tokens_alone():
+    rng = random.Random(12)
+    counts = {n: rng.randrange(1, 60) for n in range(1, 1025)}
+    by_tokens = packing.plan(counts, packing.Capacity(weights=(1.0, 0.0, 0.0)))[1]
+    steps, bins = packing.plan(counts, packing.Capacity())
+    assert bins <= by_tokens * 1.001
+    more, _ = packing.plan({n: 1000 * c for n, c in counts.items()}, packing.Capacity())
+    assert len(more) < 2 * len(steps)  # the plan does not grow with the table
+
+
 def test_packing_edge_cases(spark, edge):
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     found = packing.pack(edge, path)
