@@ -32,8 +32,8 @@ TRAIN_ROWS = 3000
 #: Part of them that only fits the document score.
 CALIBRATION = 0.35
 ROUNDS = 40
-#: A sentence of more words is several chains.
-CHAIN = 256
+#: Chains that are walked together as arrays; fewer are walked one by one.
+TOGETHER = 8
 THRESHOLD = 0.7
 #: A token is an offending one from this marginal on.
 SPAN = 0.5
@@ -77,17 +77,14 @@ def tokens(text: str | None) -> list[str]:
 
 
 def chains(is_end: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """Lengths of the chains of the words, from flags of sentence ends and document numbers per token."""
+    """Lengths of the chains of the words, from flags of sentence ends and document numbers per token.
+
+    A chain is a whole sentence, however long."""
     words = np.flatnonzero(~is_end)
     sentence = np.cumsum(is_end)[words]
     new = np.ones(len(words), dtype=bool)
     new[1:] = (np.diff(sentence) > 0) | (np.diff(document[words]) > 0)
-    start = np.flatnonzero(new)
-    lengths = np.diff(np.append(start, len(words)))
-    parts = -(-lengths // CHAIN)
-    out = np.full(int(parts.sum()), CHAIN, dtype=np.int64)
-    out[np.cumsum(parts) - 1] = lengths - (parts - 1) * CHAIN
-    return out
+    return np.diff(np.append(np.flatnonzero(new), len(words)))
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np.ndarray,
@@ -95,27 +92,40 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, step
     """Probability of state 1 at each token, and (if wanted) the chains' expected transition counts.
 
     ``emission`` holds the score of state 1 over state 0, chain after chain; all chains
-    advance together, longest first.
+    advance together, longest first, and the last few long ones alone.
     """
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")  # chains longer than t
+    joint = int(sizes[min(TOGETHER, len(sizes)) - 1]) if len(sizes) else 0  # up to here that many chains go on
+    active = np.searchsorted(-sizes, -np.arange(1, joint + 1), side="right")  # chains longer than t
     # One odds ratio per token carries the two normalised states.
     (m00, m01), (m10, m11) = np.exp(step).tolist()
     odds = np.exp(np.clip(emission, -40, 40))
     forward = np.empty_like(odds)  # state 1 over state 0 given the tokens so far
     backward = np.ones_like(odds)
-    at = first
-    for t in range(longest):
+    for t in range(joint):
         at = first[:active[t]] + t
         if t == 0:
             forward[at] = odds[at] * math.exp(start[1] - start[0])
         else:
             r = forward[at - 1]
             forward[at] = odds[at] * (m01 + r * m11) / (m00 + r * m10)
-    for t in range(longest - 2, -1, -1):
+    for f, n in zip(first[:TOGETHER].tolist(), sizes[:TOGETHER].tolist(), strict=True):
+        if n <= joint:
+            break
+        tail = odds[f + joint:f + n].tolist()
+        r, ahead = forward[f + joint - 1], []
+        for o in tail:
+            r = o * (m01 + r * m11) / (m00 + r * m10)
+            ahead.append(r)
+        forward[f + joint:f + n] = ahead
+        r, behind = 1.0, []
+        for o in reversed(tail):
+            r = (m10 + o * r * m11) / (m00 + o * r * m01)
+            behind.append(r)
+        backward[f + joint - 1:f + n - 1] = behind[::-1]
+    for t in range(joint - 2, -1, -1):
         at = first[:active[t + 1]] + t
         r = odds[at + 1] * backward[at + 1]
         backward[at] = (m10 + r * m11) / (m00 + r * m01)
@@ -123,7 +133,9 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, step
     p = both / (1 + both)
     if not moves:
         return p, None
-    inner = np.concatenate([first[:active[t + 1]] + t for t in range(longest - 1)]) if longest > 1 else np.empty(0, dtype=int)
+    inner = np.ones(len(odds), dtype=bool)  # tokens with another one of their chain after them
+    inner[first + sizes - 1] = False
+    inner = np.flatnonzero(inner)
     f, r = forward[inner], odds[inner + 1] * backward[inner + 1]
     pair = np.stack([np.full_like(f, m00), m01 * r, m10 * f, m11 * f * r], axis=1).reshape(-1, 2, 2)
     pair /= pair.sum(axis=(1, 2), keepdims=True)
@@ -286,20 +298,32 @@ SPANS = "array<struct<start:int,end:int,probability:double>>"
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
 
+def _original(text: str) -> list[int] | None:
+    """Place in the text of each character of its lower-cased form; none where both have the same length."""
+    if len(text.lower()) == len(text):
+        return None
+    return [i for i, c in enumerate(text) for _ in c.lower()]
+
+
 def offending(text: str | None, p: np.ndarray) -> list[dict]:
-    """Character offsets of the words whose marginal reaches ``SPAN`` (in the lower-cased text where that is longer)."""
+    """Character offsets, in the text itself, of the words whose marginal reaches ``SPAN``."""
     hot = np.flatnonzero(p >= SPAN)
     if not len(hot):
         return []
     places = [m.span() for m in _WORD.finditer(text.lower())]
-    return [{"start": places[i][0], "end": places[i][1], "probability": float(p[i])} for i in hot]
+    at = _original(text)
+    spans = [places[i] if at is None else (at[places[i][0]], at[places[i][1] - 1] + 1) for i in hot]
+    return [{"start": a, "end": b, "probability": float(p[i])} for (a, b), i in zip(spans, hot, strict=True)]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted, spans``: spans are the offending words' character offsets.
 
-    The whole text is read.  NULL and empty texts get the score of a text without words
-    and no span.  Rows keep their (possibly NULL or repeated) id.
+    The whole text is read; a sentence is one chain however long, so a text without a sentence
+    end costs time in proportion to its length.  NULL and empty texts get the score of a
+    text without words and no span.  Rows keep their (possibly NULL or repeated) id, equal
+    texts get equal scores, an empty table gives an empty result.  Offsets are those of the
+    text itself, also where lower case is longer.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 500)

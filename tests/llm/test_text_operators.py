@@ -198,6 +198,43 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p, want) and np.allclose(moves, pair)
 
 
+def test_marginals_of_long_chains_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 900, 3, 400, 1, 60, 2000, 7, 7, 7, 7, 7, 7])
+    start, step, e = rng.normal(size=2), rng.normal(size=(2, 2)), rng.normal(size=int(lengths.sum())) * 2
+    p, moves = toxicity.marginals(e, lengths, start, step)
+    want, pair, at = [], np.zeros((2, 2)), 0
+    for n in lengths:
+        emit = np.stack([np.ones(n), np.exp(e[at:at + n])], axis=1)
+        a, b = np.zeros((n, 2)), np.ones((n, 2))
+        a[0] = np.exp(start) * emit[0]
+        a[0] /= a[0].sum()
+        for t in range(1, n):
+            a[t] = (a[t - 1] @ np.exp(step)) * emit[t]
+            a[t] /= a[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = np.exp(step) @ (emit[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        want += (a * b / (a * b).sum(axis=1, keepdims=True))[:, 1].tolist()
+        for t in range(n - 1):
+            x = a[t][:, None] * np.exp(step) * (emit[t + 1] * b[t + 1])[None, :]
+            pair += x / x.sum()
+        at += n
+    assert np.allclose(p, want) and np.allclose(moves, pair)
+
+
+def test_a_sentence_is_one_chain_however_long():
+    end = np.array([False] * 5000 + [True] + [False] * 3 + [True, True] + [False] * 2)
+    assert toxicity.chains(end, np.zeros(len(end), dtype=np.int64)).tolist() == [5000, 3, 2]
+
+
+@pytest.mark.parametrize("text", ["\u0130\u0130\u0130 idiot", "STRASSE \u03a3\u03a3 Idiot \u0130 IDIOT", "an idiot"])
+def test_offsets_are_those_of_the_text_itself(text):
+    found = toxicity.tokens(text)
+    p = np.array([float(w == "idiot") for w in found if w not in ".!?\n"])
+    assert [(s["start"], s["end"]) for s in toxicity.offending(text, p)] == [m.span() for m in re.finditer("(?i)idiot", text)]
+
+
 def test_toxicity_edge_cases(spark, edge):
     nobody = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.score(edge, toxicity.fit(edge, nobody))
