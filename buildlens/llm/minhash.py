@@ -15,10 +15,15 @@ Lists are linked in steps, so that a group of copies never yields all its pairs:
    lists' smallest members): a star per list;
 2. each component that meets another in a list, through one member, against the list's
    most frequent component;
-3. all pairs that remain between classes of different components, compared inside the
-   join by odd sketches of their sets (Mitzenmacher et al., 2014): the bits in which two
-   sketches differ never outnumber the shingles in which the sets differ, so this drops
-   no link and leaves hardly a pair that is none.
+3. all pairs that remain between classes of different components.  Pages that share a
+   template but link with nothing make long lists here, so the classes of contested lists
+   meet under their rarest shingles instead (prefix filter, Xiao et al., 2008): of two
+   similar sets the larger one has one of the smaller one's rarest seventh among its own
+   rarest quarter.  Shingles of one component only come first in that order and are not
+   posted, so pages that differ in more than a seventh of their own text post nothing in
+   common.  What meets is compared inside the join by the places of the shingle and by odd
+   sketches of the sets (Mitzenmacher et al., 2014): the bits in which two sketches differ
+   never outnumber the shingles in which the sets differ.  Both drop no link.
 
 Every link is confirmed on the full sets.  A pair left out in step 3 joins classes that
 are already linked, so the components are those of all links.
@@ -235,28 +240,77 @@ def bridge_pairs(lists: DataFrame) -> DataFrame:
             .select(F.least("m.doc_id", "hub.doc_id").alias("a"), F.greatest("m.doc_id", "hub.doc_id").alias("b")).distinct())
 
 
-def rest_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 3: all pairs of different components that share a list and may be similar enough.
+RARE = "doc_id long, component_id long, version long, n long, hashes array<long>, sketch array<long>"
 
-    Members outside a list's largest component meet all of the list, so the join looks at
-    about as many rows as there are such pairs.  Sets with Jaccard 0.75 differ in at most a
-    seventh of their sizes' sum.  A pair is written for its smallest common list only.
+
+def rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc_id, component_id, n, sketch, key, place, short``: the prefix postings of ``members`` (``doc_id, component_id``).
+
+    ``place`` counts a set's shingles by rising frequency, those of one component first; the
+    first quarter (what a set of any size needs) is posted where another component has the
+    shingle, ``short`` marks the seventh that suffices against sets of the same size or more.
+    Versions of an id are sets of their own.
+    """
+    arrow_batches(members.sparkSession, 200)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            if len(words) > 1_000_000:
+                words.clear()
+            sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("component_id"),
+                pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([_odd_sketch(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "component_id", "version", "n", "hashes", "sketch"])
+
+    sets = materialize(members.join(texts, "doc_id").select("doc_id", "component_id", "text").mapInArrow(run, RARE), "minhash-sets")
+    rows = sets.select("doc_id", "component_id", "version", "n", F.explode("hashes").alias("key"))
+    shared = (rows.groupBy("key").agg(F.count("*").alias("times"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
+              .where("lo <> hi").select("key", "times"))
+    mine = (rows.join(shared, "key").groupBy("doc_id", "version", "n")  # at most a document's own shingles
+            .agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("found")))
+    alone = F.col("n") - F.size("found")
+    least = F.ceil(F.col("n") * PERCENT / F.lit(100))
+    prefix = F.slice("found", 1, F.greatest(F.lit(0), F.col("n") - least + 1 - alone).cast("int"))
+    posted = mine.select("doc_id", "version", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "p"))
+    even = F.ceil(F.col("n") * (2 * PERCENT) / F.lit(100 + PERCENT))
+    place = F.col("alone") + F.col("at")
+    return (posted.select("doc_id", "version", F.col("p.key").alias("key"), place.alias("place"), (place < F.col("n") - even + 1).alias("short"))
+            .join(sets.drop("hashes"), ["doc_id", "version"]).drop("version"))
+
+
+def rest_pairs(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """Step 3: all pairs of different components that share a contested list and may be similar enough.
+
+    In a list of a shingle, members outside its largest component meet all of it, the
+    others only those.  Sets with Jaccard 0.75 differ in at most a seventh of their sizes'
+    sum, and share six sevenths of its half, of which none comes before the first common
+    place.
     """
-    per = lists.groupBy("key", "component_id").agg(F.count("*").alias("n"))
-    major = (per.groupBy("key").agg(F.max_by("component_id", F.struct("n", -F.col("component_id"))).alias("major"), F.count("*").alias("parts"))
-             .where("parts > 1").drop("parts"))
-    contested = materialize(lists.join(major, "key"), "minhash-contested")
-    own = contested.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most the prefix
-    rows = materialize(contested.join(own, "doc_id").join(classes.select(
-        "doc_id", *[F.coalesce(F.get("sketch", F.lit(i)), F.lit(0)).alias(f"s{i}") for i in range(SKETCH)]), "doc_id"), "minhash-lists")
-    minor = rows.where("component_id <> major").select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
+    several = lists.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key")
+    members = lists.join(several, "key", "left_semi").select("doc_id", "component_id").distinct()
+    posted = materialize(rare_shingles(members, texts), "minhash-rare")
+    per = posted.groupBy("key", "component_id").agg(F.count("*").alias("m"), F.max(F.col("short").cast("int")).alias("short"))
+    major = (per.groupBy("key").agg(F.max_by("component_id", F.struct("m", -F.col("component_id"))).alias("major"), F.count("*").alias("parts"),
+                                    F.max("short").alias("some")).where("parts > 1 AND some = 1").select("key", "major"))
+    rows = posted.join(major, "key").select(
+        "key", "doc_id", "component_id", "n", "place", "short", (F.col("component_id") != F.col("major")).alias("minor"),
+        *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)])
+    rows = materialize(rows, "minhash-lists")
+    large = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
     differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"x_s{i}"))) for i in range(SKETCH)), F.lit(0))
-    once = (F.col("component_id") == F.col("major")) | (F.col("x_doc_id") < F.col("doc_id"))
-    near = differ * (200 - (100 - PERCENT)) <= (F.col("n_shingles") + F.col("x_n_shingles")) * (100 - PERCENT)
-    least = F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key")
-    return (minor.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component_id") != F.col("component_id")) & once
-                       & _similar_sizes(F.col("n_shingles"), F.col("x_n_shingles")) & near & least)
-            .select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct())
+    total = F.col("n") + F.col("x_n")
+    near = differ * (200 - (100 - PERCENT)) <= total * (100 - PERCENT)
+    enough = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place")) * (100 + PERCENT) >= total * PERCENT
+    smaller = (F.col("n") < F.col("x_n")) | ((F.col("n") == F.col("x_n")) & (F.col("doc_id") < F.col("x_doc_id")))
+    meets = ((F.col("key") == F.col("x_key")) & (F.col("component_id") != F.col("x_component_id")) & smaller
+             & _similar_sizes(F.col("n"), F.col("x_n")) & enough & near)
+    met = (rows.where("short AND minor").join(large, meets).select("doc_id", "x_doc_id")
+           .unionByName(rows.where("short AND NOT minor").join(large.where("x_minor"), meets).select("doc_id", "x_doc_id")))
+    return met.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +320,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``set_size`` counts the rows with the same set.  NULL and empty texts have no set and
     link with nothing.  Rows that share an id are versions of one document and always
     linked; rows without id take no part in links and come back with a NULL component,
-    kept.  An empty table gives an empty result.
+    kept.  Whole texts are read, however long; equal sets are one class whatever their order
+    of rows; other columns are ignored, whatever their names.  An empty table gives an empty
+    result.
     """
     rows = materialize(features(docs, id_col, text_col), "minhash-features")
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -281,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .join(listed, "doc_id", "left_semi").dropDuplicates(), "minhash-texts")
     edges = materialize(confirmed(matching(star_pairs(lists), classes), texts), "minhash-links")
     found = materialize(components(edges), "minhash-components")
-    for step in (bridge_pairs, lambda x: rest_pairs(x, classes)):
+    for step in (bridge_pairs, lambda x: rest_pairs(x, texts)):
         pairs = materialize(matching(step(_with_component(lists, found)), classes), "minhash-pairs")
         more = materialize(confirmed(pairs, texts), "minhash-links")
         if not more.isEmpty():

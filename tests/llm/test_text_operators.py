@@ -99,6 +99,33 @@ def test_near_duplicates_edge_cases(spark, edge):
     assert minhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_last_step_finds_every_similar_pair(spark):
+    rng = random.Random(21)
+    texts = []
+    for g in range(12):  # groups around the threshold, sizes apart, and a passage that all share
+        base = [f"w{rng.randrange(90)}" for _ in range(rng.randrange(4, 120))]
+        for _ in range(12):
+            cut = rng.randrange(len(base) + 1) if rng.random() < 0.3 else len(base)
+            words = [w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in base[:cut]]
+            texts.append((len(texts), " ".join((["shared"] * 3 + ["passage", "of", "all"]) * (g % 2) + words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    words = minhash._Words()
+    sets = [set(minhash.shingle_hashes(t, words).tolist()) for _, t in texts]
+    lists = df.select(F.lit(1).alias("key"), "doc_id", (F.col("doc_id") % 70).alias("component_id"))
+    found = {(r["a"], r["b"]) for r in minhash.rest_pairs(lists, df).collect()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
+            if sets[a] and a % 70 != b % 70 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and want <= found
+
+
+def test_pages_of_one_template_without_links_post_nothing(spark):
+    common = " ".join(f"menu{k}" for k in range(134))
+    own = F.concat_ws(" ", *[F.concat(F.lit("own"), F.col("id"), F.lit(f"_{k}")) for k in range(46)])
+    pages = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(common), own).alias("text"))
+    posted = minhash.rare_shingles(pages.select("doc_id", F.col("doc_id").alias("component_id")), pages)
+    assert posted.count() == 0
+
+
 def test_odd_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
