@@ -52,6 +52,62 @@ def test_licences(spark, edge):
              for r in licenses.scan(df, licenses.fit(df)).collect()}
     assert found == {1: [("MIT", 1, notice)], 2: [], 3: [("Apache-2.0", 3, texts[2][1])]}
     assert ids(licenses.scan(edge, licenses.fit(edge))) == WANT_IDS
+    assert licenses.scan(edge.limit(0), licenses.fit(edge.limit(0))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def licence_model(docs):
+    return licenses.fit(docs)
+
+
+def notices(model, text):
+    return [(r[3], text[r[1]:r[2]]) for r in model.scan(text, licenses._Codes()) if r[6]]
+
+
+@pytest.mark.parametrize("around", [0, 3, 200, 1000, 40_000])
+def test_licence_inside_long_lines(licence_model, docs, around):
+    prose = " ".join(r["text"].replace("\n", " ") for r in docs.where("length(text) BETWEEN 200 AND 4000").orderBy("doc_id").limit(60).collect()
+                     if not notices(licence_model, r["text"])).split()
+    before, after = ((prose * 20)[:around], (prose[::-1] * 20)[:around])
+    for family, notice in (("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "This project is licensed under the terms of the MIT license."),
+                           ("CC-BY-ND", "Licensed under CC BY-ND 4.0.")):
+        assert notices(licence_model, " ".join([*before, notice, *after])) == [(family, notice)]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", ["Apache-2.0", "MIT"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL"]),
+    ("GNU Affero General Public License, version 3", ["AGPL"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL"]),
+    ("GNU General Public License, version 3", ["GPL"]),
+    ("This work is licensed under a Creative Commons Attribution BY-NC-ShareAlike 4.0 International License.", []),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA"]),
+    ("This project is not licensed under the terms of the MIT license.", []),
+    ("We do not mind. This project is licensed under the terms of the MIT license.", ["MIT"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", ["ISC"]),
+    ("MIT is a university. All rights are good.", []), ("She read the GNU General Public License in bed.", []), ("the " * 500, []), ("", []), (None, []),
+])
+def test_licence_families_are_told_apart(licence_model, text, want):
+    assert [f for f, _ in notices(licence_model, text or "")] == want
+    assert text is not None or licence_model.scan(None, licenses._Codes()) == []
+
+
+def test_licence_templates_are_found(licence_model):
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert {f for f, _ in notices(licence_model, text)} == {family}, text
+
+
+def test_licence_windows_cover_every_word(licence_model):
+    sizes = [1, 8, 9, 16, 17, 24, 25, 100, 16_384, 65_537]
+    owner, first, p = licence_model.windows([["word"] * n for n in sizes], licenses._Codes())
+    for i, n in enumerate(sizes):
+        at = first[owner == i].tolist()
+        assert at == list(range(0, max(1, -(-n // licenses.STRIDE) - 1) * licenses.STRIDE, licenses.STRIDE))
+        assert at[-1] + 2 * licenses.STRIDE >= n
+    assert np.allclose(p.sum(axis=1), 1)
+    one = licence_model.windows([["word"] * 16], licenses._Codes())[2]
+    assert np.allclose(p[(owner == 3)], one)
 
 
 # ---- 2 near-duplicates
