@@ -21,6 +21,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -149,12 +150,16 @@ FLOOR = 0.02
 #: Words of a text whose weights are summed at once.
 SLICE = 1 << 16
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-_LOWER = {c: c + 32 for c in range(65, 91)}  # keeps every offset
 _NEGATIONS = {"not", "never", "isn", "aren", "wasn", "cannot", "neither", "nor", "no", "without", "longer"}
 
 
+def _lower(text: str) -> str:
+    """Lower case that keeps every offset: only the dotted capital I would become two characters."""
+    return text.replace("\u0130", "i").lower()
+
+
 def words(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.translate(_LOWER))
+    return _WORD.findall(_lower(paragraph))
 
 
 class _Codes(dict):
@@ -173,7 +178,7 @@ def _grams(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _ngrams(tokens: list[str], n: int) -> list[tuple[str, ...]]:
-    return [tuple(tokens[i:i + n]) for i in range(len(tokens) - n + 1)]
+    return list(zip(*(tokens[i:] for i in range(n))))
 
 
 class _Templates:
@@ -189,6 +194,7 @@ class _Templates:
         for k, grams in enumerate(self.grams):
             for g in grams:
                 self.holders.setdefault(g, []).append(k)
+        self.held = frozenset(self.holders)
         self.alone = [{g for g in grams if len({self.family[j] for j in self.holders[g]}) == 1} for grams in self.grams]
 
     def share(self, tokens: list[str]) -> float:
@@ -212,7 +218,10 @@ class _Templates:
         """
         hits: dict[int, list[tuple[int, tuple]]] = {}
         for n in (2, 3):
-            for at, g in enumerate(_ngrams(tokens, n)):
+            own = _ngrams(tokens, n)
+            if self.held.isdisjoint(own):
+                continue
+            for at, g in enumerate(own):
                 for k in self.holders.get(g, ()):
                     hits.setdefault(k, []).append((at, g))
         out = []
@@ -263,21 +272,22 @@ class Model:
         """(paragraph, first word in it) of every window of the paragraphs, none of them empty, and its probabilities."""
         sizes = np.array([len(t) for t in tokens])
         starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((codes[w] for t in tokens for w in t), dtype=np.uint32, count=int(sizes.sum()))
+        flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(tokens)), dtype=np.uint32, count=int(sizes.sum()))
         one, two = _grams(flat, starts)
         blocks = -(-sizes // STRIDE)
         owner = np.repeat(np.arange(len(sizes)), blocks)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = starts[owner] + number * STRIDE
-        total = np.zeros((len(owner) + 1, len(self.bias)))
+        total = np.zeros((len(owner) + 1, len(self.bias)), dtype=np.float32)
         length = np.append(np.diff(np.append(begin, len(flat))), 0)
         for lo in range(0, len(owner), SLICE // STRIDE):
             some = begin[lo:lo + SLICE // STRIDE]
             end = begin[lo + len(some)] if lo + len(some) < len(owner) else len(flat)
-            total[lo:lo + len(some)] = np.add.reduceat(self.weight[one[some[0]:end]] + self.weight[two[some[0]:end]], some - some[0], axis=0)
-        follows = np.append(owner[1:] == owner[:-1], False)
-        use = np.flatnonzero(follows | (number == 0))  # a last block alone is part of the window before it
-        second = np.where(follows[use], use + 1, len(owner))
+            value = np.take(self.weight, one[some[0]:end], axis=0)
+            value += np.take(self.weight, two[some[0]:end], axis=0)
+            total[lo:lo + len(some)] = np.add.reduceat(value, some - some[0], axis=0)
+        use = np.flatnonzero(np.append(owner[1:] == owner[:-1], False) | (number == 0))  # a last block alone is part of the window before it
+        second = np.where(blocks[owner[use]] > number[use] + 1, use + 1, len(owner))
         size = length[use] + length[second]
         return owner[use], number[use] * STRIDE, _softmax(((total[use] + total[second]) / np.sqrt(2 * size)[:, None] + self.bias) / self.temperature)
 
@@ -303,12 +313,15 @@ class Model:
             i = full[owner[group[0]]]
             paragraph, base = paragraphs[i], int(begins[i])
             lo, hi = max(0, first[group[0]] - AROUND), min(len(tokens[i]), first[group[-1]] + 2 * STRIDE + AROUND)
-            spans = [m.span() for m in _WORD.finditer(paragraph.translate(_LOWER))][lo:hi]
             some = tokens[i][lo:hi]
             chance = p[group, :-1].max(axis=0)
             best = int(chance.argmax())
             taken: list[tuple[int, int]] = []
             any_found, places = False, _KNOWN.notices(some)
+            predicted = p[group].argmax(axis=1).min() < len(self.families) - 1  # some family beats unknown
+            if not predicted and not any(r[5] for r in places):
+                continue
+            spans = [m.span() for m in _WORD.finditer(_lower(paragraph))][lo:hi]
             for _, a, b, family, likeness, enough in places:
                 if not enough or any(min(b, d) > max(a, c) for c, d in taken):
                     continue
@@ -321,7 +334,7 @@ class Model:
                     stop += 1
                 out.append((i, base + spans[a][0], base + stop, family, float(chance[k]), likeness, True))
                 any_found = True
-            if not any_found and p[group].argmax(axis=1).min() < len(self.families) - 1:  # some family beats unknown
+            if not any_found and predicted:
                 family = self.families[best]
                 alike = max((r[4] for r in places if r[3] == family), default=0.0)
                 out.append((i, base + spans[0][0], base + spans[-1][1], family, float(chance[best]), alike, False))
@@ -366,8 +379,8 @@ def fit_rows(paragraphs: list[str]) -> Model:
     owner = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
     flat = np.concatenate(grams)
     scale = 1 / np.sqrt(np.array([len(g) for g in grams]))
-    value = scale[owner]
-    weight, bias = np.zeros((BUCKETS, len(families))), np.zeros(len(families))
+    value = scale[owner].astype(np.float32)
+    weight, bias = np.zeros((BUCKETS, len(families)), dtype=np.float32), np.zeros(len(families))
     bias[-1] = np.log(100.0 * (len(families) - 1))  # what holds no word of a notice is none, by 100 to 1
     history = np.full_like(weight, 1e-6)
     use = ~kept[owner]
@@ -384,6 +397,7 @@ def fit_rows(paragraphs: list[str]) -> Model:
 
     for _ in range(ROUNDS):  # only buckets that occur have a slope
         slope = (_softmax(logits()) - target) * np.sqrt(balance[y])[:, None] * ~kept[:, None]
+        slope = slope.astype(np.float32)
         grad = np.add.reduceat(slope[row] * share, first, axis=0) + 0.01 * weight[seen]
         history[seen] += grad ** 2
         weight[seen] -= 0.2 * grad / np.sqrt(history[seen])
