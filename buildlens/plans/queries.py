@@ -473,7 +473,7 @@ def template_entropy(spark, sf):
 
 @query
 def detect_steps(spark, sf):
-    steps = S.with_steps(view(spark, sf, "step_logs"))
+    steps = S.with_steps(view(spark, sf, "marked_logs"))
     return steps.select("build_id", F.posexplode("steps").alias("step_no", "s")).select(
         "build_id", "step_no", F.col("s.name").alias("name"), F.size("s.log_lines").alias("line_count"),
         F.md5(F.array_join("s.log_lines", "\n")).alias("lines_md5"))
@@ -481,13 +481,13 @@ def detect_steps(spark, sf):
 
 @query
 def event_distribution(spark, sf):
-    steps = S.with_steps(view(spark, sf, "step_logs"))
+    steps = S.with_steps(view(spark, sf, "marked_logs"))
     return steps.select("build_id", F.explode(S.distribution_entries(F.col("steps"))).alias("e")).select("build_id", "e.name", "e.lines")
 
 
 @query
 def event_proportions(spark, sf):
-    steps = S.with_steps(view(spark, sf, "step_logs")).withColumn("event_distribution", S.event_distribution(F.col("steps")))
+    steps = S.with_steps(view(spark, sf, "marked_logs")).withColumn("event_distribution", S.event_distribution(F.col("steps")))
     return S.with_event_proportions(steps).select("build_id", *[f"event_{s}" for s in rules.STANDARD_STEPS])
 
 

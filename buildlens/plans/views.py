@@ -85,7 +85,7 @@ FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 """
 
 # Logs with step markers: sign-ups open a step; every seventh build has none.
-_STEP_LOGS = """
+_MARKED_LOGS = """
 SELECT build_no, build_id, repo_name, min(ts) AS created_at, max(ts) AS finished_at, max(value) * 4 AS duration_seconds,
        {lines_of(step_line, event_id)} AS raw_logs
 FROM (SELECT *, CASE WHEN event_type <> 'signup' OR build_no % 7 = 0 THEN line
@@ -94,9 +94,11 @@ FROM (SELECT *, CASE WHEN event_type <> 'signup' OR build_no % 7 = 0 THEN line
           WHEN 1 THEN concat('=== Step: ', CASE user_id % 3 WHEN 0 THEN 'run_tests' WHEN 1 THEN 'deploy' ELSE 'lint' END, ' ===')
           WHEN 2 THEN 'Running install_dependencies...'
           ELSE '  ❯ build_artifact' END END AS step_line
-      FROM {build_log_lines} WHERE build_no % 3 <> 1 OR event_id % 5 <> build_no % 4) m
+      FROM {build_log_lines}) m
 GROUP BY build_no, build_id, repo_name
 """
+# The same with lines left out of every third build: input of the features over steps.
+_STEP_LOGS = _MARKED_LOGS.replace("{build_log_lines}) m", "{build_log_lines} WHERE build_no % 3 <> 1 OR event_id % 5 <> build_no % 4) m")
 
 # One log file per build and event type, as a run's unpacked log archive holds them.
 _LOG_FILES = """
@@ -217,6 +219,7 @@ VIEWS = {
     "build_results": _BUILD_RESULTS,
     "feature_rows": _FEATURE_ROWS,
     "doc_logs": _DOC_LOGS,
+    "marked_logs": _MARKED_LOGS,
     "step_logs": _STEP_LOGS,
     "log_files": _LOG_FILES,
     "build_jobs": _BUILD_JOBS,

@@ -55,3 +55,17 @@ def test_closed_windows_are_part_of_the_series(spark):
     whole = {r["time"]: r["total_builds"] for r in G.bucketed(view(spark, SF, "build_results"), "1 hour").collect()}
     assert 0 < len(closed) <= len(whole)
     assert all(whole[t] == n for t, n in closed.items())
+
+
+@needs_data
+def test_steps_are_found_in_every_line_of_a_build(spark, con):
+    lines = view(spark, SF, "events").count()
+    logs = view(spark, SF, "marked_logs").selectExpr("sum(size(split(raw_logs, '\n', -1)))").first()[0]
+    assert logs == lines
+    builds = con.execute("SELECT count(DISTINCT event_id // 40) FROM events").fetchone()[0]
+    unmarked = {r["build_id"] for r in view(spark, SF, "marked_logs").filter("build_no % 7 = 0").collect()}
+    found = Q.detect_steps(spark, SF).collect()
+    assert len({r["build_id"] for r in found}) == builds
+    # A build without markers is one step with all its lines.
+    whole = sum(r["line_count"] for r in found if r["build_id"] in unmarked)
+    assert whole == con.execute("SELECT count(*) FROM events WHERE event_id // 40 % 7 = 0").fetchone()[0]
