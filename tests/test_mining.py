@@ -178,3 +178,27 @@ def test_unseen_and_empty_lines(spark):
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()[:12]
     assert got == {0: (md5("x y"), "x y", ["x", "y"]), 2: ("empty", "", []),
                    3: (md5("new thing <NUM>"), "new thing <NUM>", ["new", "thing", "<NUM>"])}
+
+
+def test_indexed_clusters_give_what_comparing_with_all_gives(monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["<*>"] * 4
+    sequences = [[rng.choice(words[:3 + 7 * (i + 1)]) for i in range(6)] for _ in range(3000)]
+    sequences += [[t if rng.random() < 0.7 else rng.choice(words) for t in rng.choice(sequences)] for _ in range(2000)] + [["<*>"] * 6]
+
+    def placed(indexed, threshold):
+        monkeypatch.setattr(D, "INDEXED", indexed)
+        leaf = D._Leaf(6)
+        return [leaf.place(str(i), s, threshold) for i, s in enumerate(sequences)], leaf.templates().values.tolist(), leaf.grid[:len(leaf.leaders)].tolist()
+
+    for threshold in (0.0, 0.4, 0.7):
+        assert placed(2, threshold) == placed(10 ** 9, threshold)
+
+
+def test_a_sequence_meets_few_of_many_unlike_clusters():
+    rng = random.Random(6)
+    leaf = D._Leaf(12)
+    for i in range(4000):
+        leaf.place(str(i), [f"w{rng.randrange(300)}" for _ in range(12)], 0.4)
+    assert len(leaf.leaders) > 3900
+    assert len(leaf._candidates(leaf.row([f"w{rng.randrange(300)}" for _ in range(12)]), 0.4)) < 40
