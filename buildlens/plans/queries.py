@@ -814,7 +814,8 @@ def stored_results_served(spark, sf):
     path = new_folder(spark, "served")
     results = X.explain(view(spark, sf, "scored_rows"), dict.fromkeys(rules.FEATURE_NAMES, 0.0), dict.fromkeys(rules.FEATURE_NAMES, 1.0))
     append_by_period(T.result_rows(results, F.col("created_at")), path, period="month")
-    stored = spark.read.parquet(path)
+    # The newest row of a build travels whole: only the columns that are served go along.
+    stored = spark.read.parquet(path).select("build_id", "created_at", "id", "is_anomaly", "anomaly_score", "prediction")
     return G.latest_result_by_build(stored).select(
         "build_id", "created_at", "is_anomaly", round_to("anomaly_score", 6).alias("anomaly_score"), "prediction")
 

@@ -19,7 +19,7 @@ from buildlens.operators.mining import (
 from buildlens.operators.normalize import normalize_build
 from buildlens.operators.serving import bucketed, partial_states
 from buildlens.sources import feature_tables as T
-from buildlens.sources.storage import materialize
+from buildlens.sources.storage import materialize, spread
 from buildlens.sources.webhooks import parse_bodies, quarantine
 
 
@@ -86,7 +86,8 @@ def feature_batches(spark: SparkSession, out: str, body: str = "body", duration_
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = (first_deliveries(batch, out, number) if once else batch).persist()
+        # A queue may hold few files: its messages are dealt out, as parsing them costs far more than moving them.
+        batch = spread(first_deliveries(batch, out, number) if once else batch).persist()
         builds = timed = None
         try:
             good, bad = quarantine(batch, body)
@@ -140,8 +141,16 @@ def drain(messages: DataFrame, handle: Callable[[DataFrame, int], None], out: st
     number = 0 if number is None else number + 1
     pending = messages.filter(F.col(key).isNotNull()).join(
         acknowledged.select("id").distinct(), F.col(key).cast("string") == F.col("id"), "left_anti").dropDuplicates([key])
-    batch = materialize(pending.orderBy(time, key).limit(limit), "drained")
-    waiting, taken = pending.count(), batch.count()
+    # Times and keys alone are put in order, in ranges; only the range with the last message to take is cut.
+    places = materialize(pending.select(time, key).repartitionByRange(time, key).withColumn("_range", F.spark_partition_id()), "pending")
+    waiting, chosen = 0, places.filter("false")
+    for part, size in sorted(places.groupBy("_range").count().collect()):
+        if waiting < limit:
+            own = places.filter(F.col("_range") == part)
+            chosen = places.filter(F.col("_range") < part).unionByName(own if waiting + size <= limit else own.orderBy(time, key).limit(limit - waiting))
+        waiting += size
+    batch = materialize(pending.join(chosen.select(key), key, "left_semi"), "drained")
+    taken = batch.count()
     if taken:
         handle(batch, number)
         batch.select(F.col(key).cast("string").alias("id")).write.mode("overwrite").parquet(f"{out}/acknowledged/batch={number}")

@@ -158,3 +158,21 @@ def test_mined_features_equal_a_restatement(spark):
         want = {b: (len(c), round(-sum(n / c.total() * math.log2(n / c.total()) for n in c.values()), 4) + 0.0) for b, c in counts.items()}
         rows = B.build_features_mined(builds, D.mined_measures(lines, assignment)).collect()
         assert {r["build_id"]: (r["unique_templates"], r["template_entropy"]) for r in rows} == {b: want.get(b, (0, 0.0)) for b, _ in logs}
+
+
+def test_a_queue_in_one_file_is_drained_in_order_by_many_tasks(spark, monkeypatch, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 11 == 0 else start + dt.timedelta(minutes=i * 7 % 40), "github", "{}") for i in range(200)]
+    messages = spark.createDataFrame(rows + rows[:20], "delivery_id long, received_at timestamp_ntz, provider string, body string").coalesce(1)
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or start, r[0]))]
+    out, got = str(tmp_path / "ordered"), []
+    for limit in (0, 63, 63, 1000, 5):
+        calls = []
+        done = J.drain(messages, lambda batch, number: calls.append({r["delivery_id"] for r in batch.collect()}), out, limit)
+        got.append((done, calls))
+    assert got == [((0, 200), []), ((63, 137), [set(order[:63])]), ((63, 74), [set(order[63:126])]), ((74, 0), [set(order[126:])]), ((0, 0), [])]
+    tasks = []
+    real = J.quarantine
+    monkeypatch.setattr(J, "quarantine", lambda batch, body: tasks.append(batch.rdd.getNumPartitions()) or real(batch, body))
+    J.feature_batches(spark, str(tmp_path / "dealt"))(messages, 0)
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
