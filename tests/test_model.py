@@ -68,6 +68,35 @@ def test_shuffled_features_are_permutations(rows):
         assert (out[n] != out[f"_s_{n}"]).mean() > 0.9
 
 
+def test_moved_values_score_as_rows_of_their_own(rows):
+    forest = M.fit_forests(rows, trees=20)[0]
+    x = rows.select(*N).toPandas().to_numpy()
+    moved = np.random.default_rng(4).permuted(x, axis=0)
+    got = forest.anomaly_with_moved(x, moved)
+    for i in range(len(N) + 1):
+        variant = x.copy()
+        if i:
+            variant[:, i - 1] = moved[:, i - 1]
+        assert (got[:, i] == forest.anomaly(variant)[:, 0]).all()
+
+
+def test_variants_are_scored_once(spark, rows, monkeypatch):
+    scored = spark.sparkContext.accumulator(0)
+    whole = M.score_moved
+
+    def counting(df, forest, moved):
+        @F.udf("string")
+        def seen(key):
+            scored.add(1)
+            return key
+        return whole(df.withColumn("build_id", seen("build_id")).filter("build_id IS NOT NULL"), forest, moved)
+
+    monkeypatch.setattr(M, "score_moved", counting)
+    out = E.permutation_importance(rows, trees=5).collect()
+    assert sorted(r["feature"] for r in out) == sorted(N)
+    assert scored.value == E.train_test_split(rows).filter("NOT is_train").count()
+
+
 def test_rule_override_keeps_the_prediction(spark, rows):
     model = M.train(rows, trees=10)
     hit = spark.createDataFrame([("x", *[100.0] * 8, 3.0, 2.0, 0.0, 0.0)], ["build_id", *N]) \
