@@ -41,6 +41,24 @@ def test_lof_equals_brute_force_with_copies(spark, cut):
         assert found[f"q{i}"]["prediction"] == (-1 if w > bound else 1)
 
 
+def test_neighbour_lists_are_written_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, queries = rng.normal(size=(400, 3)), rng.normal(size=(100, 3))
+    rows = lambda p, m: spark.createDataFrame([(f"{p}{i}", *map(float, r)) for i, r in enumerate(m)], ["build_id", *NAMES])
+    written = []
+    whole = K.materialize
+
+    def counting(df, name):
+        out = whole(df, name)
+        if "dist" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(K, "materialize", counting)
+    assert K.lof_novelty(rows("t", x), rows("q", queries), NAMES).count() == 100
+    assert written == [500 * 20]
+
+
 def test_weighted_percentiles(spark):
     import numpy as np
 
