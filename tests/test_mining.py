@@ -2,10 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from buildlens.functions import logtext as L
 from buildlens.functions import rules
 from buildlens.operators import mining as D
+from buildlens.plans.queries import QUERIES
 
 
 def sequential(lines, max_children):
@@ -202,3 +206,37 @@ def test_a_sequence_meets_few_of_many_unlike_clusters():
         leaf.place(str(i), [f"w{rng.randrange(300)}" for _ in range(12)], 0.4)
     assert len(leaf.leaders) > 3900
     assert len(leaf._candidates(leaf.row([f"w{rng.randrange(300)}" for _ in range(12)]), 0.4)) < 40
+
+
+def test_masking_by_line_equals_masking_of_whole_texts(spark):
+    hexes = ["deadbeef-cafe-babe-dead-beefcafebabe", "ABCDEFab" * 5, "abcdefab" * 8, "abcdefabcdef", "0xfe", "٣٤ x", "1.2.3.4", "v 1.2.3 b", "12:00:01",
+             "2024-01-02T03:04:05", "-7 z", "x9", "/a/b", "https://q.r/s", "plain words only", "\rcr 5 \r", " ", "", "7", "a=b:c"]
+    rng = random.Random(3)
+    lines = [" ".join(rng.choices(hexes, k=rng.randint(1, 4))) for _ in range(300)] + hexes
+    text = spark.createDataFrame([("\n".join(lines),)], "t string")
+    whole, apart = text.select(F.split(L.mask_variables(F.col("t")), "\n", -1), F.transform(F.split("t", "\n", -1), L.mask_line)).first()
+    assert whole == apart
+
+
+def test_mining_masks_every_line_once(spark, capsys):
+    logs = spark.createDataFrame([("b", "x 1\n\n{}\ny 2")], "build_id string, raw_logs string")
+    D.sequences(D.masked_lines(logs)).explain()
+    assert capsys.readouterr().out.count("<TIMESTAMP>") == 1
+
+
+def test_lookup_masks_documents_once(spark, capsys):
+    QUERIES["template_lookup_join"](spark, "/root/testdata/sf0.001").explain()
+    assert "documents.parquet" not in capsys.readouterr().out
+
+
+def test_long_lists_of_common_tokens_are_not_read(monkeypatch):
+    rng = random.Random(7)
+    leaf, read = D._Leaf(12), []
+    for i in range(3000):
+        # Three of twelve places hold the same word in every sequence.
+        leaf.place(str(i), ["and", "of", "the"] + [f"w{rng.randrange(20000)}" for _ in range(9)], 0.4)
+    assert len(leaf.leaders) > 2500
+    count = np.frombuffer
+    monkeypatch.setattr(D.np, "frombuffer", lambda *a, **k: read.append(len(found := count(*a, **k))) or found)
+    leaf._candidates(leaf.row(["and", "of", "the"] + [f"w{rng.randrange(20000)}" for _ in range(9)]), 0.4)
+    assert sum(read) < 400
