@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from buildlens.operators import neighbors as K
@@ -88,3 +91,31 @@ def test_percentiles_of_wide_brackets_are_narrowed(spark, weighted):
         whole = np.repeat(rows[name].to_numpy(), rows["w"] if weighted else 1)
         got = prep.exact_percentiles(df, [name], fractions, accuracy=10, weight="w" if weighted else None, walked=1000)[name]
         assert np.allclose(got, np.quantile(whole, fractions), rtol=1e-12)
+
+
+def block(ids, vectors, **more):
+    return pd.DataFrame({"qid": ids, "vid": ids, "vec": [np.asarray(v, dtype=float) for v in vectors], **more})
+
+
+def test_ties_in_a_block_go_by_number():
+    # 48 vectors at the same distance from the query, their numbers in no order.
+    signs, orders = itertools.product([1, -1], repeat=3), list(itertools.permutations([1, 2, 3]))
+    around = [[s * v for s, v in zip(sign, order)] for sign in signs for order in orders]
+    ids = np.random.default_rng(2).permutation(len(around)) + 10
+    found = K._nearest_in_block(block([0], [[0, 0, 0]], tau=[np.inf]), block(ids, around, w=1), 20)
+    assert found["vid"].tolist() == list(range(10, 30))
+
+
+def test_a_query_meets_only_vectors_of_near_groups(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 3)) + 1000.0 * rng.integers(0, 8, size=(6000, 1))
+    met, squares = [], K._Groups.squares
+    monkeypatch.setattr(K._Groups, "squares", lambda self, a, at: met.append((out := squares(self, a, at)).size) or out)
+    found = K._nearest_in_block(block(np.arange(6000), x, tau=np.inf), block(np.arange(6000), x, w=1), 20)
+    assert sum(met) < 6000 * 6000 / 2
+    for i in range(0, 6000, 500):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        mine = found[found["qid"] == i]
+        assert mine["vid"].tolist() == np.argsort(d, kind="stable")[:20].tolist()
+        assert np.allclose(mine["dist"], np.sort(d)[:20])
