@@ -224,8 +224,15 @@ def test_mining_masks_every_line_once(spark, capsys):
     assert capsys.readouterr().out.count("<TIMESTAMP>") == 1
 
 
-def test_lookup_masks_documents_once(spark, capsys):
-    QUERIES["template_lookup_join"](spark, "/root/testdata/sf0.001").explain()
+def test_lookup_masks_documents_once(spark, capsys, tmp_path):
+    tables = {"documents": spark.sql("SELECT 1L AS doc_id, 'a 1\\nb 2' AS text, 'en' AS lang, 's' AS source, 7L AS n_chars"),
+              "labels": spark.sql("SELECT 1L AS doc_id, 0 AS quality, 0 AS toxic"),
+              "events": spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01' AS ts, id AS user_id, 'error' AS event_type, 1.0D AS value, 'p' AS props FROM range(50)")}
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = QUERIES["template_lookup_join"](spark, str(tmp_path))
+    assert found.count() == 52
+    found.explain()
     assert "documents.parquet" not in capsys.readouterr().out
 
 
